@@ -176,11 +176,13 @@ def convert_units(rows: DataFrame, kinds: DataFrame, factors: DataFrame, sure: f
     kinds = kinds.dropDuplicates(["canonical_name"])
     choices = unit_choices(kinds, factors)
     listed = [r.asDict() for r in choices.limit(BROADCAST_ROWS).collect()]
-    typical = {r["canonical_name"]: (r["typical_low"], r["typical_high"]) for r in kinds.limit(BROADCAST_ROWS).collect()}
+    dims = kinds.limit(BROADCAST_ROWS).collect()
+    typical = {r["canonical_name"]: (r["typical_low"], r["typical_high"]) for r in dims}
+    usual = {r["canonical_name"]: r["unit"] for r in dims}
     # Units that convert alike are one component; the common unit stands for its equals.
     components: dict[str, list[tuple[str, float, float]]] = defaultdict(list)
     stands: dict[tuple[str, str], str] = {}
-    for r in sorted(listed, key=lambda r: (r["kind"], (r["factor"], r["shift"]) != (1.0, 0.0), r["code"])):
+    for r in sorted(listed, key=lambda r: (r["kind"], r["code"] != usual.get(r["kind"]), r["code"])):
         same = next((c for c, f, s in components[r["kind"]] if (f, s) == (r["factor"], r["shift"])), None)
         stands[r["kind"], r["code"]] = same or r["code"]
         if same is None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.llm.mapping import map_fields
+from vitalframe.llm.redaction import redact_texts
 from vitalframe.tables import Tables
 
 
@@ -27,5 +28,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return map_fields(t.clean_observations, "obs_id", fields, tests.unionByName(labs), literal).select("obs_id", "field_name", "entry_key")
 
 
-QUERIES = {"p2_found": p2_found}
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    events = t.parsed_events.select(F.col("event_id").alias("record_id"), F.col("raw_text").alias("text"))
+    return redact_texts(events.unionByName(t.redaction_results.select(F.col("result_id").alias("record_id"), "text")), "record_id", "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_redacted(spark, folder).select("record_id", F.inline("items")).select("record_id", "kind", "start_pos")
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.llm.mapping import map_fields
+from vitalframe.llm.pages import page_noise, page_paragraphs
 from vitalframe.llm.redaction import redact_texts
 from vitalframe.tables import Tables
 
@@ -38,5 +39,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_redacted(spark, folder).select("record_id", F.inline("items")).select("record_id", "kind", "start_pos")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
+def _pages(t: Tables) -> DataFrame:
+    columns = ("page_id", "source_doc_id", "page_number", "text")
+    return t.parsed_pages.select(*columns).unionByName(t.image_ocr_results.select(*columns))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_noise(_pages(Tables(spark, folder)), "source_doc_id", "page_id", "page_number", "text").select("page_id", "line_no", "noise")
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return page_paragraphs(_pages(Tables(spark, folder)), "source_doc_id", "page_id", "page_number", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
 SQL: dict[str, str] = {}

@@ -25,7 +25,7 @@ from vitalframe.llm.flow import over_keys
 # What recognition software writes for what stands there.
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("+", "t"), ("1", "i"), ("1", "l"), ("l", "i"), ("i", "l"), ("|", "l"), ("|", "i"), ("!", "l"), ("@", "a"), ("5", "s"), ("$", "s"), ("0", "o"), ("9", "g"), ("8", "b"), ("6", "b"), ("3", "e"), ("7", "t"), ("4", "a"), ("2", "z"),
-    ("ri", "n"), ("rn", "m"), ("m", "rn"), ("nn", "m"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("li", "h"), ("b", "h"), ("h", "b"), ("vv", "w"), ("fi", "h"), ("in", "m"), ("tl", "d"), ("ll", "u"), ("ü", "ii"), ("f", "t"), ("t", "f"), ("o", "a"), ("n", "u"), ("u", "n"), ("o", "0"), ("ı", "i"), ("ſ", "f"), ("€", "e"), ("¢", "c"), ("£", "e"), ("(", "c"), ("{", "c"),
+    ("ri", "n"), ("rn", "m"), ("m", "rn"), ("nn", "m"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("li", "h"), ("b", "h"), ("h", "b"), ("vv", "w"), ("fi", "h"), ("in", "m"), ("tl", "d"), ("ll", "u"), ("ü", "ii"), ("f", "t"), ("t", "f"), ("o", "a"), ("n", "u"), ("u", "n"), ("o", "0"), ("ı", "i"), ("ſ", "f"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("€", "e"), ("¢", "c"), ("£", "e"), ("(", "c"), ("{", "c"),
 )
 #: Confusions that also turn words into other words; they need more evidence.
 WEAK = frozenset([("e", "c"), ("h", "b"), ("f", "t"), ("t", "f"), ("o", "a"), ("n", "u"), ("u", "n"), ("in", "m"), ("d", "cl"), ("nn", "m"), ("i", "l"), ("l", "i"), ("ll", "u"), ("fi", "h"), ("tl", "d"), ("li", "h")])

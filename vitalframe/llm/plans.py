@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.llm.mapping import map_fields
+from vitalframe.llm.mixing import mix, share_report
+from vitalframe.llm.packing import fill_report, pack
 from vitalframe.llm.pages import page_noise, page_paragraphs
 from vitalframe.llm.redaction import redact_texts
+from vitalframe.llm.tokens import token_counts
+from vitalframe.session import cut
 from vitalframe.tables import Tables
 
 
@@ -52,5 +56,30 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return page_paragraphs(_pages(Tables(spark, folder)), "source_doc_id", "page_id", "page_number", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
+CAPACITY = 2048
+
+
+def _sizes(t: Tables) -> DataFrame:
+    """Documents with their sizes in tokens, kept, as they are read several times."""
+    return cut(token_counts(t.documents, "doc_id", "text", ("source",)))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_sizes(Tables(spark, folder)), "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(p8_packed(spark, folder), CAPACITY)
+
+
+def p9_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return mix(_sizes(t), t.mix_targets, "doc_id", "source", "n_tokens")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return share_report(p9_mixed(spark, folder), Tables(spark, folder).mix_targets)
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
 SQL: dict[str, str] = {}

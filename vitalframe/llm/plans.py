@@ -10,6 +10,7 @@ from vitalframe.llm.mixing import mix, share_report
 from vitalframe.llm.packing import fill_report, pack
 from vitalframe.llm.pages import page_noise, page_paragraphs
 from vitalframe.llm.redaction import redact_texts
+from vitalframe.llm.subjects import assign_subjects
 from vitalframe.llm.tokens import token_counts
 from vitalframe.session import cut
 from vitalframe.tables import Tables
@@ -81,5 +82,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return share_report(p9_mixed(spark, folder), Tables(spark, folder).mix_targets)
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
+def p10_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return assign_subjects(t.documents, "doc_id", "text", "lang", t.dim_subjects, t.subject_labels)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_assigned(spark, folder).select("doc_id", "subject")
+
+
+def p10_makeup(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents are about each subject."""
+    found = p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+    return F.broadcast(Tables(spark, folder).dim_subjects.select("subject")).join(found, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_makeup": p10_makeup, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
 SQL: dict[str, str] = {}

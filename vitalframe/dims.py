@@ -63,11 +63,13 @@ DOMAINS = {
 # Drug (as typed, lower case), test it acts on, direction wanted.
 DRUG_TESTS = [
     ("metformin", "hba1c", "decrease"), ("metformin", "glucose", "decrease"), ("atorvastatin", "ldl", "decrease"), ("rosuvastatin", "ldl", "decrease"), ("simvastatin", "ldl", "decrease"), ("levothyroxine", "tsh", "decrease"),
+    ("glucanorm", "glucose", "decrease"), ("glucanorm", "hba1c", "decrease"), ("omevastat", "ldl", "decrease"), ("omevastat", "cholesterol_total", "decrease"), ("thyrolan", "tsh", "decrease"), ("ferrovit", "ferritin", "increase"), ("ferrovit", "hemoglobin", "increase"), ("pressolol", "potassium", "increase"), ("levanoril", "creatinine", "increase"),
     ("lisinopril", "potassium", "increase"), ("iron", "ferritin", "increase"), ("ferrous sulfate", "ferritin", "increase"), ("vitamin d", "vitamin_d", "increase"), ("cholecalciferol", "vitamin_d", "increase"), ("allopurinol", "uric_acid", "decrease"), ("fenofibrate", "triglycerides", "decrease"), ("prednisone", "glucose", "increase"),
 ]
 
 # Self-authored: pairs of substances with the severity of their interaction.
 INTERACTIONS = [
+    ("levanoril", "pressolol", "moderate", "low pressure"), ("omevastat", "cardexine", "major", "muscle damage"), ("thyrolan", "ferrovit", "moderate", "less absorption"), ("glucanorm", "cardexine", "minor", "low glucose"), ("calmidine", "dormivane", "major", "sedation"), ("zelprazine", "calmidine", "moderate", "sedation"),
     ("warfarin", "aspirin", "major", "bleeding"), ("warfarin", "ibuprofen", "major", "bleeding"), ("lisinopril", "potassium", "moderate", "high potassium"), ("simvastatin", "amlodipine", "moderate", "muscle pain"),
     ("levothyroxine", "iron", "moderate", "less absorption"), ("metformin", "prednisone", "moderate", "higher glucose"), ("sertraline", "tramadol", "major", "serotonin"), ("atorvastatin", "amlodipine", "minor", "higher level"), ("omeprazole", "levothyroxine", "minor", "less absorption"), ("ibuprofen", "lisinopril", "moderate", "kidney"),
 ]

@@ -12,9 +12,10 @@ from vitalframe.session import small
 
 
 def number(text: Column) -> Column:
-    """The number of a result as text, its comparison sign and thousands commas left out; null for NaN, infinities and
-    texts that are no number."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(<=|>=|[<>=≤≥])\s*", ""), r",(?=\d{3}(\D|$))", "")
+    """The number of a result as text, its comparison sign and thousands commas left out (a comma before
+    one or two last digits is a decimal comma); null for NaN, infinities and texts that are no number."""
+    bare = F.regexp_replace(F.trim(text), r"^(<=|>=|[<>=≤≥])\s*", "")
+    bare = F.when(bare.rlike(r"^[+-]?\d+,\d{1,2}$"), F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
     x = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
     return F.when(F.abs(x) < float("inf"), x)
 

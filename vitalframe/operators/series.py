@@ -64,7 +64,8 @@ def correlations(labs: DataFrame, wear: DataFrame, least: int = 5, least_r: floa
     values of a day, are averaged first; constant series have no correlation."""
     a = labs.groupBy("user_id", "canonical_name", "day").agg(F.avg("value").alias("x"))
     b = wear.groupBy("user_id", "metric", F.col("date").alias("day")).agg(F.avg("value").alias("y"))
-    g = a.join(b, ["user_id", "day"]).groupBy("user_id", "canonical_name", "metric").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"))
+    g = a.join(b, ["user_id", "day"]).groupBy("user_id", "canonical_name", "metric").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("_c"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"))
+    g = g.withColumn("r", F.when((F.col("_vx") > 1e-12) & (F.col("_vy") > 1e-12), F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy")))).drop("_c")
     got = g.where((F.col("n") >= least) & (F.col("_vx") > 1e-12) & (F.col("_vy") > 1e-12) & (F.abs("r") > least_r)).drop("_vx", "_vy")
     r = F.abs("r")
     return got.withColumn("strength", F.when(r >= 0.7, "strong").when(r >= 0.4, "moderate").when(r >= 0.2, "weak").otherwise("none"))
@@ -119,14 +120,12 @@ def pattern_scores(last: DataFrame, patterns: DataFrame) -> DataFrame:
     """Patterns of abnormal latest results: every trigger must hold, each other that holds adds to the confidence:
     (user_id, pattern, confidence, supporting, missing)."""
     counted = last.withColumn("state", state_of(F.col("value"), F.col("low"), F.col("high")))
-    users = counted.select("user_id").distinct()
     # Users with a trigger are found first, so that the rules are spread over no more users than need be.
     first = patterns.where("needed")
     candidates = counted.join(first, "canonical_name").where("state = direction").select("user_id", "pattern").distinct()
     wanted = candidates.join(patterns, "pattern").join(counted.select("user_id", "canonical_name", "state"), ["user_id", "canonical_name"], "left")
     held = F.coalesce(F.col("state") == F.col("direction"), F.lit(False))
     g = wanted.groupBy("user_id", "pattern").agg(F.bool_and(held | ~F.col("needed")).alias("_all"), F.sum(F.when(held, F.col("adds")).otherwise(0.0)).alias("c"), F.count_if(held).alias("supporting"), F.count_if(F.col("state").isNull()).alias("missing"))
-    del users
     return g.where("_all").select("user_id", "pattern", F.round(F.least("c", F.lit(dims.PATTERN_CAP)), 4).alias("confidence"), "supporting", "missing")
 
 

@@ -1,6 +1,6 @@
 """Named queries over a folder of tables, and the SQL that gives the same rows where SQL can."""
 
-from vitalframe.plans import general
+from vitalframe.plans import general, records
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **records.QUERIES}
+SQL = {**general.SQL, **records.SQL}

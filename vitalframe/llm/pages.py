@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.llm.flow import over_keys
+from vitalframe.session import cut
 
 # What recognition software writes for what stands there.
 CONFUSIONS = (
@@ -126,9 +127,11 @@ def vocabulary(pages: DataFrame, text: str, share: float = 2e-6, least: int = 3)
     """The corpus's words and counts. Words broken at line ends are left out with both their parts. At most 1 / share
     words can have the least share of all words, which bounds what is brought to the driver; counts are over all
     pages, words are counted before the shuffle."""
-    whole = F.regexp_replace(F.col(text), rf"\S+[{_ENDS}][ \t]*\n\s*\S+", " ")
-    words = pages.select(F.explode(F.split(F.lower(whole), r"\s+")).alias("w")).select(F.regexp_replace("w", rf"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", "").alias("w")).where("w != ''")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    # A broken word is marked and its token left out; words are cleaned after they are counted as they stand.
+    marked = F.regexp_replace(F.lower(text), rf"[{_ENDS}][ \t]*\n\s*", "\u0001")
+    raw = pages.select(F.explode(F.split(marked, r"\s+")).alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").contains("\u0001"))
+    clean = F.regexp_replace("w", rf"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", "")
+    counts = cut(raw.select(clean.alias("w"), "n").where("w != ''").groupBy("w").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return Vocabulary({r["w"]: r["n"] for r in counts.where(F.col("n") >= max(least, share * total)).toLocalIterator()})
 

@@ -86,14 +86,14 @@ class Coder:
 
 
 def encode(docs: DataFrame, row_id: str, text: str, lang: str, coder: Coder) -> DataFrame:
-    """(row_id, labels, lang, terms, ends): the known terms of a document's sentences, run together, and where each
-    sentence ends."""
+    """(row_id, labels, lang, terms, ends, own, counts): the known terms of a document's sentences, run together, where
+    each sentence ends, and the document's distinct terms with their counts."""
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for f in frames:
-            langs, terms, ends = [], [], []
+            langs, terms, ends, own, counts = [], [], [], [], []
             for t, named in zip(f["_text"], f["_lang"]):
                 parts = sentences(t) if t else []
                 k = c.language(named, {w for p in parts for w in p})
@@ -104,10 +104,20 @@ def encode(docs: DataFrame, row_id: str, text: str, lang: str, coder: Coder) ->
                     at.append(len(flat))
                 langs.append(k)
                 terms.append(np.array(flat, np.int32))
+                distinct, n = np.unique(terms[-1], return_counts=True)
+                own.append(distinct)
+                counts.append(n.astype(np.int32))
                 ends.append(np.array(at, np.int32))
-            yield pd.DataFrame({row_id: f["_id"], "labels": f["_labels"], "lang": langs, "terms": terms, "ends": ends})
+            yield pd.DataFrame({row_id: f["_id"], "labels": f["_labels"], "lang": langs, "terms": terms, "ends": ends, "own": own, "counts": counts})
 
-    return docs.select(F.col(row_id).alias("_id"), F.col("_labels"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, labels array<string>, lang string, terms array<int>, ends array<int>")
+    return docs.select(F.col(row_id).alias("_id"), F.col("_labels"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, labels array<string>, lang string, terms array<int>, ends array<int>, own array<int>, counts array<int>")
+
+
+def _groups(frames: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[tuple[str, pd.DataFrame]]:
+    """(language, its rows) of slices of the batches, so that what is worked on at once stays small."""
+    for f in frames:
+        for a in range(0, len(f), rows):
+            yield from f.iloc[a : a + rows].groupby("lang")
 
 
 def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +128,11 @@ def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def _segment_sums(x: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows, lens of them for each output row (also none)."""
-    total = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
-    ends = np.cumsum(lens)
-    return total[ends] - total[ends - lens]
+    out = np.zeros((len(lens), x.shape[1]), x.dtype)
+    some = lens > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, (np.cumsum(lens) - lens)[some], axis=0)
+    return out
 
 
 def _products(coded: DataFrame, coder: Coder, basis: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -130,23 +142,18 @@ def _products(coded: DataFrame, coder: Coder, basis: dict[str, np.ndarray]) -> d
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, q = shared.value
         sums: dict[str, np.ndarray] = {}
-        for f in frames:
-            for k, g in f.groupby("lang"):
-                terms, lens = _flat(g["terms"])
-                if not len(terms):
-                    continue
-                v = len(idf[k])
-                pair, count = np.unique(np.repeat(np.arange(len(g)), lens) * v + terms, return_counts=True)
-                doc, term = pair // v, pair % v
-                w = np.log1p(count) * idf[k][term]
-                norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=len(g)))
-                w /= np.maximum(norm[doc], 1e-12)
-                per_doc = np.bincount(doc, minlength=len(g))
-                rows = _segment_sums(w[:, None] * q[k][term], per_doc)
-                part = w[:, None] * rows[doc]
-                y = sums.setdefault(k, np.zeros_like(q[k]))
-                for j in range(y.shape[1]):
-                    y[:, j] += np.bincount(term, weights=part[:, j], minlength=v)
+        for k, g in _groups(frames):
+            term, per_doc = _flat(g["own"])
+            if not len(term):
+                continue
+            count, _ = _flat(g["counts"])
+            doc = np.repeat(np.arange(len(g)), per_doc)
+            w = np.log1p(count) * idf[k][term]
+            w /= np.maximum(np.sqrt(np.bincount(doc, weights=w * w, minlength=len(g)))[doc], 1e-12)
+            part = w[:, None] * _segment_sums(w[:, None] * q[k][term], per_doc)[doc]
+            order = np.argsort(term, kind="stable")
+            here, first = np.unique(term[order], return_index=True)
+            sums.setdefault(k, np.zeros_like(q[k]))[here] += np.add.reduceat(part[order], first, axis=0)
         out = [(k, b, y[b * BLOCK : (b + 1) * BLOCK].ravel()) for k, y in sums.items() for b in range(-(-len(y) // BLOCK))]
         yield pd.DataFrame(out, columns=["lang", "block", "y"])
 
@@ -154,7 +161,7 @@ def _products(coded: DataFrame, coder: Coder, basis: dict[str, np.ndarray]) -> d
         return pd.DataFrame({"lang": [frames["lang"].iloc[0]], "block": [frames["block"].iloc[0]], "y": [np.sum(np.stack(frames["y"].to_list()), axis=0)]})
 
     schema = "lang string, block int, y array<double>"
-    parts = coded.where("lang IS NOT NULL").select("lang", "terms").mapInPandas(run, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
+    parts = coded.where("lang IS NOT NULL").select("lang", "own", "counts").mapInPandas(run, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
     out = {k: np.zeros_like(q) for k, q in basis.items()}
     for r in parts:  # at most max_terms / BLOCK rows a language
         y = np.array(r["y"]).reshape(-1, basis[r["lang"]].shape[1])
@@ -176,7 +183,7 @@ def embed_terms(coded: DataFrame, coder: Coder, o: Options) -> dict[str, np.ndar
                 small = q.T @ z[k]
                 w, u = np.linalg.eigh((small + small.T) / 2)
                 vectors[k] = q @ u[:, np.argsort(-w)[: o.rank]]
-    return {k: coder.idf[k][:, None] * v for k, v in vectors.items()}
+    return {k: (coder.idf[k][:, None] * v).astype(np.float32) for k, v in vectors.items()}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -203,33 +210,32 @@ def _centroid_sums(coded: DataFrame, vectors: dict[str, np.ndarray], names: list
         number = {c: i for i, c in enumerate(cls)}
         sums: dict[str, np.ndarray] = {}
         counts: dict[str, np.ndarray] = {}
-        for f in frames:
-            for k, g in f.groupby("lang"):
-                if k not in vec:
-                    continue
-                e, doc = _embedded(g, vec[k])
-                labels = [set() if x is None else {y for y in x if y in number} for x in g["labels"]]
-                if cen is None:
-                    alone = np.array([number[next(iter(x))] if len(x) == 1 else -1 for x in labels], int)
-                    of = alone[doc] if len(doc) else np.zeros(0, int)
-                    ok = of >= 0
-                else:
-                    sim = e @ cen[k].T
-                    allowed = np.array([[not x or c in x or c == NONE for c in cls] for x in labels]).reshape(len(labels), len(cls))
-                    sim = np.where(allowed[doc], sim, -9.0) if len(doc) else sim
-                    of = sim.argmax(1) if len(doc) else np.zeros(0, int)
-                    ok = sim.max(1) >= o.least_cosine if len(doc) else np.zeros(0, bool)
-                s = sums.setdefault(k, np.zeros((len(cls), vec[k].shape[1])))
-                n = counts.setdefault(k, np.zeros(len(cls)))
-                np.add.at(s, of[ok], e[ok])
-                n += np.bincount(of[ok], minlength=len(cls))
+        for k, g in _groups(frames):
+            if k not in vec:
+                continue
+            e, doc = _embedded(g, vec[k])
+            labels = [set() if x is None else {y for y in x if y in number} for x in g["labels"]]
+            if cen is None:
+                alone = np.array([number[next(iter(x))] if len(x) == 1 else -1 for x in labels], int)
+                of = alone[doc] if len(doc) else np.zeros(0, int)
+                ok = of >= 0
+            else:
+                sim = e @ cen[k].T
+                allowed = np.array([[not x or c in x or c == NONE for c in cls] for x in labels]).reshape(len(labels), len(cls))
+                sim = np.where(allowed[doc], sim, -9.0) if len(doc) else sim
+                of = sim.argmax(1) if len(doc) else np.zeros(0, int)
+                ok = sim.max(1) >= o.least_cosine if len(doc) else np.zeros(0, bool)
+            s = sums.setdefault(k, np.zeros((len(cls), vec[k].shape[1])))
+            n = counts.setdefault(k, np.zeros(len(cls)))
+            np.add.at(s, of[ok], e[ok])
+            n += np.bincount(of[ok], minlength=len(cls))
         yield pd.DataFrame([(k, i, s[i], float(counts[k][i])) for k, s in sums.items() for i in range(len(cls)) if counts[k][i]], columns=["lang", "cls", "s", "n"])
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [f["lang"].iloc[0]], "cls": [f["cls"].iloc[0]], "s": [np.sum(np.stack(f["s"].to_list()), axis=0)], "n": [float(f["n"].sum())]})
 
     schema = "lang string, cls int, s array<double>, n double"
-    rows = coded.where("lang IS NOT NULL" if centroids is not None else "lang IS NOT NULL AND labels IS NOT NULL").mapInPandas(run, schema).groupBy("lang", "cls").applyInPandas(add, schema).collect()
+    rows = coded.select("lang", "labels", "terms", "ends").where("lang IS NOT NULL" if centroids is not None else "lang IS NOT NULL AND labels IS NOT NULL").mapInPandas(run, schema).groupBy("lang", "cls").applyInPandas(add, schema).collect()
     out = {k: (np.zeros((len(names), v.shape[1])), np.zeros(len(names))) for k, v in vectors.items()}
     for r in rows:  # one row for each language and class
         out[r["lang"]][0][r["cls"]] = r["s"]
@@ -274,22 +280,17 @@ def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vec, cls, cen = shared.value
-        for f in frames:
-            parts = []
-            for k, g in f.groupby("lang"):
-                if k not in vec:
-                    continue
-                e, doc = _embedded(g, vec[k])
-                if not len(doc):
-                    continue
-                sim = e @ cen[k].T
-                of = np.where(sim.max(1) >= o.least_cosine, sim.argmax(1), len(cls) - 1)
-                count = np.zeros((len(g), len(cls)), np.int64)
-                np.add.at(count, (doc, of), 1)
-                total = count.sum(axis=1)
-                d, c = np.nonzero((count[:, :-1] > 0) & (count[:, :-1] >= o.share * total[:, None] - 1e-9))
-                parts.append(pd.DataFrame({row_id: g[row_id].to_numpy()[d], "subject": [cls[i] for i in c], "sentences": count[d, c], "share": count[d, c] / total[d]}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    return coded.where("lang IS NOT NULL").mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, subject string, sentences bigint, share double")
+        for k, g in _groups(frames):
+            if k not in vec:
+                continue
+            e, doc = _embedded(g, vec[k])
+            if not len(doc):
+                continue
+            sim = e @ cen[k].T
+            of = np.where(sim.max(1) >= o.least_cosine, sim.argmax(1), len(cls) - 1)
+            count = np.bincount(doc * len(cls) + of, minlength=len(g) * len(cls)).reshape(len(g), len(cls))
+            total = count.sum(axis=1)
+            d, c = np.nonzero((count[:, :-1] > 0) & (count[:, :-1] >= o.share * total[:, None] - 1e-9))
+            yield pd.DataFrame({row_id: g[row_id].to_numpy()[d], "subject": [cls[i] for i in c], "sentences": count[d, c], "share": count[d, c] / total[d]})
+
+    return coded.where("lang IS NOT NULL").select(row_id, "lang", "terms", "ends").mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, subject string, sentences bigint, share double")

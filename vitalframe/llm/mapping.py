@@ -181,7 +181,8 @@ def match(values: DataFrame, reference: DataFrame, threshold: float = 0.62, marg
             got = [shared.value.get(n, none).best(v) for n, v in zip(f["list_name"], f["value"])]
             yield pd.DataFrame({"list_name": f["list_name"], "value": f["value"], "candidate": [k for k, *_ in got], "score": [g[1] for g in got], "margin": [g[1] - g[2] for g in got], "misspelled": [g[3] for g in got]})
 
-    scored = filled(values).select("list_name", "value").distinct().mapInPandas(score, "list_name string, value string, candidate string, score double, margin double, misspelled boolean")
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small bytes, much to compute
+    scored = filled(values).select("list_name", "value").distinct().repartition(tasks).mapInPandas(score, "list_name string, value string, candidate string, score double, margin double, misspelled boolean")
     taken = F.col("misspelled") | ((F.col("score") >= threshold) & (F.col("margin") >= margin))
     return scored.select("list_name", "value", F.when(taken, F.col("candidate")).alias("entry_key"), "candidate", "score", "margin", "misspelled")
 

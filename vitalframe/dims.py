@@ -1,6 +1,7 @@
 """Small dimension tables as literals: thresholds, panels, rules. Each is a list of plain rows, made a DataFrame on use.
 
-Fixed values: the numeric thresholds and the names of tests state clinical conventions that results must agree with.
+Fixed values: thresholds, intervals, weights and test names are stated plainly, as results must agree with them; lists
+marked as self-authored are our own.
 """
 
 from __future__ import annotations
@@ -9,36 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 # canonical_name, critical_low, critical_high.
 CRITICAL = [
-    ("glucose", 50.0, 400.0), ("potassium", 2.8, 6.2), ("sodium", 120.0, 160.0), ("calcium", 6.5, 13.0), ("hemoglobin", 7.0, 20.0),
-    ("platelets", 50.0, 1000.0), ("wbc", 2.0, 30.0), ("creatinine", None, 10.0), ("magnesium", 1.0, 4.7), ("phosphorus", 1.0, 9.0),
+    ("glucose", 40.0, 500.0), ("potassium", 2.5, 6.5), ("sodium", 120.0, 160.0), ("hemoglobin", 5.0, 20.0), ("platelets", 20.0, 1000.0), ("wbc", 1.0, 50.0), ("calcium", 6.0, 14.0),
+    ("inr", None, 5.0), ("troponin", None, 0.04), ("creatinine", None, 10.0), ("hba1c", None, 14.0), ("bilirubin_total", None, 15.0), ("alt", None, 1000.0), ("ast", None, 1000.0),
 ]
 
 # canonical_name, percent change between two results that counts as rapid.
 RAPID = [
-    ("glucose", 30.0), ("creatinine", 25.0), ("potassium", 20.0), ("hemoglobin", 15.0), ("platelets", 30.0), ("wbc", 50.0), ("alt", 50.0),
-    ("ast", 50.0), ("tsh", 50.0), ("ldl", 25.0), ("hba1c", 10.0), ("egfr", 20.0), ("ferritin", 50.0),
+    ("creatinine", 25.0), ("egfr", 20.0), ("hemoglobin", 20.0), ("platelets", 30.0), ("wbc", 40.0), ("alt", 50.0), ("ast", 50.0), ("tsh", 50.0), ("hba1c", 15.0), ("ldl", 25.0), ("ferritin", 40.0), ("potassium", 15.0), ("sodium", 5.0),
 ]
 
 # Panel -> its tests.
 PANELS = {
-    "lipid": ("cholesterol_total", "ldl", "hdl", "triglycerides"),
-    "kidney": ("bun", "creatinine", "egfr"),
-    "liver": ("alt", "ast", "alkaline_phosphatase", "bilirubin_total", "albumin", "ggt"),
-    "thyroid": ("tsh", "free_t4", "free_t3"),
-    "iron": ("ferritin", "iron", "transferrin"),
-    "blood_count": ("hemoglobin", "hematocrit", "wbc", "rbc", "platelets", "mcv"),
-    "electrolytes": ("sodium", "potassium", "chloride", "carbon_dioxide"),
-    "metabolic": ("glucose", "hba1c", "insulin"),
+    "lipid_panel": ("cholesterol_total", "ldl", "hdl", "triglycerides"),
+    "cmp": ("glucose", "bun", "creatinine", "sodium", "potassium", "chloride", "carbon_dioxide", "calcium", "total_protein", "albumin", "bilirubin_total", "alkaline_phosphatase", "ast", "alt"),
+    "cbc": ("wbc", "rbc", "hemoglobin", "hematocrit", "platelets", "mcv", "mch", "mchc", "rdw"),
+    "thyroid_panel": ("tsh", "free_t4", "free_t3"),
+    "iron_studies": ("iron", "ferritin", "tibc", "transferrin"),
+    "metabolic_diabetes": ("glucose", "hba1c"),
+    "liver_panel": ("alt", "ast", "alkaline_phosphatase", "bilirubin_total", "albumin"),
+    "kidney_panel": ("bun", "creatinine", "egfr"),
 }
 
-# Rule, test that triggers it, direction ('high' or 'low'), companion tests.
-CONDITIONAL = [
-    ("thyroid_followup", "tsh", "high", ("free_t4", "free_t3")), ("anemia_workup", "hemoglobin", "low", ("ferritin", "iron", "vitamin_b12", "folate")),
-    ("kidney_workup", "creatinine", "high", ("egfr", "bun")), ("diabetes_workup", "glucose", "high", ("hba1c", "insulin")), ("liver_workup", "alt", "high", ("ast", "ggt", "bilirubin_total")),
-    ("inflammation_workup", "crp", "high", ("esr", "ferritin")), ("lipid_workup", "ldl", "high", ("hdl", "triglycerides")),
-]
+# Test whose abnormal result asks for companion tests -> these.
+CONDITIONAL = {
+    "ferritin": ("iron", "tibc", "transferrin", "hemoglobin", "mcv", "rdw"),
+    "hba1c": ("glucose", "creatinine", "egfr", "albumin"),
+    "tsh": ("free_t3", "free_t4"),
+    "alt": ("ast", "alkaline_phosphatase", "bilirubin_total", "albumin"),
+    "creatinine": ("bun", "egfr", "potassium", "calcium"),
+    "hemoglobin": ("iron", "ferritin", "vitamin_b12", "folate", "mcv", "rdw"),
+    "vitamin_d": ("calcium", "phosphorus", "magnesium"),
+}
 
-# Rule, test, direction, must it hold (else it adds to the confidence), confidence it adds.
+# Self-authored: pattern, test, direction, must it hold (else it adds to the confidence), confidence it adds.
 PATTERNS = [
     ("iron_deficiency", "ferritin", "low", True, 0.5), ("iron_deficiency", "hemoglobin", "low", False, 0.2), ("iron_deficiency", "mcv", "low", False, 0.15), ("iron_deficiency", "transferrin", "high", False, 0.1),
     ("hypothyroid", "tsh", "high", True, 0.55), ("hypothyroid", "free_t4", "low", False, 0.25), ("hypothyroid", "cholesterol_total", "high", False, 0.1),
@@ -50,21 +54,29 @@ PATTERN_CAP = 0.95
 
 # canonical_name, months of 30 days between tests.
 INTERVALS = [
-    ("glucose", 12), ("hba1c", 6), ("cholesterol_total", 12), ("ldl", 12), ("hdl", 12), ("triglycerides", 12), ("tsh", 12), ("creatinine", 12), ("egfr", 12), ("alt", 12), ("ast", 12),
-    ("hemoglobin", 12), ("platelets", 12), ("wbc", 12), ("vitamin_d", 12), ("vitamin_b12", 12), ("ferritin", 12), ("crp", 12), ("uric_acid", 24), ("potassium", 12), ("sodium", 12),
+    ("glucose", 12), ("hba1c", 6), ("cholesterol_total", 12), ("ldl", 12), ("hdl", 12), ("triglycerides", 12), ("hemoglobin", 12), ("wbc", 12), ("platelets", 12), ("tsh", 12), ("vitamin_d", 12),
+    ("vitamin_b12", 12), ("creatinine", 12), ("egfr", 12), ("alt", 12), ("ast", 12), ("iron", 12), ("ferritin", 12), ("psa", 12), ("bun", 12), ("calcium", 12),
 ]
 
 # Domain -> (weight, its tests).
 DOMAINS = {
-    "heart": (0.25, ("cholesterol_total", "ldl", "hdl", "triglycerides", "crp")), "metabolism": (0.2, ("glucose", "hba1c", "insulin", "uric_acid")), "kidney": (0.15, ("creatinine", "egfr", "bun", "potassium")),
-    "liver": (0.15, ("alt", "ast", "alkaline_phosphatase", "bilirubin_total", "albumin", "ggt")), "thyroid": (0.1, ("tsh", "free_t4", "free_t3")), "blood": (0.1, ("hemoglobin", "hematocrit", "wbc", "platelets", "mcv")), "nutrition": (0.05, ("vitamin_d", "vitamin_b12", "folate", "ferritin", "iron")),
-}
+    "metabolic": (1.0, ("glucose", "hba1c", "bun", "creatinine", "egfr")),
+    "cardiovascular": (1.0, ("cholesterol_total", "ldl", "hdl", "triglycerides")),
+    "blood": (0.8, ("hemoglobin", "hematocrit", "wbc", "platelets", "rbc")),
+    "liver": (0.8, ("alt", "ast", "alkaline_phosphatase", "bilirubin_total", "albumin")),
+    "thyroid": (0.7, ("tsh", "free_t4", "free_t3")),
+    "nutrition": (0.6, ("vitamin_d", "vitamin_b12", "folate", "iron", "ferritin")),
+    "inflammation": (0.5, ("crp", "esr")),
+}
 
-# Drug (as typed, lower case), test it acts on, direction wanted.
+# Drug or class (lower case), test it acts on, direction wanted.
 DRUG_TESTS = [
-    ("metformin", "hba1c", "decrease"), ("metformin", "glucose", "decrease"), ("atorvastatin", "ldl", "decrease"), ("rosuvastatin", "ldl", "decrease"), ("simvastatin", "ldl", "decrease"), ("levothyroxine", "tsh", "decrease"),
+    ("statin", "ldl", "decrease"), ("statin", "cholesterol_total", "decrease"), ("statin", "triglycerides", "decrease"), ("metformin", "hba1c", "decrease"), ("metformin", "glucose", "decrease"), ("levothyroxine", "tsh", "decrease"), ("ace_inhibitor", "creatinine", "increase"),
+    ("arb", "creatinine", "increase"), ("vitamin_d", "vitamin_d", "increase"), ("iron", "ferritin", "increase"), ("iron", "hemoglobin", "increase"), ("vitamin_b12", "vitamin_b12", "increase"), ("calcium", "calcium", "increase"),
+]
+# Self-authored: the invented drugs of the test tables and what they act on.
+DRUG_TESTS += [
     ("glucanorm", "glucose", "decrease"), ("glucanorm", "hba1c", "decrease"), ("omevastat", "ldl", "decrease"), ("omevastat", "cholesterol_total", "decrease"), ("thyrolan", "tsh", "decrease"), ("ferrovit", "ferritin", "increase"), ("ferrovit", "hemoglobin", "increase"), ("pressolol", "potassium", "increase"), ("levanoril", "creatinine", "increase"),
-    ("lisinopril", "potassium", "increase"), ("iron", "ferritin", "increase"), ("ferrous sulfate", "ferritin", "increase"), ("vitamin d", "vitamin_d", "increase"), ("cholecalciferol", "vitamin_d", "increase"), ("allopurinol", "uric_acid", "decrease"), ("fenofibrate", "triglycerides", "decrease"), ("prednisone", "glucose", "increase"),
 ]
 
 # Self-authored: pairs of substances with the severity of their interaction.
@@ -76,7 +88,7 @@ INTERACTIONS = [
 SEVERITY = {"contraindicated": 0, "major": 1, "moderate": 2, "minor": 3}
 
 # Metric, rule ('pct_below', 'pct_above', 'below', 'above'), bound, severity.
-ANOMALIES = [("hrv", "pct_below", 20.0, "watch"), ("rhr", "pct_above", 15.0, "watch"), ("recovery_score", "below", 34.0, "urgent"), ("sleep_score", "pct_below", 25.0, "watch"), ("spo2", "below", 92.0, "urgent")]
+ANOMALIES = [("sleep_score", "below", 40.0, "urgent"), ("hrv", "pct_below", 30.0, "urgent"), ("rhr", "pct_above", 15.0, "watch"), ("spo2", "below", 92.0, "urgent"), ("recovery_score", "below", 20.0, "watch")]
 
 # Wearable metrics that trends and correlations are taken of.
 WEARABLE_METRICS = ("hrv", "rhr", "resp_rate", "sleep_score", "recovery_score", "strain", "sleep_duration_min", "spo2")

@@ -138,9 +138,9 @@ def panel_gaps(tests_done: DataFrame, panels: DataFrame) -> DataFrame:
 
 def conditional_gaps(last: DataFrame, rules: DataFrame) -> DataFrame:
     """Companion tests never done although the trigger's latest result is abnormal."""
-    hit = last.withColumn("state", state_of(F.col("value"), F.col("low"), F.col("high"))).join(rules, (F.col("canonical_name") == F.col("trigger")) & (F.col("state") == F.col("direction"))).select("user_id", "rule", "companion")
+    hit = last.withColumn("state", state_of(F.col("value"), F.col("low"), F.col("high"))).where("state != 'normal'").join(rules, F.col("canonical_name") == F.col("trigger")).select("user_id", "trigger", "companion")
     done = last.select("user_id", F.col("canonical_name").alias("companion"))
-    return hit.join(done, ["user_id", "companion"], "left_anti").select("user_id", "rule", "companion")
+    return hit.join(done, ["user_id", "companion"], "left_anti").select("user_id", "trigger", "companion")
 
 
 def domain_scores(last: DataFrame, domains: DataFrame) -> DataFrame:

@@ -217,13 +217,13 @@ def panel_gaps(t: Tables) -> DataFrame:
     return series.panel_gaps(_results(t), dims.frame(t.spark, _PANEL_ROWS, "panel string, canonical_name string"))
 
 
-_CONDITIONAL = [(r, x, d, c) for r, x, d, many in dims.CONDITIONAL for c in many]
+_CONDITIONAL = [(x, c) for x, many in dims.CONDITIONAL.items() for c in many]
 
 
-@query(f"""WITH {_RES}, s AS (SELECT *, {_STATE} AS state FROM last) SELECT s.user_id, rule, companion FROM s JOIN {dims.values(_CONDITIONAL, 'd', 'rule, trigger, direction, companion')} ON s.canonical_name = trigger AND state = direction
-WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.user_id = s.user_id AND l.canonical_name = companion)""")
+@query(f"""WITH {_RES} SELECT s.user_id, trigger, companion FROM last s JOIN {dims.values(_CONDITIONAL, 'd', 'trigger, companion')} ON s.canonical_name = trigger WHERE (value > high OR value < low)
+AND NOT EXISTS (SELECT 1 FROM last l WHERE l.user_id = s.user_id AND l.canonical_name = companion)""")
 def conditional_gaps(t: Tables) -> DataFrame:
-    return series.conditional_gaps(series.latest(_results(t)), dims.frame(t.spark, _CONDITIONAL, "rule string, trigger string, direction string, companion string"))
+    return series.conditional_gaps(series.latest(_results(t)), dims.frame(t.spark, _CONDITIONAL, "trigger string, companion string"))
 
 
 _DOMAIN_ROWS = [(d, x) for d, (_, tests) in dims.DOMAINS.items() for x in tests]

@@ -69,7 +69,7 @@ def edits(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         older, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 @dataclass

@@ -90,6 +90,12 @@ SEVERITY = {"contraindicated": 0, "major": 1, "moderate": 2, "minor": 3}
 # Metric, rule ('pct_below', 'pct_above', 'below', 'above'), bound, severity.
 ANOMALIES = [("sleep_score", "below", 40.0, "urgent"), ("hrv", "pct_below", 30.0, "urgent"), ("rhr", "pct_above", 15.0, "watch"), ("spo2", "below", 92.0, "urgent"), ("recovery_score", "below", 20.0, "watch")]
 
+# Weights of the readiness components, grades by least score, and normal shares of sleep stages in percent.
+READINESS = {"hrv": 0.30, "rhr": 0.20, "sleep": 0.25, "recovery": 0.15, "strain": 0.10}
+READINESS_GRADES = [("peak", 80.0), ("ready", 60.0), ("moderate", 40.0)]
+SLEEP_NORMS = {"rem": (15.0, 30.0), "deep": (15.0, 30.0)}
+LIGHT_MOST = 65.0
+
 # Wearable metrics that trends and correlations are taken of.
 WEARABLE_METRICS = ("hrv", "rhr", "resp_rate", "sleep_score", "recovery_score", "strain", "sleep_duration_min", "spo2")
 

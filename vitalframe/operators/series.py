@@ -187,3 +187,57 @@ def egfr(creatinine: Column, age: Column, female: Column) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def readiness(days: DataFrame) -> DataFrame:
+    """Readiness of each user and provider on the newest day: five parts of 0 to 100 against the mean of the 30 days
+    before it (hrv, rhr) and the last three rows (strain). A part without data is 50, strain 80:
+    (user_id, provider, date, hrv_part, rhr_part, sleep_part, recovery_part, strain_part, score, grade)."""
+    key = Window.partitionBy("user_id", "provider").orderBy("_d")
+    before, three = key.rangeBetween(-30, -1), key.rowsBetween(-2, 0)
+    got = days.withColumn("_d", F.datediff("date", F.lit("1970-01-01").cast("date"))).select("*", F.avg("hrv").over(before).alias("_hrv"), F.avg("rhr").over(before).alias("_rhr"), F.avg("strain").over(three).alias("_strain"), F.row_number().over(Window.partitionBy("user_id", "provider").orderBy(F.desc("date"))).alias("_r")).where("_r = 1")
+    clamp = lambda x, none: F.when(x.isNull(), none).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)))
+    over = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    m = F.col("sleep_duration_min").cast("double")
+    slept = F.when(m >= 480, 100.0).when(m <= 300, 0.0).when(m <= 420, (m - 300) / 120 * 70).otherwise(70 + (m - 420) / 60 * 30)
+    got = got.select("user_id", "provider", "date", clamp((over("hrv", "_hrv") - 0.6) / 0.6 * 100, 50.0).alias("hrv_part"), clamp((1.15 - over("rhr", "_rhr")) / 0.25 * 100, 50.0).alias("rhr_part"), clamp(F.coalesce(F.col("sleep_score"), F.when(m.isNotNull(), slept)), 50.0).alias("sleep_part"), clamp(F.col("recovery_score"), 50.0).alias("recovery_part"), clamp((18 - F.col("_strain")) / 8 * 100, 80.0).alias("strain_part"))
+    got = got.withColumn("score", reduce(lambda a, b: a + b, [F.col(f"{k}_part") * w for k, w in dims.READINESS.items()]))
+    grade = F.lit("rest")
+    for name, least in reversed(dims.READINESS_GRADES):
+        grade = F.when(F.col("score") >= least, name).otherwise(grade)
+    return got.withColumn("grade", grade)
+
+
+def sleep_stages(days: DataFrame) -> DataFrame:
+    """Shares of the sleep stages of each night and whether they are low or high; nights without total or without any
+    stage are left out, a missing stage counts 0."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = F.col("sleep_duration_min")
+    ok = (total > 0) & (zero("rem_min") + zero("deep_min") + zero("light_min") > 0)
+    got = days.where(ok).select("user_id", "provider", "date", *[(zero(f"{s}_min") / total * 100).alias(f"{s}_pct") for s in ("rem", "deep", "light")])
+    for s, (low, high) in dims.SLEEP_NORMS.items():
+        got = got.withColumn(f"{s}_status", F.when(F.col(f"{s}_pct") < low, "low").when(F.col(f"{s}_pct") > high, "high").otherwise("normal"))
+    return got.withColumn("too_light", F.col("light_pct") > dims.LIGHT_MOST)
+
+
+def overtraining(long: DataFrame, rows: int = 30) -> DataFrame:
+    """Signals of overtraining in the newest rows with a value of each metric: resting rate raised above 110 % of the
+    older mean on five of seven days, variability down by 15 % from the last three to the first three of seven, mean
+    strain of five above 16, recovery below 40 on three of five, sleep score below 60 on five of seven:
+    (user_id, provider, signal)."""
+    w = Window.partitionBy("user_id", "provider", "metric").orderBy(F.desc("date"))
+    k = long.where(F.col("metric").isin("rhr", "hrv", "strain", "recovery_score", "sleep_score")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows)
+    among = Window.partitionBy("user_id", "provider", "metric")
+    r, v = F.col("_r"), F.col("value")
+    k = k.withColumn("_older", F.avg(F.when(r > 7, v)).over(among))
+    g = k.groupBy("user_id", "provider", "metric").agg(
+        F.count("*").alias("n"), F.count_if((r <= 7) & (v > F.col("_older") * 1.10)).alias("raised"), F.avg(F.when(r <= 3, v)).alias("new3"), F.avg(F.when(r.between(5, 7), v)).alias("old3"),
+        F.avg(F.when(r <= 5, v)).alias("mean5"), F.count_if((r <= 5) & (v < 40)).alias("low5"), F.count_if((r <= 7) & (v < 60)).alias("poor7"),
+    )
+    m, n = F.col("metric"), F.col("n")
+    signal = (
+        F.when((m == "rhr") & (n >= 10) & (F.col("raised") >= 5), "rhr_elevated")
+        .when((m == "hrv") & (n >= 7) & (F.col("old3") > 0) & ((F.col("old3") - F.col("new3")) / F.col("old3") * 100 > 15), "hrv_declining")
+        .when((m == "strain") & (n >= 5) & (F.col("mean5") > 16), "high_strain").when((m == "recovery_score") & (n >= 5) & (F.col("low5") >= 3), "low_recovery").when((m == "sleep_score") & (n >= 5) & (F.col("poor7") >= 5), "poor_sleep")
+    )
+    return g.select("user_id", "provider", signal.alias("signal")).where("signal IS NOT NULL")

@@ -409,6 +409,39 @@ def category_counts(t: Tables) -> DataFrame:
     return series.union_all([d.agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n, d in pairs])
 
 
+_W = " + ".join(f"{k}_part * {w}" for k, w in dims.READINESS.items())
+_GRADE = "CASE " + " ".join(f"WHEN score >= {x} THEN '{n}'" for n, x in dims.READINESS_GRADES) + " ELSE 'rest' END"
+
+
+@query(f"""WITH {_DAYS}, k AS (SELECT *, avg(hrv) OVER b AS hb, avg(rhr) OVER b AS rb, avg(strain) OVER (PARTITION BY user_id, provider ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s3, row_number() OVER (PARTITION BY user_id, provider ORDER BY date DESC) AS r
+  FROM days WINDOW b AS (PARTITION BY user_id, provider ORDER BY date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+p AS (SELECT user_id, provider, date, CASE WHEN hb <> 0 AND hrv IS NOT NULL THEN least(greatest((hrv / hb - 0.6) / 0.6 * 100, 0.0), 100.0) ELSE 50.0 END AS hrv_part, CASE WHEN rb <> 0 AND rhr IS NOT NULL THEN least(greatest((1.15 - rhr / rb) / 0.25 * 100, 0.0), 100.0) ELSE 50.0 END AS rhr_part,
+  coalesce(least(greatest(coalesce(sleep_score, CASE WHEN sleep_duration_min >= 480 THEN 100.0::DOUBLE WHEN sleep_duration_min <= 300 THEN 0.0 WHEN sleep_duration_min <= 420 THEN (sleep_duration_min - 300) / 120.0 * 70 WHEN sleep_duration_min IS NOT NULL THEN 70 + (sleep_duration_min - 420) / 60.0 * 30 END), 0.0), 100.0), 50.0) AS sleep_part,
+  CASE WHEN recovery_score IS NULL THEN 50.0 ELSE least(greatest(recovery_score, 0.0), 100.0) END AS recovery_part, CASE WHEN s3 IS NULL THEN 80.0 ELSE least(greatest((18 - s3) / 8 * 100, 0.0), 100.0) END AS strain_part FROM k WHERE r = 1),
+z AS (SELECT *, {_W} AS score FROM p) SELECT user_id, provider, date, round(score, 4) AS score, {_GRADE} AS grade FROM z""")
+def readiness(t: Tables) -> DataFrame:
+    d = records.counted_days(t.clean_wearable_daily, ["hrv", "rhr", "strain", "sleep_score", "sleep_duration_min", "recovery_score"])
+    return series.readiness(d).select("user_id", "provider", "date", r4("score"), "grade")
+
+
+_STATUS = ", ".join(f"CASE WHEN {k}_pct < {lo} THEN 'low' WHEN {k}_pct > {hi} THEN 'high' ELSE 'normal' END AS {k}_status" for k, (lo, hi) in dims.SLEEP_NORMS.items())
+
+
+@query(f"""WITH {_DAYS}, n AS (SELECT user_id, provider, date, coalesce(rem_min, 0) / sleep_duration_min * 100 AS rem_pct, coalesce(deep_min, 0) / sleep_duration_min * 100 AS deep_pct, coalesce(light_min, 0) / sleep_duration_min * 100 AS light_pct FROM days
+  WHERE sleep_duration_min > 0 AND coalesce(rem_min, 0) + coalesce(deep_min, 0) + coalesce(light_min, 0) > 0) SELECT user_id, provider, date, round(rem_pct, 4) AS rem_pct, round(deep_pct, 4) AS deep_pct, round(light_pct, 4) AS light_pct, {_STATUS}, light_pct > {dims.LIGHT_MOST} AS too_light FROM n""")
+def sleep_stages(t: Tables) -> DataFrame:
+    d = records.counted_days(t.clean_wearable_daily, ["sleep_duration_min", "rem_min", "deep_min", "light_min"])
+    return series.sleep_stages(d).select("user_id", "provider", "date", r4("rem_pct"), r4("deep_pct"), r4("light_pct"), "rem_status", "deep_status", "too_light")
+
+
+@query(f"""WITH {_DAYS}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, provider, metric ORDER BY date DESC) AS r FROM long WHERE metric IN ('rhr', 'hrv', 'strain', 'recovery_score', 'sleep_score')), f AS (SELECT *, avg(value) FILTER (r > 7) OVER (PARTITION BY user_id, provider, metric) AS older FROM k WHERE r <= 30),
+g AS (SELECT user_id, provider, metric, count(*) AS n, count(*) FILTER (r <= 7 AND value > older * 1.10) AS raised, avg(value) FILTER (r <= 3) AS new3, avg(value) FILTER (r BETWEEN 5 AND 7) AS old3, avg(value) FILTER (r <= 5) AS mean5, count(*) FILTER (r <= 5 AND value < 40) AS low5, count(*) FILTER (r <= 7 AND value < 60) AS poor7 FROM f GROUP BY ALL),
+s AS (SELECT user_id, provider, CASE WHEN metric = 'rhr' AND n >= 10 AND raised >= 5 THEN 'rhr_elevated' WHEN metric = 'hrv' AND n >= 7 AND old3 > 0 AND (old3 - new3) / old3 * 100 > 15 THEN 'hrv_declining' WHEN metric = 'strain' AND n >= 5 AND mean5 > 16 THEN 'high_strain'
+  WHEN metric = 'recovery_score' AND n >= 5 AND low5 >= 3 THEN 'low_recovery' WHEN metric = 'sleep_score' AND n >= 5 AND poor7 >= 5 THEN 'poor_sleep' END AS signal FROM g) SELECT * FROM s WHERE signal IS NOT NULL""")
+def overtraining_signals(t: Tables) -> DataFrame:
+    return series.overtraining(_long(t))
+
+
 @query("SELECT user_id, event_type, ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_daily(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

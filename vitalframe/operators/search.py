@@ -23,7 +23,8 @@ def nearest(queries: DataFrame, rows: DataFrame, row_id: str, vector: str, k: in
     schema = f"query_id {kind}, `{row_id}` {kind}, cosine double"
     have = queries.where(F.col(vector).isNotNull()).select(row_id, vector)
     parts = []
-    numbered = have.withColumn("_b", F.floor((F.row_number().over(Window.orderBy(row_id)) - 1) / QUERY_BLOCK)) if have.count() > QUERY_BLOCK else have.withColumn("_b", F.lit(0))
+    blocks = max(1, -(-have.count() // QUERY_BLOCK))
+    numbered = have.withColumn("_b", F.pmod(F.xxhash64(row_id), F.lit(blocks)))  # about QUERY_BLOCK in each
     for b in sorted(r[0] for r in numbered.select("_b").distinct().collect()):
         block = numbered.where(F.col("_b") == b).select(row_id, vector).toPandas()
         q = np.stack([np.asarray(v, np.float64) for v in block[vector]])

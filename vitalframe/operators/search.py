@@ -15,8 +15,8 @@ QUERY_BLOCK = 20_000  # query vectors compared at once, which bounds what a task
 def nearest(queries: DataFrame, rows: DataFrame, row_id: str, vector: str, k: int) -> DataFrame:
     """(query_id, row_id, cosine): the k rows nearest to each query, itself left out (ties: the lesser id).
 
-    Queries are sent to the tasks in blocks of QUERY_BLOCK; each task keeps the k best of its batch for each query, so
-    the shuffle carries k rows for a query and batch. Null or zero vectors are near to nothing.
+    Queries are sent to the tasks in blocks of QUERY_BLOCK; each task keeps the k best of a slice of
+    its rows for each query, so the shuffle carries k rows for a query and slice. Null or zero vectors are near to nothing.
     """
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[row_id]
@@ -32,7 +32,7 @@ def nearest(queries: DataFrame, rows: DataFrame, row_id: str, vector: str, k: in
 
         def compare(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             ids, unit = shared.value
-            for f in frames:
+            for f in (b.iloc[a : a + 500] for b in frames for a in range(0, len(b), 500)):
                 f = f[f["v"].notna()]
                 if not len(f):
                     continue
@@ -63,9 +63,8 @@ def tfidf_scores(docs: DataFrame, row_id: str, text: str, terms: tuple[str, ...]
     words = docs.select(row_id, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("term")).where(F.length("term") > 1)
     tf = words.groupBy(row_id, "term").agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("d"))
-    size = F.broadcast(docs.agg(F.count("*").alias("docs")))
-    x = F.col("n") * (F.ln((1 + F.col("docs")) / (1 + F.col("d"))) + 1)
-    weighted = tf.join(df, "term").crossJoin(size).withColumn("x", x)
+    x = F.col("n") * (F.ln((1 + F.lit(docs.count())) / (1 + F.col("d"))) + 1)
+    weighted = tf.join(df, "term").withColumn("x", x)
     asked = F.when(F.col("term").isin(*terms), F.col("x"))
     g = weighted.groupBy(row_id).agg(F.sum(asked).alias("_s"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
     return g.where("_s IS NOT NULL").select(row_id, (F.col("_s") / F.col("_n")).alias("score"))

@@ -308,9 +308,9 @@ def completeness(t: Tables) -> DataFrame:
 @query(f"""WITH {_RES}, o AS (SELECT max(day) AS as_of FROM res) SELECT user_id, l.canonical_name, day AS last_day, day + months * 30 AS due, as_of - (day + months * 30) AS days_overdue FROM last l JOIN {dims.values(dims.INTERVALS, 'd', 'canonical_name, months')} USING (canonical_name), o WHERE day + months * 30 < as_of""")
 def overdue_tests(t: Tables) -> DataFrame:
     r = _results(t)
-    as_of = F.broadcast(r.agg(F.max("day").alias("as_of")))
+    as_of = F.lit(r.agg(F.max("day")).first()[0]).cast("date")
     last = series.latest(r).join(dims.frame(t.spark, dims.INTERVALS, "canonical_name string, months int"), "canonical_name").withColumn("due", F.expr("date_add(day, months * 30)"))
-    return last.join(as_of, F.col("due") < F.col("as_of")).select("user_id", "canonical_name", F.col("day").alias("last_day"), "due", F.datediff("as_of", "due").alias("days_overdue"))
+    return last.where(F.col("due") < as_of).select("user_id", "canonical_name", F.col("day").alias("last_day"), "due", F.datediff(as_of, "due").alias("days_overdue"))
 
 
 @query(f"""WITH {_DAYS} SELECT user_id, coalesce(workout_sport_name, 'all') AS sport, count(*) AS days, round(sum(calories), 4) AS calories, round(max(workout_max_hr), 4) AS max_hr FROM days WHERE workout_sport_name IS NOT NULL GROUP BY ROLLUP (user_id, workout_sport_name) HAVING user_id IS NOT NULL""")

@@ -109,6 +109,6 @@ def mix(sizes: DataFrame, targets: DataFrame, row_id: str, source: str, size: st
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, documents, tokens, share, most_copies) for each target source."""
     got = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    whole = F.broadcast(got.agg(F.sum("tokens").alias("_whole")))
+    whole = F.lit(got.agg(F.sum("tokens")).first()[0]).cast("double")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return F.broadcast(targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"))).join(got, "source", "left").crossJoin(whole).select("source", "target_share", zero("documents"), zero("tokens"), (F.coalesce("tokens", F.lit(0)) / F.col("_whole")).alias("share"), zero("most_copies"))
+    return F.broadcast(targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"))).join(got, "source", "left").select("source", "target_share", zero("documents"), zero("tokens"), (F.coalesce("tokens", F.lit(0)) / whole).alias("share"), zero("most_copies"))

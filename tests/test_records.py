@@ -135,3 +135,27 @@ def test_every_query_has_a_stable_schema(spark, sf):
     for name, query in plans.QUERIES.items():
         assert query(spark, sf).schema.fieldNames(), name
     assert set(plans.SQL) <= set(plans.QUERIES)
+
+
+OBS = "user_id long, obs_id string, canonical_name string, test_name string, value double, value_text string, unit string, reference_low double, reference_high double, reference_text string, flag string, date_effective string, site_id int, source_doc_id string, created_at timestamp"
+
+
+def _obs(obs_id, name, text, unit=None, low=None, high=None, date="2024-01-01", test=None, seen=dt.datetime(2024, 3, 1), user=1):  # noqa: ANN001, ANN202
+    return (user, obs_id, name, test or name, None, text, unit, low, high, None, None, date, 1, None, seen)
+
+
+def _folder(spark, path, obs, **more):  # noqa: ANN001, ANN003, ANN202
+    spark.createDataFrame(obs, OBS).write.parquet(f"{path}/clean_observations.parquet")
+    for name in ("dim_tests", "dim_unit_factors"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    for name, (rows, schema) in ({"dim_sites": ([(1, "UTC", "mdy")], "site_id int, tz string, date_order string")} | more).items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_critical_bounds_hold_in_the_common_unit(spark, tmp_path):
+    obs = [_obs("a", "glucose", "5.0", "mmol/L", 3.9, 5.5), _obs("b", "glucose", "30", "mmol/l", 3.9, 5.5), _obs("c", "glucose", "30", "mg/dL"), _obs("d", "glucose", "0.9", "g/L"), _obs("e", "glucose", "100 mg/dL"), _obs("f", "sodium", "1.4e2", "mEq/L")]
+    folder = _folder(spark, tmp_path, obs)
+    assert {r.obs_id for r in plans.QUERIES["critical_alerts_whole"](spark, folder).collect()} == {"b", "c"}
+    got = {r.obs_id: r for r in records.converted_results(spark.read.parquet(f"{folder}/clean_observations.parquet"), spark.read.parquet(f"{folder}/dim_tests.parquet"), spark.read.parquet(f"{folder}/dim_unit_factors.parquet")).collect()}
+    assert round(got["a"].value, 2) == 90.08 and round(got["a"].high, 2) == 99.09 and got["e"].value == 100 and got["f"].value == 140

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitalframe import dims
 from vitalframe.operators.rolling import latest_delivery
 from vitalframe.operators.timestamps import normalise_timestamps
+from vitalframe.operators.units import convert_units, unit_choices
 from vitalframe.session import small
 
 
@@ -29,10 +30,29 @@ def results(observations: DataFrame, tests: DataFrame) -> DataFrame:
     return observations.join(known, "canonical_name", "left_semi").select("user_id", "obs_id", "canonical_name", x.alias("value"), F.col("reference_low").alias("low"), F.col("reference_high").alias("high"), "flag", "unit", "created_at", "site_id", "date_effective", "source_doc_id").where("value IS NOT NULL")
 
 
+def converted_results(observations: DataFrame, tests: DataFrame, factors: DataFrame) -> DataFrame:
+    """results with value and bounds in the ``common_unit`` of the test; ``unit`` is the code of the recorded one, null
+    where none is written and the likeliest was taken. A number may have its unit behind it."""
+    plain = F.nanvl(F.col("value"), F.lit(None).cast("double"))
+    bare = F.when(~F.col("value_text").contains(","), number(F.col("value_text")))  # forms as 1e3 and .5 too
+    rows = observations.select("user_id", "obs_id", "canonical_name", F.coalesce(plain, bare).alias("value"), "value_text", "unit", "reference_low", "reference_high", "reference_text", "flag", "created_at", "site_id", "date_effective", "source_doc_id")
+    moves = unit_choices(tests.dropDuplicates(["canonical_name"]), factors).groupBy("kind", "code").agg(F.min(F.struct("factor", "shift")).alias("_m"))
+    got = convert_units(rows, tests, factors).join(small(moves), (F.col("canonical_name") == F.col("kind")) & (F.col("from_unit") == F.col("code")), "left")
+    moved = lambda c: F.coalesce(F.col(c) * F.col("_m.factor") + F.col("_m.shift"), F.col(c))
+    return got.select("user_id", "obs_id", "canonical_name", F.coalesce("converted", "recorded").alias("value"), moved("reference_low").alias("low"), moved("reference_high").alias("high"), "flag", F.when(F.col("unit_known"), F.col("from_unit")).alias("unit"), "common_unit", "created_at", "site_id", "date_effective", "source_doc_id")
+
+
+def collected(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """df (date_effective, site_id) with ``day``, the date of the collection as written or of its instant; null where
+    none can be read."""
+    got = normalise_timestamps(df, "date_effective", "site_id", sites)
+    return got.select(*[c for c in df.columns if c != "day"], F.col("utc_date").alias("day"))
+
+
 def dated_results(observations: DataFrame, tests: DataFrame, sites: DataFrame) -> DataFrame:
     """results with ``day``, the date of the collection as written or of its instant; undated rows are left out."""
-    got = normalise_timestamps(results(observations, tests), "date_effective", "site_id", sites)
-    return got.select("user_id", "obs_id", "canonical_name", "value", "low", "high", "flag", "unit", "created_at", F.col("utc_date").alias("day")).where("day IS NOT NULL")
+    got = collected(results(observations, tests), sites)
+    return got.select("user_id", "obs_id", "canonical_name", "value", "low", "high", "flag", "unit", "created_at", "day").where("day IS NOT NULL")
 
 
 def state_of(value: Column, low: Column, high: Column) -> Column:

@@ -1,7 +1,8 @@
 """Queries over the record tables, each with the SQL that gives the same rows.
 
-The day of a result is here the UTC day it was received (created_at), so that SQL can state it too; lab_trends_collected
-takes the day of collection read from the raw text. The as-of day is the newest day in the data, never the clock.
+The day of a result is here the UTC day it was received (created_at), and its value the number as recorded, so that SQL
+can state them too. The queries named *_whole, and lab_trends_collected, are the same analyses of whole results (see
+Whole), which SQL cannot state. The as-of day is the newest day in the data, never the clock.
 """
 
 from __future__ import annotations
@@ -18,7 +19,13 @@ def utc_day(column: str):  # noqa: ANN201
     return F.expr(f"date_from_unix_date(CAST(floor(unix_seconds(`{column}`) / 86400) AS INT))")
 
 
+class Whole(Tables):
+    """Tables whose results are converted to the common unit of their test."""
+
+
 def _results(t: Tables) -> DataFrame:
+    if isinstance(t, Whole):
+        return records.converted_results(t.clean_observations, t.dim_tests, t.dim_unit_factors).withColumn("day", utc_day("created_at")).where("day IS NOT NULL")
     return records.results(t.clean_observations, t.dim_tests).withColumn("day", utc_day("created_at")).where("day IS NOT NULL")
 
 
@@ -134,8 +141,8 @@ def lab_trends(t: Tables) -> DataFrame:
 
 @query()
 def lab_trends_collected(t: Tables) -> DataFrame:
-    """lab_trends by the day of collection, read from the raw text."""
-    return _told(series.trend(records.dated_results(t.clean_observations, t.dim_tests, t.dim_sites), ("user_id", "canonical_name"), "day", "value", 3), "user_id", "canonical_name")
+    """lab_trends of whole results by the day of collection, read from the raw text."""
+    return _told(series.trend(records.collected(_results(Whole(t.spark, t.folder)), t.dim_sites).where("day IS NOT NULL"), ("user_id", "canonical_name"), "day", "value", 3), "user_id", "canonical_name")
 
 
 @query(f"WITH {_DAYS}, {_trend_sql('long', 'user_id, provider, metric', 'date', '0', 5)} SELECT user_id, provider, metric, {_TOLD}")
@@ -484,3 +491,14 @@ def text_chunks(t: Tables) -> DataFrame:
 
     return chunks(t.documents, "doc_id", "text", 2000)
 
+
+def _whole(f):  # noqa: ANN001, ANN202
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return f(Whole(spark, folder))
+
+    run.__name__, run.__doc__ = f"{f.__name__}_whole", f.__doc__
+    return run
+
+
+WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers)
+QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in WHOLE}

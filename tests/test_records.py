@@ -159,3 +159,25 @@ def test_critical_bounds_hold_in_the_common_unit(spark, tmp_path):
     assert {r.obs_id for r in plans.QUERIES["critical_alerts_whole"](spark, folder).collect()} == {"b", "c"}
     got = {r.obs_id: r for r in records.converted_results(spark.read.parquet(f"{folder}/clean_observations.parquet"), spark.read.parquet(f"{folder}/dim_tests.parquet"), spark.read.parquet(f"{folder}/dim_unit_factors.parquet")).collect()}
     assert round(got["a"].value, 2) == 90.08 and round(got["a"].high, 2) == 99.09 and got["e"].value == 100 and got["f"].value == 140
+
+
+MEDS = "user_id long, med_id string, name string, dose string, unit string, frequency string, status string, start_date string, end_date string, site_id int, created_at timestamp"
+
+
+def test_days_are_those_of_the_collection_and_of_the_start(spark, tmp_path):
+    day0, seen = dt.date(2024, 1, 1), dt.datetime(2024, 6, 1)
+    days = [day0 + dt.timedelta(9 * i) for i in range(8)]
+    obs = [_obs(f"o{i}", "glucose", str(90 + 4 * i), "mg/dL", date=d.strftime("%m/%d/%Y"), seen=seen - dt.timedelta(i)) for i, d in enumerate(days)]
+    obs += [_obs("u", "glucose", "300", "mg/dL", date=None, seen=seen), _obs("v", "alt", "20", "U/L", date="", seen=seen)]
+    wear = [(1, "p", d, 90.0 - i, seen, f"w{i}") for i, d in enumerate(days)]
+    schema = "user_id long, provider string, date date, hrv double, synced_at timestamp, id string, " + ", ".join(f"{m} double" for m in ("rhr", "resp_rate", "sleep_score", "recovery_score", "strain", "sleep_duration_min", "spo2"))
+    meds = [(1, "m", "Glucanorm XR ", "5", "mg", None, "Active", str(days[3]), None, 1, seen)]
+    folder = _folder(spark, tmp_path, obs, clean_wearable_daily=([w + (None,) * 7 for w in wear], schema), clean_medications=(meds, MEDS))
+    run = lambda name: plans.QUERIES[f"{name}_whole"](spark, folder).collect()
+    assert [(r.metric, r.n, r.r) for r in run("lab_wearable_correlations")] == [("hrv", 8, -1.0)]
+    assert [(r.before, r.after, r.pct) for r in run("treatment_response")] == [(98.0, 118.0, 20.4082)]
+    assert [(r.obs_id, r.day) for r in run("treatment_baseline")] == [("o3", days[3])]
+    assert [(r.drug, r.newest) for r in run("active_medications")] == [("glucanorm", days[3])]
+    assert {(r.canonical_name, r.obs_id, r.day) for r in run("latest_per_test")} == {("glucose", "o7", days[7]), ("alt", "v", None)}  # undated results come last, none is lost
+    assert [(r.value, r.prev_value) for r in run("panel_delta")] == [(118.0, 114.0)]
+    assert [(r.n, r.first_value, r.last_value) for r in plans.QUERIES["lab_trends_collected"](spark, folder).collect()] == [(8, 90.0, 118.0)]

@@ -20,21 +20,28 @@ def utc_day(column: str):  # noqa: ANN201
 
 
 class Whole(Tables):
-    """Tables whose results are converted to the common unit of their test."""
+    """Tables whose results are converted to the common unit of their test and have the day of their collection, null
+    where none can be read; medications have the day they were started."""
 
 
 def _results(t: Tables) -> DataFrame:
     if isinstance(t, Whole):
-        return records.converted_results(t.clean_observations, t.dim_tests, t.dim_unit_factors).withColumn("day", utc_day("created_at")).where("day IS NOT NULL")
+        return records.collected(records.converted_results(t.clean_observations, t.dim_tests, t.dim_unit_factors), t.dim_sites)
     return records.results(t.clean_observations, t.dim_tests).withColumn("day", utc_day("created_at")).where("day IS NOT NULL")
 
 
+def _dated(t: Tables) -> DataFrame:
+    return _results(t).where("day IS NOT NULL")
+
+
 def _long(t: Tables) -> DataFrame:
     return records.unpivot(records.counted_days(t.clean_wearable_daily, list(dims.WEARABLE_METRICS)))
 
 
 def _meds(t: Tables) -> DataFrame:
     m = t.clean_medications
+    if isinstance(t, Whole):
+        return records.medications(m, t.dim_sites).withColumn("drug", F.regexp_replace("drug", " xr$", ""))
     return m.select("user_id", "med_id", F.regexp_replace(F.lower(F.trim("name")), " xr$", "").alias("drug"), F.lower(F.trim("status")).alias("status"), utc_day("created_at").alias("start_day"))
 
 
@@ -83,19 +90,19 @@ pair AS (SELECT *, CASE WHEN prev_value <> 0 THEN (value - prev_value) / abs(pre
 
 @query(f"WITH {_RES}, {_PREV} SELECT user_id, canonical_name, day, value, prev_day, prev_value, round(pct_change, 4) AS pct_change FROM pair")
 def latest_and_previous(t: Tables) -> DataFrame:
-    return series.latest_and_previous(_results(t)).select("user_id", "canonical_name", "day", "value", "prev_day", "prev_value", r4("pct_change"))
+    return series.latest_and_previous(_dated(t)).select("user_id", "canonical_name", "day", "value", "prev_day", "prev_value", r4("pct_change"))
 
 
 @query(f"WITH {_RES}, {_PREV} SELECT user_id, p.canonical_name, value, prev_value, round(pct_change, 4) AS pct_change FROM pair p JOIN {dims.values(dims.RAPID, 'd', 'canonical_name, bound')} USING (canonical_name) WHERE abs(pct_change) >= bound")
 def rapid_changes(t: Tables) -> DataFrame:
     rules = dims.frame(t.spark, dims.RAPID, "canonical_name string, bound double")
-    return series.latest_and_previous(_results(t)).join(rules, "canonical_name").where(F.abs("pct_change") >= F.col("bound")).select("user_id", "canonical_name", "value", "prev_value", r4("pct_change"))
+    return series.latest_and_previous(_dated(t)).join(rules, "canonical_name").where(F.abs("pct_change") >= F.col("bound")).select("user_id", "canonical_name", "value", "prev_value", r4("pct_change"))
 
 
 @query(f"""WITH {_RES}, {_PREV} SELECT user_id, canonical_name, value, prev_value, CASE WHEN value > high THEN 'high' ELSE 'low' END AS state FROM pair
 WHERE (prev_low IS NOT NULL OR prev_high IS NOT NULL) AND NOT coalesce(prev_value > prev_high, false) AND NOT coalesce(prev_value < prev_low, false) AND prev_value IS NOT NULL AND (value > high OR value < low)""")
 def threshold_crossings(t: Tables) -> DataFrame:
-    p = series.latest_and_previous(_results(t))
+    p = series.latest_and_previous(_dated(t))
     was = records.state_of(F.col("prev_value"), F.col("prev_low"), F.col("prev_high"))
     now = records.state_of(F.col("value"), F.col("low"), F.col("high"))
     ok = F.col("prev_value").isNotNull() & (F.col("prev_low").isNotNull() | F.col("prev_high").isNotNull()) & (was == "normal") & (now != "normal")
@@ -142,7 +149,7 @@ def lab_trends(t: Tables) -> DataFrame:
 @query()
 def lab_trends_collected(t: Tables) -> DataFrame:
     """lab_trends of whole results by the day of collection, read from the raw text."""
-    return _told(series.trend(records.collected(_results(Whole(t.spark, t.folder)), t.dim_sites).where("day IS NOT NULL"), ("user_id", "canonical_name"), "day", "value", 3), "user_id", "canonical_name")
+    return _told(series.trend(_dated(Whole(t.spark, t.folder)), ("user_id", "canonical_name"), "day", "value", 3), "user_id", "canonical_name")
 
 
 @query(f"WITH {_DAYS}, {_trend_sql('long', 'user_id, provider, metric', 'date', '0', 5)} SELECT user_id, provider, metric, {_TOLD}")
@@ -164,7 +171,7 @@ def rolling_anomalies(t: Tables) -> DataFrame:
 g AS (SELECT user_id, canonical_name, metric, count(*) AS n, CASE WHEN var_pop(x) > 1e-12 AND var_pop(y) > 1e-12 THEN corr(x, y) END AS r FROM a JOIN b USING (user_id, day) GROUP BY ALL)
 SELECT user_id, canonical_name, metric, n, round(r, 4) AS r, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' WHEN abs(r) >= 0.2 THEN 'weak' ELSE 'none' END AS strength FROM g WHERE n >= 5 AND abs(r) > 0.3""")
 def lab_wearable_correlations(t: Tables) -> DataFrame:
-    return series.correlations(_results(t), _long(t)).select("user_id", "canonical_name", "metric", "n", r4("r"), "strength")
+    return series.correlations(_dated(t), _long(t)).select("user_id", "canonical_name", "metric", "n", r4("r"), "strength")
 
 
 @query(f"""WITH {_RES}, d AS (SELECT user_id, canonical_name, day, arg_max(value, obs_id) AS value FROM res GROUP BY ALL), k AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM d),
@@ -173,7 +180,7 @@ j AS (SELECT coalesce(n.user_id, p.user_id) AS user_id, coalesce(n.canonical_nam
 c AS (SELECT *, CASE WHEN prev_value <> 0 THEN (value - prev_value) / abs(prev_value) * 100 END AS pct FROM j)
 SELECT user_id, canonical_name, value, prev_value, round(pct, 4) AS pct, CASE WHEN prev_value IS NULL THEN 'new' WHEN value IS NULL THEN 'resolved' WHEN coalesce(abs(pct), 0) < 3 THEN 'stable' WHEN value > prev_value THEN 'up' ELSE 'down' END AS change FROM c""")
 def panel_delta(t: Tables) -> DataFrame:
-    return series.panel_delta(_results(t)).select("user_id", "canonical_name", "value", "prev_value", r4("pct"), "change")
+    return series.panel_delta(_dated(t)).select("user_id", "canonical_name", "value", "prev_value", r4("pct"), "change")
 
 
 _DRUGS = dims.values(dims.DRUG_TESTS, "d", "drug, canonical_name, wanted")
@@ -188,14 +195,14 @@ g AS (SELECT m.user_id, med_id, drug, m.canonical_name, wanted, arg_max(value, (
 p AS (SELECT *, (after - before) / abs(before) * 100 AS pct FROM g WHERE before IS NOT NULL AND after IS NOT NULL AND before <> 0)
 SELECT user_id, med_id, drug, canonical_name, before, after, round(pct, 4) AS pct, CASE WHEN wanted = 'decrease' THEN pct < 0 ELSE pct > 0 END AS as_wanted FROM p WHERE abs(pct) >= 15""")
 def treatment_response(t: Tables) -> DataFrame:
-    return series.treatment_response(_meds(t), _results(t), _drugs(t)).select("user_id", "med_id", "drug", "canonical_name", "before", "after", r4("pct"), "as_wanted")
+    return series.treatment_response(_meds(t), _dated(t), _drugs(t)).select("user_id", "med_id", "drug", "canonical_name", "before", "after", r4("pct"), "as_wanted")
 
 
 @query(f"""WITH {_RES}, {_MEDS}, m AS (SELECT user_id, med_id, start_day, canonical_name FROM meds JOIN {_DRUGS} USING (drug) WHERE start_day IS NOT NULL)
 SELECT m.user_id, med_id, m.canonical_name, obs_id, day, value FROM m JOIN res r ON r.user_id = m.user_id AND r.canonical_name = m.canonical_name AND day BETWEEN start_day - 90 AND start_day + 7
 QUALIFY row_number() OVER (PARTITION BY med_id, m.canonical_name ORDER BY abs(day - start_day), day DESC, obs_id DESC) = 1""")
 def treatment_baseline(t: Tables) -> DataFrame:
-    return series.baseline_nearest(_meds(t), _results(t), _drugs(t))
+    return series.baseline_nearest(_meds(t), _dated(t), _drugs(t))
 
 
 @query(f"""WITH {_MEDS}, a AS (SELECT DISTINCT user_id, drug FROM meds WHERE status = 'active' AND drug IS NOT NULL)
@@ -301,7 +308,7 @@ def usual_units(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RES} SELECT user_id, canonical_name, day, count(*) AS results, CASE WHEN max(value) - min(value) < 0.001 THEN 'exact' ELSE 'conflict' END AS kind FROM res GROUP BY user_id, canonical_name, day HAVING count(*) > 1""")
 def duplicate_results(t: Tables) -> DataFrame:
-    g = _results(t).groupBy("user_id", "canonical_name", "day").agg(F.count("*").alias("results"), (F.max("value") - F.min("value")).alias("_d")).where("results > 1")
+    g = _dated(t).groupBy("user_id", "canonical_name", "day").agg(F.count("*").alias("results"), (F.max("value") - F.min("value")).alias("_d")).where("results > 1")
     return g.select("user_id", "canonical_name", "day", "results", F.when(F.col("_d") < 0.001, "exact").otherwise("conflict").alias("kind"))
 
 
@@ -314,7 +321,7 @@ def completeness(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RES}, o AS (SELECT max(day) AS as_of FROM res) SELECT user_id, l.canonical_name, day AS last_day, day + months * 30 AS due, as_of - (day + months * 30) AS days_overdue FROM last l JOIN {dims.values(dims.INTERVALS, 'd', 'canonical_name, months')} USING (canonical_name), o WHERE day + months * 30 < as_of""")
 def overdue_tests(t: Tables) -> DataFrame:
-    r = _results(t)
+    r = _dated(t)
     as_of = F.lit(r.agg(F.max("day")).first()[0]).cast("date")
     last = series.latest(r).join(dims.frame(t.spark, dims.INTERVALS, "canonical_name string, months int"), "canonical_name").withColumn("due", F.expr("date_add(day, months * 30)"))
     return last.where(F.col("due") < as_of).select("user_id", "canonical_name", F.col("day").alias("last_day"), "due", F.datediff(as_of, "due").alias("days_overdue"))
@@ -348,10 +355,15 @@ def timeline(t: Tables) -> DataFrame:
     """The 20 newest entries of each user over all sources: a top-k report."""
     from pyspark.sql import Window
 
+    whole = isinstance(t, Whole)
+    labs = records.collected(t.clean_observations, t.dim_sites) if whole else t.clean_observations.withColumn("day", utc_day("created_at"))
+    meds = t.clean_medications.withColumn("day", utc_day("created_at"))
+    if whole:
+        meds = records.collected(t.clean_medications.withColumnRenamed("start_date", "date_effective"), t.dim_sites)
     parts = [
-        t.clean_observations.select("user_id", utc_day("created_at").alias("day"), F.lit("lab").alias("kind"), F.col("obs_id").alias("id"), F.coalesce("canonical_name", "test_name").alias("title")),
+        labs.select("user_id", "day", F.lit("lab").alias("kind"), F.col("obs_id").alias("id"), F.coalesce("canonical_name", "test_name").alias("title")),
         t.parsed_events.select("user_id", F.col("date_effective").alias("day"), F.lit("symptom").alias("kind"), F.col("event_id").alias("id"), F.col("symptom_category").alias("title")),
-        t.clean_medications.select("user_id", utc_day("created_at").alias("day"), F.lit("medication").alias("kind"), F.col("med_id").alias("id"), F.col("name").alias("title")),
+        meds.select("user_id", "day", F.lit("medication").alias("kind"), F.col("med_id").alias("id"), F.col("name").alias("title")),
         t.clean_wearable_daily.select("user_id", F.col("date").alias("day"), F.lit("wearable").alias("kind"), "id", F.col("provider").alias("title")),
     ]
     w = Window.partitionBy("user_id").orderBy(F.desc("day"), "kind", F.desc("id"))
@@ -500,5 +512,5 @@ def _whole(f):  # noqa: ANN001, ANN202
     return run
 
 
-WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers)
+WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, treatment_baseline, overdue_tests, duplicate_results, timeline, active_medications)
 QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in WHOLE}

@@ -181,3 +181,10 @@ def test_days_are_those_of_the_collection_and_of_the_start(spark, tmp_path):
     assert {(r.canonical_name, r.obs_id, r.day) for r in run("latest_per_test")} == {("glucose", "o7", days[7]), ("alt", "v", None)}  # undated results come last, none is lost
     assert [(r.value, r.prev_value) for r in run("panel_delta")] == [(118.0, 114.0)]
     assert [(r.n, r.first_value, r.last_value) for r in plans.QUERIES["lab_trends_collected"](spark, folder).collect()] == [(8, 90.0, 118.0)]
+
+
+def test_results_of_mistyped_names_and_with_units_behind(spark, tmp_path):
+    obs = [_obs("a", "glcuose", "92 mg/dL"), _obs("b", None, "0,902", "g/L", 0.70, 0.99, test="Blood Sugar"), _obs("c", "misc", "4.8 10*3/uL", test="Leukocytes"), _obs("d", "alt", "170 U/L", test="SGPT"), _obs("e", None, "7", test="zzz qqq"), _obs("f", "misc", "TNP", test="Sodium"), _obs("g", None, "87", "mg/dL", test="N/A")]
+    folder = _folder(spark, tmp_path, [(i, *r[1:]) for i, r in enumerate(obs)])
+    got = {r.obs_id: (r.canonical_name, round(r.value, 6)) for r in plans.QUERIES["latest_per_test_whole"](spark, folder).collect()}
+    assert got == {"a": ("glucose", 92.0), "b": ("glucose", 90.2), "c": ("wbc", 4.8), "d": ("alt", 170.0)}

@@ -1,206 +1,5 @@
-"""Freely typed values mapped to the closest entry of a reference list.
+"""Problem 2's operators, which the record queries use too."""
 
-The distinct values are normalised, their character n-grams look up candidates in an inverted index of the list's
-labels, candidates are scored by weighted cosine, and the best entry is accepted above a threshold and with a margin
-over the next entry; other values are reported as unmatched.
-"""
+from vitalframe.operators.mapping import GramIndex, edits, filled, map_fields, match, normalise
 
-from __future__ import annotations
-
-import math
-import re
-import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from vitalframe.session import BROADCAST_ROWS, cut, small
-
-#: Words around a name that say nothing about it, and marks of branches and deliveries.
-QUALIFIERS = frozenset("lab test level result results serum plasma venous fasting auto via the performed at by main gmbh inc ltd llc send out branch".split())
-_MARK = re.compile(r"#\s*\d+|\bbranch\s*\d+|\(\s*ref\.?\s*lab\s*\)")
-_SAMPLE = re.compile(r"\s-\s*(blood|serum|plasma|urine)\s*$|^\s*s-(?=\w)|[,(]\s*(blood|urine|serum|plasma|venous|fasting)\s*\)?\s*$")
-# Characters that recognition software and hasty fingers confuse; one of each group stands for all.
-CONFUSED = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "$": "s"})
-
-
-SAID_NOTHING = frozenset(w.translate(CONFUSED) for w in QUALIFIERS)
-
-
-def normalise(text: str, whole: bool = False) -> list[str]:
-    """The words of a value in one form: compatibility characters, case, accents, punctuation and confusable
-    characters folded, qualifiers left out unless nothing else is there (or whole)."""
-    s = unicodedata.normalize("NFKC", text).casefold().strip()
-    s = _SAMPLE.sub(" ", _MARK.sub(" ", s))
-    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    words = re.findall(r"[^\W_]+", s.replace("|", "l").replace("!", "l"))
-    kept = words if whole else [w for w in words if w not in QUALIFIERS]
-    return [w.translate(CONFUSED) for w in (kept or words)]
-
-
-def grams(words: list[str]) -> dict[str, float]:
-    """Counts of the 2- and 3-grams of the words run together, so that a space lost or moved changes nothing, plus the
-    first letter of each word."""
-    s = "^" + "".join(words) + "$"
-    out: dict[str, float] = defaultdict(float)
-    for n in (2, 3):
-        for i in range(len(s) - n + 1):
-            out[s[i : i + n]] += 1.0
-    return dict(out)
-
-
-def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, changes and swaps of neighbours from a to b; most + 1 if there are more than most."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    older: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        older, last = last, row
-    return min(last[-1], most + 1)
-
-
-@dataclass
-class GramIndex:
-    """Inverted index of the labels of a list: gram -> postings (label number, weight)."""
-
-    labels: list[tuple[str, str]]
-    keys: list[str] = field(default_factory=list)
-    strings: list[str] = field(default_factory=list)
-    words: list[tuple[str, ...]] = field(default_factory=list)
-    exact: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
-    postings: dict[str, list[tuple[int, float]]] = field(default_factory=lambda: defaultdict(list))
-    idf: dict[str, float] = field(default_factory=dict)
-    norms: list[float] = field(default_factory=list)
-    most: float = 1.0
-
-    def __post_init__(self) -> None:
-        rows = []
-        forms = [(key, words) for key, label in self.labels for words in (normalise(label), normalise(label, True))]
-        for key, words in dict.fromkeys((k, tuple(w)) for k, w in forms):
-            if words:
-                self.keys.append(key)
-                self.strings.append("".join(words))
-                self.words.append(words)
-                rows.append(grams(words))
-                self.exact["".join(words)].add(key)
-                self.exact["".join(sorted(words))].add(key)
-        seen: dict[str, set[str]] = defaultdict(set)
-        for key, g in zip(self.keys, rows):
-            for x in g:
-                seen[x].add(key)
-        n = max(len(set(self.keys)), 1)
-        self.idf = {x: math.log((1 + n) / (1 + len(k))) + 1 for x, k in seen.items()}
-        self.most = math.log(1 + n) + 1
-        for i, g in enumerate(rows):
-            self.norms.append(math.sqrt(sum((c * self.idf[x]) ** 2 for x, c in g.items())))
-            for x, c in g.items():
-                self.postings[x].append((i, c * self.idf[x]))
-
-    def best(self, text: str, near: int = 8) -> tuple[str | None, float, float, bool]:
-        """(entry, its score, the score of the next entry, it is a misspelling of the entry): the weighted cosine of
-        the value's grams to the labels of the inverted index. The first ``near`` candidates are compared letter by
-        letter too: a value within a few edits of a label, and of no other entry's, is a misspelling of it, which
-        swapped letters hide from the grams of short names."""
-        both = [normalise(text), normalise(text, True)]
-        if set(both[1]) <= SAID_NOTHING:
-            return None, 0.0, 0.0, False
-        for words in both:
-            hit = self.exact.get("".join(words)) or self.exact.get("".join(sorted(words)))
-            if hit and len(hit) == 1:
-                return next(iter(hit)), 1.0, 0.0, True
-        found: dict[int, float] = {}
-        for words in both:
-            dots: dict[int, float] = defaultdict(float)
-            norm = 0.0
-            for x, c in grams(words).items():
-                w = c * self.idf.get(x, self.most)
-                norm += w * w
-                for i, v in self.postings.get(x, ()):
-                    dots[i] += w * v
-            for i, d in dots.items():
-                found[i] = max(found.get(i, 0.0), d / (math.sqrt(norm) * self.norms[i]))
-        by_key: dict[str, float] = {}
-        for i, s in found.items():
-            by_key[self.keys[i]] = max(by_key.get(self.keys[i], 0.0), s)
-        ranked = sorted(by_key.items(), key=lambda kv: (-kv[1], kv[0]))
-        if not ranked:
-            return None, 0.0, 0.0, False
-        off: dict[str, int] = {}
-        written = {"".join(w) for w in both}
-        for i in sorted(found, key=lambda i: -found[i])[: 3 * near]:
-            label = self.strings[i]
-            most = 0 if len(label) < 4 else 1 if len(label) < 7 else 2 if len(label) < 11 else 3
-            for s in written:
-                if (d := edits(s, label, most)) <= most:
-                    off[self.keys[i]] = min(off.get(self.keys[i], 99), d)
-        order = sorted((d, k) for k, d in off.items())
-        if order and (len(order) == 1 or order[0][0] < order[1][0]):
-            key = order[0][1]
-            return key, by_key[key], max([0.0, *(s for k, s in ranked if k != key)]), True
-        # A value all of whose words begin the words of one entry's label is a shortened form of it.
-        short = {self.keys[i] for i in found for w in both if found[i] >= 0.5 and len(w) == len(self.words[i]) and max(map(len, w)) > 3 and all(x.startswith(y) and len(y) > 2 for x, y in zip(self.words[i], w))}
-        if len(short) == 1:
-            key = short.pop()
-            return key, by_key[key], max([0.0, *(s for k, s in ranked if k != key)]), True
-        return ranked[0][0], ranked[0][1], ranked[1][1] if len(ranked) > 1 else 0.0, False
-
-
-def match(values: DataFrame, reference: DataFrame, threshold: float = 0.62, margin: float = 0.06) -> DataFrame:
-    """(list_name, value, entry_key, candidate, score, margin, misspelled): one row for each distinct (list_name, value)
-    of values that is neither null nor blank; entry_key is null where no entry is accepted.
-
-    reference: (list_name, key, label), at most BROADCAST_ROWS rows, which bounds the index each task is given; a
-    larger list raises ValueError. Values are deduplicated with a partial step before the shuffle, so a value that
-    fills a third of all rows costs one comparison. Values of lists that have no labels match nothing. Empty tables
-    give empty results.
-    """
-    labels = [tuple(r) for r in reference.where("key IS NOT NULL AND label IS NOT NULL").select("list_name", "key", "label").distinct().orderBy("list_name", "key", "label").limit(BROADCAST_ROWS + 1).collect()]
-    if len(labels) > BROADCAST_ROWS:
-        raise ValueError(f"the reference list has more than {BROADCAST_ROWS} labels")
-    by_list: dict[str, list[tuple[str, str]]] = defaultdict(list)
-    for name, key, label in labels:
-        by_list[name].append((key, label))
-    shared = values.sparkSession.sparkContext.broadcast({n: GramIndex(x) for n, x in by_list.items()})
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = GramIndex([])
-        for f in frames:
-            got = [shared.value.get(n, none).best(v) for n, v in zip(f["list_name"], f["value"])]
-            yield pd.DataFrame({"list_name": f["list_name"], "value": f["value"], "candidate": [k for k, *_ in got], "score": [g[1] for g in got], "margin": [g[1] - g[2] for g in got], "misspelled": [g[3] for g in got]})
-
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small bytes, much to compute
-    scored = filled(values).select("list_name", "value").distinct().repartition(tasks).mapInPandas(score, "list_name string, value string, candidate string, score double, margin double, misspelled boolean")
-    taken = F.col("misspelled") | ((F.col("score") >= threshold) & (F.col("margin") >= margin))
-    return scored.select("list_name", "value", F.when(taken, F.col("candidate")).alias("entry_key"), "candidate", "score", "margin", "misspelled")
-
-
-def filled(values: DataFrame) -> DataFrame:
-    return values.where(F.col("value").isNotNull() & F.col("value").rlike(r"[^\s\p{Z}]"))
-
-
-def map_fields(rows: DataFrame, row_id: str, fields: dict[str, str], reference: DataFrame, literal: DataFrame, **options: float) -> DataFrame:
-    """(row_id, field_name, entry_key or 'none'): one row for each row and field whose value is neither null nor blank
-    nor literally one of the field's labels.
-
-    fields: field_name -> list_name. reference: as in match. literal: (field_name, label). The mapping is written to a
-    checkpoint and joined back by broadcast where it is small; else by shuffle, where AQE splits a hot value's rows, as
-    the mapping has each value once. Repeated rows are kept; null ids are kept as null; whole values are compared.
-    """
-    one = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(n).alias("list_name"), F.col(f).alias("value")) for f, n in fields.items()]))
-    long = filled(rows.select(F.col(row_id).alias("_id"), one.alias("_x")).select("_id", "_x.*"))
-    asked = long.join(small(literal.select("field_name", F.col("label").alias("value")).distinct()), ["field_name", "value"], "left_anti")
-    mapping = cut(match(asked, reference, **options).select("list_name", "value", "entry_key"))
-    return asked.join(small(mapping), ["list_name", "value"], "left").select(F.col("_id").alias(row_id), "field_name", F.coalesce("entry_key", F.lit("none")).alias("entry_key"))
+__all__ = ["GramIndex", "edits", "filled", "map_fields", "match", "normalise"]

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe import dims
+from vitalframe.operators.mapping import match
 from vitalframe.operators.rolling import latest_delivery
 from vitalframe.operators.timestamps import normalise_timestamps
 from vitalframe.operators.units import convert_units, unit_choices
-from vitalframe.session import small
+from vitalframe.session import cut, small
 
 
 def number(text: Column) -> Column:
@@ -30,6 +31,24 @@ def results(observations: DataFrame, tests: DataFrame) -> DataFrame:
     return observations.join(known, "canonical_name", "left_semi").select("user_id", "obs_id", "canonical_name", x.alias("value"), F.col("reference_low").alias("low"), F.col("reference_high").alias("high"), "flag", "unit", "created_at", "site_id", "date_effective", "source_doc_id").where("value IS NOT NULL")
 
 
+def named(observations: DataFrame, tests: DataFrame) -> DataFrame:
+    """observations with the canonical_name of the listed test they are of: as it is where it is listed, else the test
+    that the mapping finds for canonical_name, else for test_name; null where it finds none. The mapping has one row
+    for each distinct value and is written to a checkpoint."""
+    words = F.concat(F.array("canonical_name", "display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    labels = tests.select(F.lit("tests").alias("list_name"), F.col("canonical_name").alias("key"), F.explode(words).alias("label"))
+    known = small(tests.where("canonical_name IS NOT NULL").select(F.col("canonical_name").alias("_listed")).distinct())
+    rows = observations.join(known, F.col("canonical_name") == F.col("_listed"), "left")
+    asked = rows.where("_listed IS NULL").select(F.lit("tests").alias("list_name"), F.explode(F.array("canonical_name", "test_name")).alias("value"))
+    asked = asked.where(~F.col("value").rlike(r"(?i)^\W*n\W+a\W*$"))  # not available: no sodium
+    mapping = cut(match(asked, labels).where("entry_key IS NOT NULL").select("value", "entry_key"))
+    of = lambda c: small(mapping.select(F.col("value").alias(f"_v_{c}"), F.col("entry_key").alias(f"_k_{c}")))
+    open_ = lambda c: F.when(F.col("_listed").isNull(), F.col(c))
+    for c in ("canonical_name", "test_name"):
+        rows = rows.join(of(c), open_(c) == F.col(f"_v_{c}"), "left")
+    return rows.select(*[c for c in observations.columns if c != "canonical_name"], F.coalesce("_listed", "_k_canonical_name", "_k_test_name").alias("canonical_name"))
+
+
 def converted_results(observations: DataFrame, tests: DataFrame, factors: DataFrame) -> DataFrame:
     """results with value and bounds in the ``common_unit`` of the test; ``unit`` is the code of the recorded one, null
     where none is written and the likeliest was taken. A number may have its unit behind it."""

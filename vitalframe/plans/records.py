@@ -20,13 +20,14 @@ def utc_day(column: str):  # noqa: ANN201
 
 
 class Whole(Tables):
-    """Tables whose results are converted to the common unit of their test and have the day of their collection, null
-    where none can be read; medications have the day they were started."""
+    """Tables whose results are those of every test that is named readably, whatever way its number is written,
+    converted to the common unit of the test, with the day of their collection, null where none can be read;
+    medications have the day they were started."""
 
 
 def _results(t: Tables) -> DataFrame:
     if isinstance(t, Whole):
-        return records.collected(records.converted_results(t.clean_observations, t.dim_tests, t.dim_unit_factors), t.dim_sites)
+        return records.collected(records.converted_results(records.named(t.clean_observations, t.dim_tests), t.dim_tests, t.dim_unit_factors), t.dim_sites)
     return records.results(t.clean_observations, t.dim_tests).withColumn("day", utc_day("created_at")).where("day IS NOT NULL")
 
 
@@ -512,5 +513,5 @@ def _whole(f):  # noqa: ANN001, ANN202
     return run
 
 
-WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, treatment_baseline, overdue_tests, duplicate_results, timeline, active_medications)
+WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, treatment_baseline, overdue_tests, duplicate_results, timeline, active_medications, threshold_crossings, pattern_scores, panel_gaps, conditional_gaps, domain_scores, composite_score, usual_units)
 QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in WHOLE}

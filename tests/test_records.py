@@ -188,3 +188,10 @@ def test_results_of_mistyped_names_and_with_units_behind(spark, tmp_path):
     folder = _folder(spark, tmp_path, [(i, *r[1:]) for i, r in enumerate(obs)])
     got = {r.obs_id: (r.canonical_name, round(r.value, 6)) for r in plans.QUERIES["latest_per_test_whole"](spark, folder).collect()}
     assert got == {"a": ("glucose", 92.0), "b": ("glucose", 90.2), "c": ("wbc", 4.8), "d": ("alt", 170.0)}
+
+
+def test_filtration_is_of_creatinine_in_any_unit(spark, tmp_path):
+    units = [("1.0", "mg/dL"), ("1.0", "MG/DL"), ("1.0", "mgs / dl"), ("10", "mg/L"), ("88.417", "umol/L"), ("1.0 mg/dL", None)]
+    folder = _folder(spark, tmp_path, [_obs(f"o{i}", "creatinine", text, unit, user=i) for i, (text, unit) in enumerate(units)], clean_demographics=([(i, 40, "F") for i in range(len(units))], "user_id long, age int, sex string"))
+    got = {r.user_id: r.egfr for r in plans.QUERIES["kidney_filtration_whole"](spark, folder).collect()}
+    assert set(got) == set(range(len(units))) and max(got.values()) - min(got.values()) < 0.01

@@ -418,7 +418,8 @@ def derived_markers(t: Tables) -> DataFrame:
 @query(f"""WITH {_RES}, c AS (SELECT l.user_id, value AS creatinine, age, lower(sex) IN ('f', 'female', 'w', 'weiblich', 'woman') AS female FROM last l JOIN clean_demographics d USING (user_id) WHERE canonical_name = 'creatinine' AND (unit = 'mg/dL') AND age IS NOT NULL AND trim(coalesce(sex, '')) <> '' AND value > 0)
 SELECT user_id, round(142 * pow(least(creatinine / CASE WHEN female THEN 0.7 ELSE 0.9 END, 1.0), CASE WHEN female THEN -0.241 ELSE -0.302 END) * pow(greatest(creatinine / CASE WHEN female THEN 0.7 ELSE 0.9 END, 1.0), -1.2) * pow(0.9938, age) * CASE WHEN female THEN 1.012 ELSE 1.0 END, 4) AS egfr FROM c""")
 def kidney_filtration(t: Tables) -> DataFrame:
-    last = series.latest(_results(t)).where("canonical_name = 'creatinine' AND unit = 'mg/dL' AND value > 0")
+    unit = "common_unit" if isinstance(t, Whole) else "unit"
+    last = series.latest(_results(t)).where(f"canonical_name = 'creatinine' AND {unit} = 'mg/dL' AND value > 0")
     d = t.clean_demographics.where("age IS NOT NULL AND trim(coalesce(sex, '')) != ''").select("user_id", "age", F.lower("sex").isin("f", "female", "w", "weiblich", "woman").alias("female"))
     return last.join(d, "user_id").select("user_id", F.round(series.egfr(F.col("value"), F.col("age"), F.col("female")), 4).alias("egfr"))
 
@@ -513,5 +514,5 @@ def _whole(f):  # noqa: ANN001, ANN202
     return run
 
 
-WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, treatment_baseline, overdue_tests, duplicate_results, timeline, active_medications, threshold_crossings, pattern_scores, panel_gaps, conditional_gaps, domain_scores, composite_score, usual_units)
+WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, treatment_baseline, overdue_tests, duplicate_results, timeline, active_medications, threshold_crossings, pattern_scores, panel_gaps, conditional_gaps, domain_scores, composite_score, usual_units, kidney_filtration)
 QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in WHOLE}

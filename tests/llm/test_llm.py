@@ -173,6 +173,30 @@ def test_packing_is_a_partition(spark, capacity):
     assert pack(df.limit(0), "doc_id", "n_tokens", capacity).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [300, 511, 1000, 2047])
+def test_containers_are_full_at_any_capacity(spark, capacity):
+    """Few unused tokens whatever the capacity's divisors, with a class of sizes (7) far smaller than a container."""
+    rng = random.Random(6)
+    sizes = [(i, 7 if i % 5 == 0 else max(1, int(rng.lognormvariate(5.5, 1)))) for i in range(20_000)]
+    df = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
+    report = fill_report(pack(df, "doc_id", "n_tokens", capacity), capacity).first()
+    assert report.tokens == sum(n for _, n in sizes) and report.filled > 0.95
+
+
+def test_few_items_are_fitted_too():
+    assert sum(n for _, n in plan({128: 2, 64: 4, 100: 1, 156: 1}, 256)) == 3
+    assert (4, 3, 3) in packing.few_item_patterns(10, np.array([3, 4])) and (2, 4, 4) not in packing.few_item_patterns(10, np.array([2, 4]))
+
+
+def test_too_many_targets_are_refused(spark, monkeypatch):
+    from vitalframe import session
+
+    targets = spark.createDataFrame([(f"s{i}", 0.1, 1) for i in range(5)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(session.rows_of, "__defaults__", (4,))
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        mix(spark.createDataFrame([(1, "s1", 5)], "doc_id long, source string, n_tokens long"), targets, "doc_id", "source", "n_tokens")
+
+
 def test_ranks_of_a_hot_class_are_whole(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(2).alias("k"))
     out = packing.rank_in_class(df, "k", ["id"], 5000, group=100).collect()

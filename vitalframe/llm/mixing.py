@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalframe.session import BROADCAST_ROWS
+from vitalframe.session import rows_of
 
 BITS = 12  # of the hash, told apart at each level
 LEVELS = 5  # 60 of the hash's bits; documents that agree in all of them are taken or left together
@@ -42,7 +42,7 @@ class Budget:
 def budgets(sizes: DataFrame, targets: DataFrame, source: str, size: str) -> list[Budget]:
     """The greatest budgets in the targets' proportion that the sources can give. A source without documents gets
     none, and the others' shares are in proportion to their targets."""
-    rows = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m")).orderBy("source").limit(BROADCAST_ROWS).collect()
+    rows = rows_of(targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m")).orderBy("source"))
     named = [r["source"] for r in rows]
     have = {r[0]: r[1] for r in sizes.where(F.col(source).isin(named)).groupBy(source).agg(F.sum(size)).collect()} if named else {}
     out = [Budget(r["source"], float(r["t"]), int(r["m"]), int(have.get(r["source"]) or 0)) for r in rows]

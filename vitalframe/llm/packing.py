@@ -1,7 +1,8 @@
 """Items of varying length packed into containers of a fixed capacity.
 
-All planning is done on the histogram of lengths, never on the items. Lengths are rounded up to a few hundred classes;
-patterns of a few items that fill a container are enumerated, and patterns of more items are added where they lower
+All planning is done on the histogram of lengths, never on the items. Items far smaller than a container are first run
+together into bundles, so that rounding costs little; lengths are then rounded up to a few hundred classes. Patterns
+of up to three items that fill a container are all enumerated, and patterns of more items are added where they lower
 the misfit most (a knapsack over the classes finds the best one); the number of times each pattern is repeated is fitted
 to the histogram by non-negative least squares and rounded down; what is left is packed by filling containers from the
 longest class downwards, each filling repeated as often as its classes allow. Items then find their container by
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from vitalframe.session import cut, small
 
-CLASSES = 256  # length classes of a container
+CLASSES = 256  # length classes of a container, at most
+SMALL = 32  # items below this part of a container are bundled
+BUNDLE = 8  # into bundles of about this part of it
 GROUP = 20_000  # items that one salted group holds on average
 
 
@@ -33,8 +36,9 @@ def few_item_patterns(classes: int, present: np.ndarray, items: int = 3) -> list
     def extend(left: int, top: int, chosen: tuple[int, ...]) -> None:
         if left in have and left <= top:
             out.append((*chosen, left))
-        if len(chosen) + 2 <= items:
-            for k in range(min(top, left - 1), left // (items - len(chosen)), -1):
+        more = items - len(chosen)
+        if more >= 2:
+            for k in range(min(top, left - 1), -(-left // more) - 1, -1):
                 if k in have:
                     extend(left - k, k, (*chosen, k))
 
@@ -67,7 +71,11 @@ def best_pattern(price: np.ndarray, classes: int) -> tuple[float, tuple[int, ...
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 200) -> np.ndarray:
     """argmin |a x - b| over x >= 0 from the start x, by accelerated projected gradients."""
-    step = 1 / max(float(np.linalg.norm(a, 2)) ** 2, 1e-12)
+    v = np.ones(a.shape[1])
+    for _ in range(30):  # the greatest singular value, by power iteration
+        v = a.T @ (a @ v)
+        v /= max(float(np.linalg.norm(v)), 1e-300)
+    step = 1 / max(1.05 * float(np.linalg.norm(a @ v)) ** 2, 1e-12)
     y, t = x.copy(), 1.0
     for _ in range(rounds):
         new = np.maximum(y - step * (a.T @ (a @ y - b)), 0)
@@ -84,25 +92,26 @@ def plan(histogram: dict[int, int], classes: int = CLASSES, rounds: int = 60) ->
         left[k] += n
     out: list[tuple[tuple[int, ...], int]] = []
     present = np.flatnonzero(left)
-    if len(present) and left.sum() > classes:
+    if len(present):
         # Rare classes weigh as much as frequent ones, so that their items find partners.
         weight = 1 / np.sqrt(np.maximum(left[present], 1.0))
         where = {int(k): i for i, k in enumerate(present)}
-        patterns = few_item_patterns(classes, present)
 
-        def column(p: tuple[int, ...]) -> np.ndarray:
-            c = np.zeros(len(present))
-            for k in p:
-                c[where[k]] += 1
-            return c * weight
+        def columns(patterns: list[tuple[int, ...]]) -> np.ndarray:
+            a = np.zeros((len(present), len(patterns)))
+            for j, p in enumerate(patterns):
+                for k in p:
+                    a[where[k], j] += 1
+            return a * weight[:, None]
 
         target = left[present] * weight
-        # The few patterns that fit best first: thousands of columns would only slow the fit.
-        columns = {p: column(p) for p in patterns}
-        chosen = sorted(patterns, key=lambda p: -float(columns[p] @ target) / float(columns[p] @ columns[p]) ** 0.5)[:400]
+        chosen = few_item_patterns(classes, present)
         x = np.zeros(len(chosen))
+        if chosen:  # all of them are fitted; those of no use are left, and come back below if they are of use
+            x = non_negative_least_squares(columns(chosen), target, x)
+            chosen, x = [p for p, n in zip(chosen, x) if n > 0.5], x[x > 0.5]
+        a = columns(chosen)
         for _ in range(rounds):
-            a = np.stack([columns[p] if p in columns else column(p) for p in chosen], 1) if chosen else np.zeros((len(present), 0))
             if len(chosen):
                 x = non_negative_least_squares(a, target, x)
             misfit = target - a @ x
@@ -112,6 +121,7 @@ def plan(histogram: dict[int, int], classes: int = CLASSES, rounds: int = 60) ->
             if gain <= 1e-9 or p in chosen:
                 break
             chosen.append(p)
+            a = np.concatenate([a, columns([p])], axis=1)
             x = np.append(x, 0.0)
         for p, n in sorted(zip(chosen, np.floor(x + 1e-9).astype(np.int64)), key=lambda t: -t[1]):
             need = np.bincount(p, minlength=classes + 1)
@@ -147,6 +157,15 @@ def rank_in_class(items: DataFrame, kind: str, row: list[str], total: int, group
     return ranked.join(small(offsets), [kind, "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_salt", "_in", "_before")
 
 
+def bundles(pieces: DataFrame, capacity: int, total: int) -> DataFrame:
+    """pieces (_id, _piece, _start, _n) with ``_group`` and ``_bundle``, which name a bundle: pieces of less than capacity / SMALL are run
+    together, in the order of a hash, into bundles of about capacity / BUNDLE."""
+    salts = max(1, math.ceil(total / GROUP))
+    salted = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "_piece"), F.lit(salts)).cast("int"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_id", "_piece", "_n").rowsBetween(Window.unboundedPreceding, -1))
+    return salted.select("_id", "_piece", "_start", "_n", "_group", F.floor(F.coalesce(before, F.lit(0)) / max(capacity // BUNDLE, 1)).cast("bigint").alias("_bundle"))
+
+
 def pack(sizes: DataFrame, row_id: str, size: str, capacity: int) -> DataFrame:
     """(row_id, piece_no, start, n, container_id): where each item lies. Items longer than the capacity are split into
     full containers and a rest; no other item is split. Items without size (0 or null) take no room and no container;
@@ -154,14 +173,20 @@ def pack(sizes: DataFrame, row_id: str, size: str, capacity: int) -> DataFrame:
     that matters). sizes is read several times: give one that is cheap to read, such as a checkpoint."""
     if capacity < 1:
         raise ValueError("a container must hold something")
-    classes = min(CLASSES, capacity)
-    # Classes are ranges of lengths; a container's classes together never stand for more than its capacity.
-    width = capacity // classes
+    # Classes are ranges of lengths, each counted as its longest; a length beyond the last class fills a container.
+    width = -(-capacity // CLASSES)
+    classes = capacity // width
     full = F.floor(F.col(size) / capacity).cast("bigint")
     whole = sizes.where(F.col(size) > 0).select(F.col(row_id).alias("_id"), F.col(size).cast("bigint").alias("_size"), full.alias("_full"))
     rest = F.col("_size") - F.col("_full") * capacity
-    pieces = whole.where(rest > 0).select("_id", F.col("_full").alias("_piece"), (F.col("_full") * capacity).alias("_start"), rest.alias("_n"), F.least(F.ceil(rest / width), F.lit(classes)).cast("int").alias("_class"))
-    top = whole.where("_full > 0").select("_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full") - 1)).alias("_piece")).select("_id", "_piece", (F.col("_piece") * capacity).alias("_start"), F.lit(capacity).cast("bigint").alias("_n"), F.lit(0).alias("_class"))
+    least = capacity // SMALL
+    pieces = whole.where(rest > 0).select("_id", F.col("_full").alias("_piece"), (F.col("_full") * capacity).alias("_start"), rest.alias("_n"))
+    tiny = bundles(pieces.where(F.col("_n") <= least), capacity, pieces.where(F.col("_n") <= least).count() if least else 0)
+    bundled = tiny.groupBy("_group", "_bundle").agg(F.sum("_n").alias("_n")).select("_group", "_bundle", F.lit(None).cast(dict(pieces.dtypes)["_id"]).alias("_id"), F.lit(0).cast("bigint").alias("_piece"), F.lit(0).cast("bigint").alias("_start"), "_n")
+    none = [F.lit(None).cast("int").alias("_group"), F.lit(None).cast("bigint").alias("_bundle")]
+    k = F.ceil(F.col("_n") / width).cast("int")
+    pieces = pieces.where(F.col("_n") > least).select(*none, "_id", "_piece", "_start", "_n").unionByName(bundled).withColumn("_class", F.when(k <= classes, k).otherwise(0))
+    top = whole.where("_full > 0").select("_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full") - 1)).alias("_piece")).select(*none, "_id", "_piece", (F.col("_piece") * capacity).alias("_start"), F.lit(capacity).cast("bigint").alias("_n"), F.lit(0).alias("_class"))
     items = pieces.unionByName(top)
     histogram = {r[0]: r[1] for r in items.groupBy("_class").count().collect()}  # at most CLASSES + 1 rows
     singles = histogram.pop(0, 0)
@@ -188,10 +213,17 @@ def pack(sizes: DataFrame, row_id: str, size: str, capacity: int) -> DataFrame:
                 here = kind == k
                 seg = np.searchsorted(first, rank[here], side="right") - 1
                 at[here] = container[seg] + (rank[here] - first[seg]) // m[seg]
-            yield pd.DataFrame({row_id: f["_id"], "piece_no": f["_piece"], "start": f["_start"], "n": f["_n"], "container_id": at})
-
-    ranked = rank_in_class(items, "_class", ["_id", "_piece"], sum(histogram.values()) + singles)
-    return ranked.select("_id", "_piece", "_start", "_n", "_class", "_rank").mapInPandas(place, f"`{row_id}` {dict(sizes.dtypes)[row_id]}, piece_no bigint, start bigint, n bigint, container_id bigint")
+            yield f[["_group", "_bundle", "_id", "_piece", "_start", "_n"]].assign(container_id=at)
+
+    ranked = rank_in_class(items, "_class", ["_group", "_bundle", "_id", "_piece"], sum(histogram.values()) + singles)
+    kind = dict(sizes.dtypes)[row_id]
+    columns = ["_group", "_bundle", "_id", "_piece", "_start", "_n"]
+    placed = ranked.select(*columns, "_class", "_rank").mapInPandas(place, f"_group int, _bundle bigint, _id {kind}, _piece bigint, _start bigint, _n bigint, container_id bigint")
+    named = [F.col("_id").alias(row_id), F.col("_piece").alias("piece_no"), F.col("_start").alias("start"), F.col("_n").alias("n"), "container_id"]
+    alone = placed.where("_bundle IS NULL").select(*named)
+    if not least:
+        return alone
+    return alone.unionByName(tiny.join(placed.where("_bundle IS NOT NULL").select("_group", "_bundle", "container_id"), ["_group", "_bundle"]).select(*named))
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

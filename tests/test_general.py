@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vitalframe.operators.rolling import MONOIDS, rolling_totals, trailing
 from vitalframe.operators.spikes import VITALS, flag_readings, judge
 from vitalframe.operators.timestamps import normalise_timestamps, parse_timestamps, zone_evidence
-from vitalframe.operators.units import convert_units, fold_unit, read_number
+from vitalframe.operators.units import convert_units, fold_text, fold_unit, read_number
 
 WEAR = "user_id long, provider string, date date, a double, synced_at timestamp, `_day` int"
 SITES = "site_id int, tz string, date_order string"
@@ -137,6 +137,19 @@ def test_missing_units_take_the_posterior(spark):
     assert convert_units(df.limit(0), kinds, factors).count() == 0
 
 
+def test_units_of_tiny_and_huge_numbers_are_fitted(spark):
+    """No number is too small or too large for the fit; folded texts are those of the expression."""
+    kinds = spark.createDataFrame([("trace", "pmol/L", 1e-9, 4e-9), ("cells", "/uL", 1e11, 4e11)], "canonical_name string, unit string, typical_low double, typical_high double")
+    factors = spark.createDataFrame([("trace", "nmol/L", "pmol/L", 1000.0, 0.0), ("cells", "10*3/uL", "/uL", 1000.0, 0.0)], "canonical_name string, from_unit string, to_unit string, factor double, shift double")
+    rng = np.random.default_rng(1)
+    rows = [(f"{k}{i}{u}", k, float(rng.lognormal(np.log(m), 0.2)) / f, None, None if i % 3 == 0 else u, None, None, None, 1) for k, m, units in (("trace", 2e-9, (("pmol/L", 1), ("nmol/L", 1000))), ("cells", 2e11, (("/uL", 1), ("10*3/uL", 1000)))) for u, f in units for i in range(90)]
+    got = convert_units(spark.createDataFrame(rows, OBS), kinds, factors).collect()
+    assert len(got) == len(rows) and all(r.obs_id.endswith(r.from_unit) for r in got)
+    texts = ["mg per dL", " X10E3/uL", "µkat/L", "°C", "MM/1h", "Gms/dl"]
+    folded = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fold_unit(F.col("t")).alias("f")).collect()
+    assert all(fold_text(r.t) == r.f for r in folded)
+
+
 def test_spikes_stuck_values_and_redeliveries(spark):
     rng, day0, at = np.random.default_rng(4), dt.date(2024, 1, 1), dt.datetime(2024, 6, 1)
     rows = []

@@ -9,7 +9,7 @@ from vitalframe import dims
 from vitalframe.operators.mapping import match
 from vitalframe.operators.rolling import latest_delivery
 from vitalframe.operators.timestamps import normalise_timestamps
-from vitalframe.operators.units import convert_units, unit_choices
+from vitalframe.operators.units import convert_units
 from vitalframe.session import cut, small
 
 
@@ -55,10 +55,8 @@ def converted_results(observations: DataFrame, tests: DataFrame, factors: DataFr
     plain = F.nanvl(F.col("value"), F.lit(None).cast("double"))
     bare = F.when(~F.col("value_text").contains(","), number(F.col("value_text")))  # forms as 1e3 and .5 too
     rows = observations.select("user_id", "obs_id", "canonical_name", F.coalesce(plain, bare).alias("value"), "value_text", "unit", "reference_low", "reference_high", "reference_text", "flag", "created_at", "site_id", "date_effective", "source_doc_id")
-    moves = unit_choices(tests.dropDuplicates(["canonical_name"]), factors).groupBy("kind", "code").agg(F.min(F.struct("factor", "shift")).alias("_m"))
-    got = convert_units(rows, tests, factors).join(small(moves), (F.col("canonical_name") == F.col("kind")) & (F.col("from_unit") == F.col("code")), "left")
-    moved = lambda c: F.coalesce(F.col(c) * F.col("_m.factor") + F.col("_m.shift"), F.col(c))
-    return got.select("user_id", "obs_id", "canonical_name", F.coalesce("converted", "recorded").alias("value"), moved("reference_low").alias("low"), moved("reference_high").alias("high"), "flag", F.when(F.col("unit_known"), F.col("from_unit")).alias("unit"), "common_unit", "created_at", "site_id", "date_effective", "source_doc_id")
+    got = convert_units(rows, tests, factors)
+    return got.select("user_id", "obs_id", "canonical_name", F.coalesce("converted", "recorded").alias("value"), F.col("common_low").alias("low"), F.col("common_high").alias("high"), "flag", F.when(F.col("unit_known"), F.col("from_unit")).alias("unit"), "common_unit", "created_at", "site_id", "date_effective", "source_doc_id")
 
 
 def collected(df: DataFrame, sites: DataFrame) -> DataFrame:

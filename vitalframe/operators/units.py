@@ -10,14 +10,15 @@ a bound are flagged as uncertain.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vitalframe.session import BROADCAST_ROWS, small
+from vitalframe.session import rows_of
 
 # Spellings of unit codes, both sides written as fold_unit leaves them.
 SPELLINGS = {
@@ -51,6 +52,14 @@ def fold_unit(unit: Column) -> Column:
     return F.when(unit.isNull() | (bare == ""), F.lit(None)).when(bare.isin(*PLAIN), bare).otherwise(out)
 
 
+def fold_text(unit: str) -> str:
+    """fold_unit of a text that is not blank."""
+    out = re.sub(r"\s+", "", re.sub(r"\s+per\s+", "/", unit.lower()))
+    for pattern, by in PARTS:
+        out = re.sub(pattern, by, out)
+    return out
+
+
 def read_number(text: Column, near: Column) -> tuple[Column, Column]:
     """(number, what is written behind it) of a result as text: comparison signs, thousands separators and decimal
     commas are understood; a single separator before exactly three digits is read in the way that is nearer to near
@@ -72,40 +81,71 @@ def read_number(text: Column, near: Column) -> tuple[Column, Column]:
     return number, F.when(behind != "", behind)
 
 
-def unit_choices(kinds: DataFrame, factors: DataFrame) -> DataFrame:
-    """(kind, code, factor, shift) of the common unit of each kind and of those that convert into it."""
-    common = kinds.where("unit IS NOT NULL").select(F.col("canonical_name").alias("kind"), F.col("unit").alias("code"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("shift"))
-    others = factors.join(kinds.select("canonical_name", F.col("unit").alias("to_unit")), ["canonical_name", "to_unit"]).select(F.col("canonical_name").alias("kind"), F.col("from_unit").alias("code"), F.col("factor").cast("double").alias("factor"), F.coalesce(F.col("shift").cast("double"), F.lit(0.0)).alias("shift"))
-    return common.unionByName(others)
+@dataclass
+class Kind:
+    """A kind of quantity: its common unit, typical bounds and the units that convert into the common one."""
+
+    unit: str | None
+    low: float | None
+    high: float | None
+    units: list[tuple[str, float, float]] = field(default_factory=list)  # code, factor, shift
+
+    def components(self) -> list[tuple[str, float, float]]:
+        """One of each set of units that convert alike, the common unit standing for its equals."""
+        ordered = sorted(self.units, key=lambda u: (u[0] != self.unit, u[0]))
+        return [u for i, u in enumerate(ordered) if u[1:] not in [v[1:] for v in ordered[:i]]]
+
+    def stands(self, code: str | None) -> str | None:
+        moved = next((u[1:] for u in self.units if u[0] == code), None)
+        return next((c for c, *by in self.components() if tuple(by) == moved), code)
+
+    def spelled(self) -> dict[str, tuple[str, float, float]]:
+        """Every spelling of every unit; one that would mean two of them means the one written like it, else the first
+        by code."""
+        out: dict[str, tuple] = {}
+        for code, factor, shift in self.units:
+            base = fold_text(code)
+            for rank, keys in ((0, (base,)), (1, (base, *SPELLINGS.get(base, ())))):
+                for key in keys:
+                    out[key] = min(out.get(key, (9, "")), (rank, code, factor, shift))
+        return {k: v[1:] for k, v in out.items()}
+
+
+def kinds_of(kinds: DataFrame, factors: DataFrame) -> dict[str, Kind]:
+    """The kinds by name, of kinds (canonical_name, unit, typical_low, typical_high) and factors (canonical_name,
+    from_unit, to_unit, factor, shift): dimension tables, of which one with more than BROADCAST_ROWS rows raises
+    ValueError. Of repeated kinds the one first by unit counts."""
+    out: dict[str, Kind] = {}
+    listed = kinds.where("canonical_name IS NOT NULL").select("canonical_name", "unit", F.col("typical_low").cast("double"), F.col("typical_high").cast("double")).distinct()
+    for name, unit, low, high in sorted(rows_of(listed), key=lambda r: (r[0], r[1] or "", r[2] or 0.0, r[3] or 0.0)):
+        out.setdefault(name, Kind(unit, low, high, [(unit, 1.0, 0.0)] if unit else []))
+    moves = factors.where("from_unit IS NOT NULL AND factor IS NOT NULL").select("canonical_name", "to_unit", "from_unit", F.col("factor").cast("double"), F.coalesce(F.col("shift").cast("double"), F.lit(0.0))).distinct()
+    for name, to, code, factor, shift in sorted(rows_of(moves), key=lambda r: tuple(x if isinstance(x, float) else x or "" for x in r)):
+        if name in out and to == out[name].unit and code not in [u[0] for u in out[name].units]:
+            out[name].units.append((code, factor, shift))
+    return out
 
 
-def _readings(rows: DataFrame, kinds: DataFrame, factors: DataFrame) -> DataFrame:
-    """The rows of known kinds with _number, _key (folded unit, null if none is written) and _low, _high."""
-    known = kinds.select("canonical_name", F.col("typical_low").cast("double").alias("_tl"), F.col("typical_high").cast("double").alias("_th"))
-    df = rows.join(small(known), "canonical_name", "inner")
+_UNIT = "struct<code: string, factor: double, shift: double>"
+
+
+def _readings(rows: DataFrame, dims: DataFrame) -> DataFrame:
+    """The numeric rows of known kinds beside their dims, with _number, _written (the unit written, as _UNIT, null if
+    none of its kind's is), _low and _high (the bounds where above 0), _from and _to (the bounds)."""
+    df = rows.join(F.broadcast(dims), F.col("canonical_name") == F.col("_kind"), "inner")
     ref = F.col("reference_text")
     num = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
     low = F.coalesce("reference_low", F.when(ref.rlike(r"\d\s*(?:-|–|—|to)\s*\d"), num(F.regexp_extract(ref, r"([\d.,]+)\s*(?:-|–|—|to)\s*([\d.,]+)", 1))))
     high = F.coalesce("reference_high", F.when(ref.rlike(r"\d\s*(?:-|–|—|to)\s*\d"), num(F.regexp_extract(ref, r"([\d.,]+)\s*(?:-|–|—|to)\s*([\d.,]+)", 2))).when(ref.rlike(r"^\s*[<≤]"), num(F.regexp_extract(ref, r"[<≤]=?\s*([\d.,]+)", 1))))
-    df = df.withColumn("_low", F.when(low > 0, low)).withColumn("_high", F.when(high > 0, high))
+    df = df.withColumn("_from", low).withColumn("_to", high).withColumn("_low", F.when(F.col("_from") > 0, F.col("_from"))).withColumn("_high", F.when(F.col("_to") > 0, F.col("_to")))
     middle = F.coalesce(F.sqrt(F.col("_low") * F.col("_high")), F.col("_high"))
     number, behind = read_number(F.col("value_text"), middle)
     plain = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
+    plain = F.when(F.abs(plain) < float("inf"), plain)
     beside = F.regexp_extract(ref, r"(?:-|–|—|to|<|≤)\s*[\d.,]+\)?\s*((?:x?10[*^eE]|/|[A-Za-z%°µμ]).*)$", 1)
     written = F.coalesce(F.when(F.trim("unit") != "", F.col("unit")), F.when(plain.isNull(), behind), F.when(F.trim(beside) != "", beside))
-    return df.select("*", F.inline(F.array(F.struct(F.coalesce(plain, number).alias("_number"), fold_unit(written).alias("_key")))))
-
-
-def _spelled(choices: DataFrame) -> DataFrame:
-    """(kind, key, code, factor, shift): every spelling of every choice; a spelling that would mean two of a kind's
-    choices means the one written like it, else the first by code."""
-    pairs = [(k, s) for k, alts in SPELLINGS.items() for s in (k, *alts)]
-    spark = choices.sparkSession
-    alt = spark.createDataFrame(pairs, "base string, key string")
-    folded = choices.withColumn("base", fold_unit(F.col("code")))
-    both = folded.select("kind", F.col("base").alias("key"), "code", "factor", "shift", F.lit(0).alias("r")).unionByName(folded.join(F.broadcast(alt), "base").select("kind", "key", "code", "factor", "shift", F.lit(1).alias("r")))
-    best = F.min(F.struct("r", "code", "factor", "shift")).alias("b")
-    return both.groupBy("kind", "key").agg(best).select("kind", "key", "b.code", "b.factor", "b.shift")
+    read = df.select("*", F.inline(F.array(F.struct(F.coalesce(plain, number).alias("_number"), fold_unit(written).alias("_key"))))).where("_number IS NOT NULL")
+    return read.withColumn("_written", F.try_element_at("_spelled", F.coalesce("_key", F.lit("")))).drop("_spelled", "_key")
 
 
 def fit_mixtures(histogram: list[tuple], choices: dict[str, list[tuple[str, float, float]]], typical: dict[str, tuple[float, float]], rounds: int = 50) -> dict[str, tuple[float, float, dict[str, float]]]:
@@ -163,62 +203,53 @@ def _weighted_median(pairs: list[tuple[float, int]], none: float = 0.17) -> floa
 
 def convert_units(rows: DataFrame, kinds: DataFrame, factors: DataFrame, sure: float = 0.95) -> DataFrame:
     """rows of a known canonical_name with a numeric result, with ``recorded`` (the number), ``from_unit`` (code),
-    ``converted`` (in the common unit), ``common_unit``, ``unit_known`` (it was written), ``posterior`` and
-    ``uncertain``.
+    ``converted`` (in the common unit), ``common_unit``, ``common_low`` and ``common_high`` (the row's bounds, of its
+    text where the columns have none, in the common unit), ``unit_factor``, ``unit_shift``, ``unit_known`` (it was written),
+    ``posterior`` and ``uncertain``.
 
     rows: canonical_name, value, value_text, unit, reference_low, reference_high, reference_text and any others. Rows
     of other kinds (a null or unlisted canonical_name) and rows without a number are left out, repeated rows kept. A
-    unit that is written but none of its kind's is taken as missing. kinds, factors: dimension tables as in
-    unit_choices, sent to all executors if small. The histogram brought to the driver has at most one row for each
-    kind, unit and bin, whatever the number of rows. An empty table gives an empty result.
+    unit that is written but none of its kind's is taken as missing. A number not above 0 has no logarithm: it is no
+    part of the fit, and takes its unit by the bounds and the weights of the units. kinds, factors: as in kinds_of,
+    made one literal table that is sent to all executors. The histogram brought to the driver has at most one row for
+    each kind, unit and bin of the logarithm of a double, whatever the number of rows. An empty table gives an empty
+    result.
     """
     spark = rows.sparkSession
-    kinds = kinds.dropDuplicates(["canonical_name"])
-    choices = unit_choices(kinds, factors)
-    listed = [r.asDict() for r in choices.limit(BROADCAST_ROWS).collect()]
-    dims = kinds.limit(BROADCAST_ROWS).collect()
-    typical = {r["canonical_name"]: (r["typical_low"], r["typical_high"]) for r in dims}
-    usual = {r["canonical_name"]: r["unit"] for r in dims}
-    # Units that convert alike are one component; the common unit stands for its equals.
-    components: dict[str, list[tuple[str, float, float]]] = defaultdict(list)
-    stands: dict[tuple[str, str], str] = {}
-    for r in sorted(listed, key=lambda r: (r["kind"], r["code"] != usual.get(r["kind"]), r["code"])):
-        same = next((c for c, f, s in components[r["kind"]] if (f, s) == (r["factor"], r["shift"])), None)
-        stands[r["kind"], r["code"]] = same or r["code"]
-        if same is None:
-            components[r["kind"]].append((r["code"], r["factor"], r["shift"]))
-    added = ["recorded", "from_unit", "converted", "common_unit", "unit_known", "posterior", "uncertain"]
+    known = kinds_of(kinds, factors)
+    added = ["recorded", "from_unit", "converted", "common_unit", "common_low", "common_high", "unit_factor", "unit_shift", "unit_known", "posterior", "uncertain"]
     kept = [c for c in rows.columns if c not in added]
-    read = _readings(rows, kinds, factors).where(F.col("_number").isNotNull())
-    spelled = small(_spelled(choices).select(F.col("kind").alias("_kind"), F.col("key").alias("_skey"), F.col("code").alias("_code"), F.col("factor").alias("_factor"), F.col("shift").alias("_shift")))
-    read = read.join(spelled, (F.col("canonical_name") == F.col("_kind")) & (F.col("_key") == F.col("_skey")), "left")
+    kind = "_kind string, _th double, _spelled map<string, " + _UNIT + ">"
+    read = _readings(rows, spark.createDataFrame([(k, x.high, x.spelled()) for k, x in known.items()], kind))
     bins = F.round(F.ln("_number") / BIN).cast("int")
-    off = F.ln((F.col("_high") * F.col("_factor") + F.col("_shift")) / F.col("_th"))
-    grouped = read.where((F.col("_number") > 1e-6) & (F.col("_number") < 1e9)).groupBy("canonical_name", "_code", bins.alias("b")).agg(F.count("*").alias("n"), F.count(off).alias("m"), F.percentile_approx(F.abs(off), 0.5, 50).alias("d"))
-    got = grouped.collect()
-    histogram = [(r[0], stands.get((r[0], r[1]), r[1]), r[2], r[3]) for r in got]
+    off = F.ln((F.col("_high") * F.col("_written.factor") + F.col("_written.shift")) / F.col("_th"))
+    got = read.where("_number > 0").groupBy("canonical_name", F.col("_written.code").alias("code"), bins.alias("b")).agg(F.count("*").alias("n"), F.count(off).alias("m"), F.percentile_approx(F.abs(off), 0.5, 50).alias("d")).collect()
+    histogram = [(r[0], known[r[0]].stands(r[1]), r[2], r[3]) for r in got]
     spread = min(max(1.5 * _weighted_median([(r["d"], r["m"]) for r in got if r["m"]]), SPREAD_LIMITS[0]), SPREAD_LIMITS[1])
-    fitted = fit_mixtures(histogram, components, typical)
+    components = {k: x.components() for k, x in known.items()}
+    fitted = fit_mixtures(histogram, components, {k: (x.low, x.high) for k, x in known.items()})
     cells = []
-    for kind, units in components.items():
-        mu, sd, w = fitted[kind]
-        cells.append((kind, float(mu), float(sd), [(u, float(f), float(s), float(math.log(w[u]))) for u, f, s in units]))
-    schema = T.StructType([T.StructField("_ckind", T.StringType()), T.StructField("_mu", T.DoubleType()), T.StructField("_sd", T.DoubleType()), T.StructField("_units", T.ArrayType(T.StructType([T.StructField("code", T.StringType()), T.StructField("factor", T.DoubleType()), T.StructField("shift", T.DoubleType()), T.StructField("lw", T.DoubleType())])))])
-    params = spark.createDataFrame(cells, schema)
-    read = read.join(small(params), F.col("canonical_name") == F.col("_ckind"), "left")
+    for k, x in known.items():
+        mu, sd, w = fitted[k]
+        cells.append((k, x.low, x.high, x.unit, x.spelled(), float(mu), float(sd), [(u, f, s, math.log(w[u])) for u, f, s in components[k]]))
+    schema = "_kind string, _tl double, _th double, _unit string, _spelled map<string, " + _UNIT + ">, _mu double, _sd double, _units array<struct<code: string, factor: double, shift: double, lw: double>>"
+    read = _readings(rows, spark.createDataFrame(cells, schema))
 
     def fit_of(u: Column) -> Column:
         y = lambda c: c * u["factor"] + u["shift"]
-        log = lambda c: F.ln(F.greatest(y(c), F.lit(1e-9)))
+        log = lambda c: F.ln(F.greatest(y(c), F.lit(1e-300)))
         by_value = F.when(F.col("_number") > 0, u["lw"] - F.pow(log(F.col("_number")) - F.col("_mu"), 2) / (2 * F.col("_sd") * F.col("_sd")) + F.ln(F.abs(u["factor"])) - log(F.col("_number")))
         bound = lambda c, t: F.when(F.col(c).isNotNull() & (F.col(t) > 0), -F.pow(log(F.col(c)) - F.ln(t), 2) / (2 * spread**2))
         return F.coalesce(by_value, u["lw"]) + F.coalesce(bound("_low", "_tl"), F.lit(0.0)) + F.coalesce(bound("_high", "_th"), F.lit(0.0))
 
-    scored = F.when(F.col("_code").isNull(), F.transform("_units", lambda u: F.struct(fit_of(u).alias("fit"), u["code"].alias("code"), u["factor"].alias("factor"), u["shift"].alias("shift"))))
+    scored = F.when(F.col("_written").isNull(), F.transform("_units", lambda u: F.struct(fit_of(u).alias("fit"), u["code"].alias("code"), u["factor"].alias("factor"), u["shift"].alias("shift"))))
     read = read.select("*", F.inline(F.array(F.struct(scored.alias("_scored")))))
     read = read.select("*", F.inline(F.array(F.struct(F.array_max("_scored").alias("_best")))))
     share = 1 / F.aggregate("_scored", F.lit(0.0), lambda a, s: a + F.exp(s["fit"] - F.col("_best.fit")))
-    factor, shift = F.coalesce("_factor", "_best.factor"), F.coalesce("_shift", "_best.shift")
-    common = small(kinds.select(F.col("canonical_name").alias("_k2"), F.col("unit").alias("common_unit")))
-    out = read.select(*kept, F.col("_number").alias("recorded"), F.coalesce("_code", "_best.code").alias("from_unit"), (F.col("_number") * factor + shift).alias("converted"), F.col("_code").isNotNull().alias("unit_known"), F.when(F.col("_code").isNotNull(), 1.0).otherwise(share).alias("posterior"))
-    return out.join(common, F.col("canonical_name") == F.col("_k2"), "left").drop("_k2").withColumn("uncertain", F.col("posterior") < sure)
+    factor, shift = F.coalesce("_written.factor", "_best.factor"), F.coalesce("_written.shift", "_best.shift")
+    moved = lambda c: F.coalesce(F.col(c) * factor + shift, F.col(c))
+    out = read.select(
+        *kept, F.col("_number").alias("recorded"), F.coalesce("_written.code", "_best.code").alias("from_unit"), (F.col("_number") * factor + shift).alias("converted"), F.col("_unit").alias("common_unit"), moved("_from").alias("common_low"), moved("_to").alias("common_high"),
+        factor.alias("unit_factor"), shift.alias("unit_shift"), F.col("_written").isNotNull().alias("unit_known"), F.when(F.col("_written").isNotNull(), 1.0).otherwise(share).alias("posterior"),
+    )
+    return out.withColumn("uncertain", F.col("posterior") < sure)

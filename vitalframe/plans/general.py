@@ -74,18 +74,19 @@ def p4_zones(spark: SparkSession, folder: str) -> DataFrame:
     return guess.join(sites.select("site_id", "tz"), "site_id").select("site_id", F.col("tz").alias("declared_tz"), F.col("_zone").alias("estimated_tz"), F.col("_violations").alias("violations"), F.col("_evidence").alias("evidence"))
 
 
-def p6_converted(spark: SparkSession, folder: str) -> DataFrame:
-    t = Tables(spark, folder)
+def _converted(t: Tables) -> DataFrame:
     rows = t.clean_observations.select("obs_id", "canonical_name", "value", "value_text", "unit", "reference_low", "reference_high", "reference_text")
-    return convert_units(rows, t.dim_tests, t.dim_unit_factors).select("obs_id", "canonical_name", "recorded", "from_unit", "converted", "common_unit", "unit_known", "posterior", "uncertain")
+    return convert_units(rows, t.dim_tests, t.dim_unit_factors)
+
+
+def p6_converted(spark: SparkSession, folder: str) -> DataFrame:
+    return _converted(Tables(spark, folder)).select("obs_id", "canonical_name", "recorded", "from_unit", "converted", "common_unit", "unit_known", "posterior", "uncertain")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    t = Tables(spark, folder)
     # Other spellings of the common unit, and units that convert into it unchanged, leave the number as it is.
-    got = p6_converted(spark, folder)
-    moved = small(t.dim_unit_factors.where((F.col("factor") != 1) | (F.coalesce("shift", F.lit(0.0)) != 0)).select("canonical_name", "from_unit").distinct())
-    return got.join(moved, ["canonical_name", "from_unit"]).where(F.col("converted") != F.col("recorded")).select("obs_id", "from_unit")
+    changed = ((F.col("unit_factor") != 1) | (F.col("unit_shift") != 0)) & (F.col("converted") != F.col("recorded"))
+    return _converted(Tables(spark, folder)).where(changed).select("obs_id", "from_unit")
 
 
 def p7_flagged(spark: SparkSession, folder: str) -> DataFrame:

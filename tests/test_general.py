@@ -103,6 +103,27 @@ def test_missing_zone_is_estimated_from_ingestion(spark):
     assert zone_evidence(parse_timestamps(df.limit(0), "text", F.lit("dmy")), ["feed"], "seen", ["Europe/Berlin"]).count() == 0
 
 
+def test_missing_zone_is_estimated_from_the_order_of_records(spark):
+    """No ingestion times: records of known instants before and behind bound those without zone. Ties and nulls in the
+    sequence, and a group of nothing but unknown zones, say nothing."""
+    zone, rows, t = ZoneInfo("America/Denver"), [], dt.datetime(2024, 2, 25, tzinfo=dt.timezone.utc)
+    truth = {}
+    for i in range(400):
+        t += dt.timedelta(minutes=37)
+        known = i % 2 == 0
+        rows.append((i, t.strftime("%Y-%m-%dT%H:%M:%SZ") if known else t.astimezone(zone).strftime("%Y-%m-%d %H:%M:%S"), 1, "a", i if i % 50 else None))
+        truth[i] = t.replace(tzinfo=None)
+    rows += [(1000, "2024-03-01 08:00", 1, "b", 3), (1001, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, site_id int, feed string, place int")
+    sites = spark.createDataFrame([(1, None, "mdy"), (2, "America/Denver", "mdy"), (3, "America/New_York", "mdy"), (4, "Europe/Berlin", "dmy")], "site_id int, tz string, date_order string")
+    out = {r.id: r for r in normalise_timestamps(df, "text", "site_id", sites, None, ["feed"], "place").collect()}
+    assert all(out[i].utc_time.replace(microsecond=0) == x.replace(microsecond=0) for i, x in truth.items())
+    assert {out[i].zone_from for i in range(1, 400, 2)} == {"estimate"} and out[1000].zone_from == "none" and out[1001].utc_date is None
+    parsed = parse_timestamps(df, "text", F.lit("mdy"))
+    cut_up = zone_evidence(parsed, ["feed"], None, ["America/Denver", "America/New_York", "Europe/Berlin"], "place", run=16).collect()
+    assert [(r.feed, r["_zone"], r["_violations"]) for r in cut_up] == [("a", "America/Denver", 0)]
+
+
 def test_numbers_and_units_as_written(spark):
     rows = [("1,020", 800.0, 1020.0, None), ("0,902", None, 0.902, None), ("6,574", 6.5, 6.574, None), ("1,234,567", None, 1234567.0, None), ("<0.5", None, 0.5, None), ("37,1 deg C", None, 37.1, "deg C"), ("7.9 10*3/uL", None, 7.9, "10*3/uL"), ("10 412", None, 10412.0, None), ("TNP", None, None, None), ("", None, None, None), (None, None, None, None), ("1.234,5", None, 1234.5, None)]
     number, behind = read_number(F.col("t"), F.col("near"))

@@ -9,10 +9,10 @@ fewest violations, then the least mean lag, is taken.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalframe.session import small
+from vitalframe.session import rows_of
 
 # Minutes east of UTC of zone abbreviations that name one offset.
 ABBREVIATIONS = {
@@ -97,51 +97,68 @@ def _utc(zone: Column) -> Column:
     return F.convert_timezone(zone, F.lit("UTC"), F.col("_local"))
 
 
-def zone_evidence(parsed: DataFrame, group: list[str], ingested: str, zones: list[str]) -> DataFrame:
+def zone_evidence(parsed: DataFrame, group: list[str], ingested: str | None, zones: list[str], sequence: str | None = None, run: int = 4096) -> DataFrame:
     """For each group its best zone: ``_zone``, ``_violations`` and ``_evidence`` (rows that could speak). parsed: from
-    parse_timestamps. One aggregation whatever the number of zones; groups without evidence get no row."""
-    early = F.col("_offset").isNull() & F.col("_timed") & F.col("_local").isNotNull() & F.col(ingested).isNotNull()
-    told = F.col("_offset").isNotNull() & ~F.col("_epoch") & F.col("_local").isNotNull()
+    parse_timestamps; groups without evidence get no row.
+
+    A zone is violated by a row that would lie after its ingestion, by one that writes another offset than the zone's
+    (offset 0, as of times stamped in UTC anywhere, says nothing), and, with a sequence (a number that grows as the records do), by one that would lie before the last known instant
+    before it, or after the next one behind it. Neighbours are looked for in runs of ``run`` numbers of the sequence,
+    so that a group of any size is spread over tasks. Every row is held against every zone and summed before the
+    shuffle, so the number of zones is not bounded.
+    """
+    us = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})")
+    told = F.col("_offset").isNotNull() & F.col("_local").isNotNull()
+    open_ = F.col("_offset").isNull() & F.col("_timed") & F.col("_local").isNotNull()
+    df = parsed.withColumn("_known", F.when(told, us("_local") - F.col("_offset").cast("bigint") * 60_000_000))
     # The wall clock of the ingestion in UTC, whatever the session's time zone.
-    taken = F.expr(f"timestampadd(MICROSECOND, unix_micros(`{ingested}`), TIMESTAMP_NTZ '1970-01-01 00:00:00')") if dict(parsed.dtypes)[ingested] == "timestamp" else F.col(ingested).cast("timestamp_ntz")
-    lag = lambda z: F.timestamp_diff("SECOND", _utc(F.lit(z)), taken)
-    written = F.timestamp_add("MINUTE", -F.col("_offset"), F.col("_local"))
-    aggregates = [F.count_if(early | told).alias("_evidence")]
-    for i, z in enumerate(zones):
-        wrong = F.count_if(early & (lag(z) < 0)) + F.count_if(told & (_utc(F.lit(z)) != written))
-        aggregates.append(F.struct(wrong.alias("v"), F.coalesce(F.avg(F.when(early & (lag(z) >= 0), lag(z))), F.lit(0.0)).alias("lag"), F.lit(i).alias("i"), F.lit(z).alias("zone")).alias(f"_z{i}"))
-    got = parsed.groupBy(*group).agg(*aggregates).where("_evidence > 0")
-    best = F.array_min(F.array(*[F.col(f"_z{i}") for i in range(len(zones))]))
-    return got.select(*group, best["zone"].alias("_zone"), best["v"].alias("_violations"), "_evidence")
-
-
-def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame, ingested: str | None = None, group: list[str] | None = None) -> DataFrame:
+    taken = F.lit(None).cast("bigint") if not ingested else F.expr(f"unix_micros(`{ingested}`)") if dict(parsed.dtypes)[ingested] == "timestamp" else us(f"CAST(`{ingested}` AS TIMESTAMP_NTZ)")
+    after, before = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    if sequence:
+        w = Window.partitionBy(*group, "_run").orderBy(sequence)
+        df = df.withColumn("_run", F.floor(F.col(sequence) / run))
+        after = F.max(F.when(F.col(sequence).isNotNull(), F.col("_known"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        before = F.min(F.when(F.col(sequence).isNotNull(), F.col("_known"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    df = df.select(*group, "_local", "_known", F.when(open_, taken).alias("_taken"), after.alias("_after"), before.alias("_before"), open_.alias("_open"), (told & ~F.col("_epoch") & (F.col("_offset") != 0)).alias("_told"))
+    speaks = F.col("_told") | (F.col("_open") & F.coalesce("_taken", "_after", "_before").isNotNull())
+    df = df.where(speaks).select("*", F.explode(F.array(*[F.lit(z) for z in zones])).alias("_zone"))
+    df = df.select("*", F.inline(F.array(F.struct(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', convert_timezone(_zone, 'UTC', _local))").alias("_at")))))
+    at = F.col("_at")
+    wrong = F.when(F.col("_told"), at != F.col("_known")).otherwise(F.coalesce(at > F.col("_taken"), F.lit(False)) | F.coalesce(at < F.col("_after"), F.lit(False)) | F.coalesce(at > F.col("_before"), F.lit(False)))
+    lag = F.when(F.col("_open") & (F.col("_taken") >= at), (F.col("_taken") - at) / 1e6)
+    got = df.groupBy(*group, "_zone").agg(F.count("*").alias("e"), F.count_if(wrong).alias("v"), F.coalesce(F.avg(lag), F.lit(0.0)).alias("lag"))
+    best = F.min(F.struct("v", "lag", "_zone", "e")).alias("_b")
+    return got.groupBy(*group).agg(best).select(*group, F.col("_b._zone").alias("_zone"), F.col("_b.v").alias("_violations"), F.col("_b.e").alias("_evidence"))
+
+
+def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame, ingested: str | None = None, group: list[str] | None = None, sequence: str | None = None) -> DataFrame:
     """df with ``utc_time`` (timestamp_ntz in UTC, null unless a time of day is given), ``utc_date`` (its date, or the
     date written), ``written_date``, ``is_instant``, ``is_epoch`` and ``zone_from`` ('text', 'site', 'estimate' or
     'none').
 
-    sites: (site_id, tz, date_order), at most BROADCAST_ROWS rows. A repeated hour means the earlier instant; a skipped
-    time moves forward by the hour skipped. A month or year means its first day. Where the text has a time and neither
-    it nor its site names a zone, the zone is estimated by group and ingested (see the module); without both of them,
-    or without evidence, the time is taken as UTC and zone_from is 'none'. Null, blank and undated texts give null.
-    Existing columns keep their names; new ones replace columns of the same name.
+    sites: (site_id, tz, date_order), at most BROADCAST_ROWS rows, else ValueError. A repeated hour means the earlier
+    instant; a skipped time moves forward by the hour skipped. A month or year means its first day. Where the text has a
+    time and neither it nor its site names a zone, the zone is estimated by group, with ingested, sequence or both (see
+    zone_evidence); without group, or without evidence, the time is taken as UTC and zone_from is 'none'. Null, blank
+    and undated texts give null. Existing columns keep their names; new ones replace columns of the same name.
     """
     added = {"utc_time", "utc_date", "written_date", "is_instant", "is_epoch", "zone_from"}
     kept = [c for c in df.columns if c not in added]
-    dim = small(sites.select(F.col("site_id").alias("_site"), F.col("tz").alias("_tz"), F.lower("date_order").alias("_order")).dropDuplicates(["_site"]))
-    joined = df.join(dim, F.col(site) == F.col("_site"), "left")
+    spark = df.sparkSession
+    listed = {r[0]: (r[1] or None, r[2]) for r in rows_of(sites.where("site_id IS NOT NULL").select("site_id", "tz", F.lower("date_order")).orderBy(F.desc("site_id"), F.desc("tz")))}
+    dim = spark.createDataFrame([(k, *v) for k, v in listed.items()], f"_site {dict(sites.dtypes)['site_id']}, _tz string, _order string")
+    joined = df.join(F.broadcast(dim), F.col(site) == F.col("_site"), "left")
     parsed = parse_timestamps(joined, text, F.col("_order"))
-    if ingested and group:
-        zones = [r[0] for r in sites.where("tz IS NOT NULL").select("tz").distinct().orderBy("tz").limit(600).collect()]  # the IANA list has fewer than 600
-        lost = parsed.where(F.col("_tz").isNull())
-        if zones:
-            estimate = zone_evidence(lost, group, ingested, zones).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_zone").alias("_guess"))
-            on = F.col("_tz").isNull()
-            for i, g in enumerate(group):
-                on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-            if lost.limit(1).count():
-                parsed = parsed.join(estimate, on, "left")
-    if "_guess" not in parsed.columns:
+    zones = sorted({z for z, _ in listed.values() if z})
+    # Only the sites that rows name are looked at for missing zones, not the rows' texts.
+    if group and zones and joined.where("_tz IS NULL").select(site).distinct().limit(1).count():
+        lost = parse_timestamps(joined.where("_tz IS NULL"), text, F.col("_order"))
+        estimate = zone_evidence(lost, group, ingested, zones, sequence).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_zone").alias("_guess"))
+        on = F.col("_tz").isNull()
+        for i, g in enumerate(group):
+            on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        parsed = parsed.join(estimate, on, "left")
+    else:
         parsed = parsed.withColumn("_guess", F.lit(None).cast("string"))
     zone = F.coalesce("_tz", "_guess", F.lit("UTC"))
     instant = F.when(~F.col("_timed"), F.lit(None)).when(F.col("_offset").isNotNull(), F.timestamp_add("MINUTE", -F.col("_offset"), F.col("_local"))).otherwise(_utc(zone))

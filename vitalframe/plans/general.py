@@ -9,7 +9,7 @@ from vitalframe.operators.rolling import rolling_totals
 from vitalframe.operators.spikes import flag_readings
 from vitalframe.operators.timestamps import normalise_timestamps, parse_timestamps, zone_evidence
 from vitalframe.operators.units import convert_units
-from vitalframe.session import small
+from vitalframe.session import rows_of, small
 from vitalframe.tables import Tables
 
 SLEEP_METRICS = ["sleep_duration_min", "recovery_score"]
@@ -48,14 +48,17 @@ rolled AS (
 
 
 def p4_times(spark: SparkSession, folder: str) -> DataFrame:
-    """Every dated record of the three tables with its instant or date."""
+    """Every dated record of the three tables with its instant or date. Where a site declared no zone, one is estimated
+    for the records of the user in each table by their ingestion times and the offsets that other records write;
+    documents have no ingestion times, and their ids do not follow their dates, so they have the written offsets."""
     t = Tables(spark, folder)
-    parts = []
-    for table, key, text, seen in (("clean_observations", "obs_id", "date_effective", "created_at"), ("clean_medications", "med_id", "start_date", "created_at"), ("documents", "doc_id", "received_at", None)):
-        rows = getattr(t, table).select(F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"), "site_id", *(["user_id", F.col(seen).alias("seen")] if seen else []))
-        got = normalise_timestamps(rows, "text", "site_id", t.dim_sites, *(("seen", ["user_id"]) if seen else ()))
-        parts.append(got.select(F.lit(table).alias("record_table"), "record_id", "utc_time", "utc_date", "written_date", "is_instant", "is_epoch", "zone_from"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = (
+        t.clean_observations.select(F.lit("clean_observations").alias("record_table"), F.col("obs_id").alias("record_id"), F.col("date_effective").alias("text"), "site_id", "user_id", F.col("created_at").alias("seen"))
+        .unionByName(t.clean_medications.select(F.lit("clean_medications").alias("record_table"), F.col("med_id").alias("record_id"), F.col("start_date").alias("text"), "site_id", "user_id", F.col("created_at").alias("seen")))
+        .unionByName(t.documents.select(F.lit("documents").alias("record_table"), F.col("doc_id").cast("string").alias("record_id"), F.col("received_at").alias("text"), "site_id", "user_id", F.lit(None).cast("timestamp").alias("seen")))
+    )
+    got = normalise_timestamps(rows, "text", "site_id", t.dim_sites, "seen", ["record_table", "user_id"])
+    return got.select("record_table", "record_id", "utc_time", "utc_date", "written_date", "is_instant", "is_epoch", "zone_from")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +70,7 @@ def p4_zones(spark: SparkSession, folder: str) -> DataFrame:
     """The zone that the rows of each site speak for, estimated without looking at the declared one."""
     t = Tables(spark, folder)
     sites = t.dim_sites
-    zones = [r[0] for r in sites.select("tz").distinct().orderBy("tz").limit(600).collect()]
+    zones = [r[0] for r in rows_of(sites.where("tz IS NOT NULL").select("tz").distinct().orderBy("tz"))]
     order = small(sites.select("site_id", "date_order"))
     parsed = parse_timestamps(t.clean_observations.select("site_id", "date_effective", "created_at").join(order, "site_id"), "date_effective", F.col("date_order"))
     guess = zone_evidence(parsed, ["site_id"], "created_at", zones)

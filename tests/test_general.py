@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalframe.operators.rolling import MONOIDS, rolling_totals, trailing
-from vitalframe.operators.spikes import VITALS, flag_readings, judge
+from vitalframe.operators.spikes import VITALS, flag_readings, limits, noise, stuck_readings
 from vitalframe.operators.timestamps import normalise_timestamps, parse_timestamps, zone_evidence
 from vitalframe.operators.units import convert_units, fold_text, fold_unit, read_number
 
@@ -188,7 +188,25 @@ def test_spikes_stuck_values_and_redeliveries(spark):
     got = {(r.id, r.metric, r.reason) for r in flag_readings(df, ["user_id", "provider"], "id", "date", "synced_at").collect()}
     assert got == {("d20", "spo2", "impossible"), ("d50", "hrv", "spike"), *[(f"d{i}", "skin_temp", "stuck") for i in range(60, 66)]}
     assert flag_readings(df.limit(0), ["user_id", "provider"], "id", "date", "synced_at").count() == 0
-    assert (judge(np.arange(3), np.full(3, np.nan), np.ones(3, bool), VITALS[0], 5, 6.5, 6, 0.15) == "").all()
+    assert limits(np.arange(3), np.full(3, np.nan), VITALS[0], 5, 6.5, 6) is None
+    # A source of nulls with many deliveries of the same days: its days are held once, its rows are all judged.
+    hot = [(f"h{i}", None, None, None if i % 7 == 0 else day0 + dt.timedelta(i % 60), 40.0 + i % 5 if i != 1205 else 900.0, None, None, None, at + dt.timedelta(seconds=i)) for i in range(3000)]
+    got = flag_readings(spark.createDataFrame(hot, df.schema), ["user_id", "provider"], "id", "date", "synced_at").collect()
+    assert [(r.id, r.metric, r.reason) for r in got] == [("h1205", "hrv", "impossible")]
+
+
+def test_noise_and_stuck_values_equal_brute_force():
+    rng = np.random.default_rng(2)
+    state = np.cumsum(rng.normal(0, 0.5, 20_000))
+    r, q = noise(state + rng.normal(0, 2.0, 20_000), 0.01)
+    assert abs(r - 4.0) < 0.4 and abs(q - 0.25) < 0.25
+    for _ in range(200):
+        y = rng.integers(0, 2, rng.integers(0, 30)).astype(float)
+        want = np.zeros(len(y), bool)
+        for a in range(len(y) - 3):
+            if len(set(y[a : a + 4])) == 1:
+                want[a : a + 4] = True
+        assert (stuck_readings(y, 4) == want).all()
 
 
 def test_p7_equals_robust_distances(spark, sf):

@@ -187,8 +187,10 @@ class GramIndex:
 
 
 def decide(candidates: list[Candidate]) -> tuple[str | None, float, float]:
-    """(entry, its score, the score of the next entry). While labels are in reach, they are scored by their edits, and
-    the others count less; else while entries are shortened, they are; else the cosine is the score."""
+    """(entry, its score, the score of the next entry). Labels equal to the value leave out all others; while labels are
+    in reach, they are scored by their edits, and the others count less; else while entries are shortened, they are;
+    else the cosine is the score."""
+    candidates = [c for c in candidates if c[1] == 1.0 and c[2] == 0] or candidates
     reached = any(e >= 0 for _, _, e, _ in candidates)
     shortened = not reached and any(s for *_, s in candidates)
 

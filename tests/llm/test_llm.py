@@ -13,7 +13,7 @@ from vitalframe.llm import pages, packing, plans, redaction
 from vitalframe.llm.mapping import GramIndex, edits, map_fields, match, normalise, reach
 from vitalframe.llm.mixing import mix, share_report
 from vitalframe.llm.packing import fill_report, pack, plan
-from vitalframe.llm.subjects import assign_subjects
+from vitalframe.llm.subjects import OTHER, Options, added_up, assign_subjects, term_table
 from vitalframe.llm.tokens import count, encoding, token_counts
 
 PAGES = "page_id string, source_doc_id string, page_number int, text string, _block int"
@@ -274,6 +274,37 @@ def test_subjects_of_labelled_documents(spark):
     assert assign_subjects(df.limit(0), "doc_id", "text", "lang", subjects, told).count() == 0
 
 
+def test_rare_languages_and_rare_words_have_a_model(spark):
+    """Documents that name a rare language are not read as another; words beyond the own terms still tell; unrelated
+    text added changes neither the terms nor the subjects of the rest."""
+    rng = random.Random(8)
+    words = {"heart": [f"cardio{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(300)], "law": [f"lex{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(300)]}
+    rows, labels, truth = [], [], {}
+    for i in range(600):
+        s = rng.choice(sorted(words))
+        rows.append((i, ". ".join(" ".join(rng.choice(words[s]) for _ in range(6)) for _ in range(5)), rng.choice(["xx", "yy", "zz"]) if i % 3 else rng.choice(["en", " ", None])))
+        truth[i] = s
+        if i % 2:
+            labels.append((i, s))
+    subjects = spark.createDataFrame([("heart", ""), ("law", "")], "subject string, description string")
+    told = spark.createDataFrame(labels, "doc_id long, subject string")
+    o = Options(own_terms=40, shared_terms=4096, language_documents=180)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in assign_subjects(df, "doc_id", "text", "lang", subjects, told, o).collect()}
+    held = [i for i in truth if i % 2 == 0]
+    assert {r.model for r in got.values()} == {OTHER} and sum(i in got and got[i].subject == truth[i] for i in held) >= 0.95 * len(held)
+    more = df.unionByName(spark.createDataFrame([(10_000 + i, "unrelated filler text of no subject. " * 3, "en") for i in range(2000)], df.schema))
+    table, larger = term_table(df, "text", "lang", o), term_table(more, "text", "lang", o)
+    assert set(table) == {OTHER} and set(larger) == {OTHER, "en"} and larger["en"].size >= 2000
+    assert sum(table[OTHER].own.values()) and table[OTHER].terms == 600
+
+
+def test_sums_of_many_parts_are_whole(spark):
+    rows = [("a", i % 3, i % 64, [float(i), 1.0]) for i in range(5000)]
+    got = {r.block: list(r.y) for r in added_up(spark.createDataFrame(rows, "lang string, block int, salt int, y array<double>").repartition(40))}
+    assert got == {b: [float(sum(i for i in range(5000) if i % 3 == b)), float(len(range(b, 5000, 3)))] for b in range(3)}
+
+
 def test_token_counts_of_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "two words")], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in token_counts(df, "doc_id", "text").collect()} == {1: 0, 2: 0, 3: 2}

@@ -11,20 +11,24 @@ document is about a subject if a fifth of its sentences are.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalframe.session import cut
+from vitalframe.session import cut, rows_of
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+#: Words of two letters or more, and what ends a sentence, in lower-case text.
+_PIECES = re.compile(r"[^\W\d_]{2,}|(?<=[.!?])\s|\n")
 NONE = "none"
-BLOCK = 1024  # terms whose partial sums are one row
+OTHER = ""  # name of the model that the languages without one of their own share
+BLOCK = 128  # terms whose partial sums are one row
+SALTS = 64  # sums of one block are added up in so many tasks first
 
 
 @dataclass(frozen=True)
@@ -35,84 +39,147 @@ class Options:
     least_cosine: float = 0.35
     keep: float = 0.3  # weight of the seed in a refined centroid
     share: float = 0.2
-    max_terms: int = 8192  # of a language, the most frequent: a size of the model
-    least_documents: int = 3
-    least_term_share: float = 0.0005
-    least_language_share: float = 0.005  # at most 200 languages have a model of their own
+    own_terms: int = 8192  # of a language, the most frequent: each has a vector of its own
+    shared_terms: int = 2048  # vectors that all its other terms share by hash
+    language_documents: int = 50  # least of a language with a model of its own
+    languages: int = 200  # with a model of their own, at most; the others share one
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text that hold a word, as lists of lower-case words."""
-    return [w for x in _SENTENCE.split(text) if (w := _WORD.findall(x.lower()))]
+def pieces(text: str) -> list[str]:
+    """The words of a text in lower case, and a blank or line feed where a sentence ends."""
+    return _PIECES.findall(text.lower())
 
 
-def term_table(docs: DataFrame, text: str, lang: str, o: Options) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
-    """(language -> term -> documents, language -> documents) over all documents that name their language. The
-    languages are at most 1 / least_language_share, the terms of each at most max_terms."""
+@dataclass
+class Terms:
+    """Of one model: its own terms with the documents they are in, all its terms and the sum of their documents, and
+    its documents."""
+
+    own: dict[str, int]
+    terms: int
+    held: int
+    size: int
+
+
+def term_table(docs: DataFrame, text: str, lang: str, o: Options) -> dict[str, Terms]:
+    """Model -> its terms, over all documents that name their language; one pass over the texts. Languages that are
+    rarer than the options ask are the model OTHER together."""
     named = docs.where(F.col(lang).isNotNull() & (F.trim(lang) != ""))
-    sizes = {r[0]: r[1] for r in named.groupBy(lang).count().orderBy(F.desc("count")).limit(int(1 / o.least_language_share)).collect()}
-    total = sum(sizes.values())
-    sizes = {k: n for k, n in sizes.items() if n >= o.least_language_share * total}
+    sizes = named.groupBy(F.col(lang).alias("l")).count()
+    large = {r[0]: r[1] for r in sizes.where(F.col("count") >= o.language_documents).orderBy(F.desc("count"), "l").limit(o.languages).collect()}
+    rest = sizes.where(~F.col("l").isin(list(large))).agg(F.sum("count")).first()[0]
+    model = F.when(F.col(lang).isin(list(large)), F.col(lang)).otherwise(OTHER)
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]{2,})"), 1))
-    counts = named.where(F.col(lang).isin(list(sizes))).select(F.col(lang).alias("l"), F.explode(words).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
-    out: dict[str, dict[str, int]] = {}
-    for k, n in sizes.items():
-        least = max(o.least_documents if n > 50 else 1, o.least_term_share * n)
-        top = counts.where((F.col("l") == k) & (F.col("n") >= least)).orderBy(F.desc("n"), "w").limit(o.max_terms)
-        out[k] = {r["w"]: r["n"] for r in top.collect()}
-    return out, sizes
+    counts = named.select(model.alias("l"), F.explode(words).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= o.own_terms)
+    out = {k: Terms({}, 0, 0, n) for k, n in [*large.items(), *([(OTHER, rest)] if rest else [])]}
+    for r in ranked.select("l", "w", "n").toLocalIterator():  # at most own_terms a model
+        out[r["l"]].own[r["w"]] = r["n"]
+    for r in counts.groupBy("l").agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect():
+        out[r["l"]].terms, out[r["l"]].held = r["c"], r["s"]
+    return out
 
 
 class Coder:
-    """Words to term numbers; the language of a document that names none is the one its words are likeliest in."""
-
-    def __init__(self, terms: dict[str, dict[str, int]], sizes: dict[str, int]):
-        self.langs = sorted(terms)
-        self.index = {k: {w: i for i, w in enumerate(sorted(terms[k]))} for k in self.langs}
-        self.idf = {k: np.array([max(np.log(sizes[k] / terms[k][w]), 1e-3) for w in self.index[k]], np.float64) for k in self.langs}
-        self.share = {k: {w: np.log((n + 0.5) / (sizes[k] + 1)) for w, n in terms[k].items()} for k in self.langs}
-        self.rare = {k: np.log(0.5 / (sizes[k] + 1)) for k in self.langs}
-
-    def language(self, named: str | None, words: set[str]) -> str | None:
-        if named in self.index:
-            return named
+    """Words to term numbers: a model's own terms have one each, its others share shared_terms by hash, so every word
+    counts. A document that names no language gets the model its words are likeliest in."""
+
+    def __init__(self, tables: dict[str, Terms], o: Options):
+        self.models = sorted(tables)
+        self.index, self.first, self.idf, self.share, self.rare = {}, {}, {}, {}, {}
+        for k, t in tables.items():
+            self.index[k] = {w: i for i, w in enumerate(sorted(t.own))}
+            self.first[k] = len(t.own)
+            others = t.terms - len(t.own)
+            mean = (t.held - sum(t.own.values())) / others if others else 1.0
+            own = [max(np.log(t.size / t.own[w]), 1e-3) for w in self.index[k]]
+            self.idf[k] = np.array(own + [max(np.log(t.size / max(mean, 1.0)), 1e-3)] * (o.shared_terms if others else 0), np.float64)
+            self.share[k] = {w: np.log((n + 0.5) / (t.size + 1)) for w, n in t.own.items()}
+            self.rare[k] = np.log(0.5 / (t.size + 1))
+        self.shared = o.shared_terms
+
+    def model(self, named: str | None, words: list[str]) -> str | None:
+        if named and named.strip():
+            return named if named in self.index else OTHER if OTHER in self.index else None
+        distinct = {w for w in words if len(w) > 1}
         best = None
-        for k in self.langs:
-            s = self.share[k]
-            v = sum(s.get(w, self.rare[k]) for w in words)
+        for k in self.models:
+            s, rare = self.share[k], self.rare[k]
+            v = sum(s.get(w, rare) for w in distinct)
             if best is None or v > best[0]:
                 best = (v, k)
-        return best[1] if best and words else None
+        return best[1] if best and distinct else None
+
+    def numbers(self, model: str, found: list[str]) -> tuple[list[int], list[int]]:
+        """(terms of the words of pieces, number of terms at the end of each sentence that has words)."""
+        index, first = self.index[model], self.first[model]
+        every = len(self.idf[model]) > first
+        ids: list[int] = []
+        ends: list[int] = []
+        words = False
+        for w in found:
+            i = index.get(w)
+            if i is not None:
+                ids.append(i)
+                words = True
+            elif len(w) > 1:
+                if every:
+                    ids.append(first + zlib.crc32(w.encode()) % self.shared)
+                words = True
+            elif words:
+                ends.append(len(ids))
+                words = False
+        if words:
+            ends.append(len(ids))
+        return ids, ends
 
 
 def encode(docs: DataFrame, row_id: str, text: str, lang: str, coder: Coder) -> DataFrame:
-    """(row_id, labels, lang, terms, ends, own, counts): the known terms of a document's sentences, run together, where
-    each sentence ends, and the document's distinct terms with their counts."""
+    """(row_id, labels, model, terms, ends, own, counts): the terms of a document's sentences, run together, where each
+    sentence ends, and the document's distinct terms with their counts."""
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for f in frames:
-            langs, terms, ends, own, counts = [], [], [], [], []
+            models, terms, ends, own, counts = [], [], [], [], []
             for t, named in zip(f["_text"], f["_lang"]):
-                parts = sentences(t) if t else []
-                k = c.language(named, {w for p in parts for w in p})
-                index = c.index[k] if k else {}
-                flat, at = [], []
-                for p in parts:
-                    flat += [index[w] for w in p if w in index]
-                    at.append(len(flat))
-                langs.append(k)
-                terms.append(np.array(flat, np.int32))
-                distinct, n = np.unique(terms[-1], return_counts=True)
+                found = pieces(t) if t else []
+                # What ends a sentence is one character, a word is two at least.
+                k = c.model(named, found)
+                ids, at = c.numbers(k, found) if k is not None else ([], [])
+                flat = np.array(ids, np.int32)
+                models.append(k)
+                terms.append(flat)
+                ends.append(np.array(at, np.int32))
+                distinct, n = np.unique(flat, return_counts=True)
                 own.append(distinct)
                 counts.append(n.astype(np.int32))
-                ends.append(np.array(at, np.int32))
-            yield pd.DataFrame({row_id: f["_id"], "labels": f["_labels"], "lang": langs, "terms": terms, "ends": ends, "own": own, "counts": counts})
+            yield pd.DataFrame({row_id: f["_id"], "labels": f["_labels"], "lang": models, "terms": terms, "ends": ends, "own": own, "counts": counts})
 
     return docs.select(F.col(row_id).alias("_id"), F.col("_labels"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, labels array<string>, lang string, terms array<int>, ends array<int>, own array<int>, counts array<int>")
 
 
+_SUMS = "lang string, block int, y array<double>"
+
+
+def added_up(parts: DataFrame) -> list:
+    """The sums of y (arrays of one length) of each (lang, block), as rows. parts: (lang, block, salt, y). They are
+    added in two steps by tasks that hold one sum at a time of each block, so the number of parts does not matter."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for f in frames:
+            for k, b, y in zip(f["lang"], f["block"], f["y"]):
+                got = sums.get((k, b))
+                sums[k, b] = np.array(y, float) if got is None else got + y
+        yield pd.DataFrame([(k, b, y) for (k, b), y in sums.items()], columns=["lang", "block", "y"])
+
+    first = parts.repartition("lang", "block", "salt").select("lang", "block", "y").mapInPandas(add, _SUMS)
+    return first.repartition("lang", "block").mapInPandas(add, _SUMS).collect()
+
+
 def _groups(frames: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[tuple[str, pd.DataFrame]]:
     """(language, its rows) of slices of the batches, so that what is worked on at once stays small."""
     for f in frames:
@@ -154,16 +221,14 @@ def _products(coded: DataFrame, coder: Coder, basis: dict[str, np.ndarray]) -> d
             order = np.argsort(term, kind="stable")
             here, first = np.unique(term[order], return_index=True)
             sums.setdefault(k, np.zeros_like(q[k]))[here] += np.add.reduceat(part[order], first, axis=0)
-        out = [(k, b, y[b * BLOCK : (b + 1) * BLOCK].ravel()) for k, y in sums.items() for b in range(-(-len(y) // BLOCK))]
-        yield pd.DataFrame(out, columns=["lang", "block", "y"])
-
-    def add(frames: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [frames["lang"].iloc[0]], "block": [frames["block"].iloc[0]], "y": [np.sum(np.stack(frames["y"].to_list()), axis=0)]})
+        salt = TaskContext.get().partitionId() % SALTS
+        for k, y in sums.items():
+            blocks = [(k, b, salt, y[b * BLOCK : (b + 1) * BLOCK].ravel()) for b in range(-(-len(y) // BLOCK))]
+            yield pd.DataFrame(blocks, columns=["lang", "block", "salt", "y"])
 
-    schema = "lang string, block int, y array<double>"
-    parts = coded.where("lang IS NOT NULL").select("lang", "own", "counts").mapInPandas(run, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
+    parts = added_up(coded.where("lang IS NOT NULL").select("lang", "own", "counts").mapInPandas(run, _SUMS.replace("y ", "salt int, y ")))
     out = {k: np.zeros_like(q) for k, q in basis.items()}
-    for r in parts:  # at most max_terms / BLOCK rows a language
+    for r in parts:  # (own_terms + shared_terms) / BLOCK rows a model at most
         y = np.array(r["y"]).reshape(-1, basis[r["lang"]].shape[1])
         out[r["lang"]][r["block"] * BLOCK : r["block"] * BLOCK + len(y)] = y
     return out
@@ -229,30 +294,30 @@ def _centroid_sums(coded: DataFrame, vectors: dict[str, np.ndarray], names: list
             n = counts.setdefault(k, np.zeros(len(cls)))
             np.add.at(s, of[ok], e[ok])
             n += np.bincount(of[ok], minlength=len(cls))
-        yield pd.DataFrame([(k, i, s[i], float(counts[k][i])) for k, s in sums.items() for i in range(len(cls)) if counts[k][i]], columns=["lang", "cls", "s", "n"])
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [f["lang"].iloc[0]], "cls": [f["cls"].iloc[0]], "s": [np.sum(np.stack(f["s"].to_list()), axis=0)], "n": [float(f["n"].sum())]})
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pd.DataFrame([(k, i, salt, np.append(s[i], counts[k][i])) for k, s in sums.items() for i in range(len(cls)) if counts[k][i]], columns=["lang", "block", "salt", "y"])
 
-    schema = "lang string, cls int, s array<double>, n double"
-    rows = coded.select("lang", "labels", "terms", "ends").where("lang IS NOT NULL" if centroids is not None else "lang IS NOT NULL AND labels IS NOT NULL").mapInPandas(run, schema).groupBy("lang", "cls").applyInPandas(add, schema).collect()
+    usable = "lang IS NOT NULL" if centroids is not None else "lang IS NOT NULL AND labels IS NOT NULL"
+    rows = added_up(coded.select("lang", "labels", "terms", "ends").where(usable).mapInPandas(run, _SUMS.replace("y ", "salt int, y ")))
     out = {k: (np.zeros((len(names), v.shape[1])), np.zeros(len(names))) for k, v in vectors.items()}
     for r in rows:  # one row for each language and class
-        out[r["lang"]][0][r["cls"]] = r["s"]
-        out[r["lang"]][1][r["cls"]] = r["n"]
+        out[r["lang"]][0][r["block"]] = r["y"][:-1]
+        out[r["lang"]][1][r["block"]] = r["y"][-1]
     return out
 
 
 def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects: DataFrame, labels: DataFrame | None = None, options: Options | None = None) -> DataFrame:
-    """(row_id, subject, sentences, share): the subjects of each document, perhaps none.
+    """(row_id, subject, sentences, share, model): the subjects of each document, perhaps none; model is the language
+    whose terms it was read with, or empty for the model that rare languages share.
 
     subjects: (subject, description), a few rows. labels: (doc_id, subject) of some documents, any number, a subject
     'none' for those without one; without labels the descriptions are the seeds alone. Terms, weights and centroids are
     summed over all documents. Documents without a language get the one their words are likeliest in; documents
-    without text have no subjects; repeated rows are assigned each. An empty table gives an empty result.
+    without text have no subjects; repeated rows are assigned each. An empty table gives an empty result. More than
+    BROADCAST_ROWS subjects raise ValueError.
     """
     o = options or Options()
-    described = {r["subject"]: r["description"] or "" for r in subjects.where("subject IS NOT NULL").orderBy("subject").limit(1000).collect()}
+    described = {r["subject"]: r["description"] or "" for r in rows_of(subjects.where("subject IS NOT NULL").select("subject", "description").orderBy("subject"))}
     names = [*sorted(described), NONE]
     rows = docs.select(row_id, text, lang)
     if labels is not None:
@@ -260,8 +325,7 @@ def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects
         rows = rows.join(told, row_id, "left")
     else:
         rows = rows.withColumn("_labels", F.lit(None).cast("array<string>"))
-    terms, sizes = term_table(rows, text, lang, o)
-    coder = Coder(terms, sizes)
+    coder = Coder(term_table(rows, text, lang, o), o)
     coded = cut(encode(rows, row_id, text, lang, coder))
     vectors = embed_terms(coded, coder, o)
     seeds = {}
@@ -269,7 +333,7 @@ def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects
         c = _unit(s)
         for i, name in enumerate(names):
             if not n[i] and name in described:
-                known = [coder.index[k][w] for p in sentences(described[name]) for w in p if w in coder.index[k]]
+                known = [coder.index[k][w] for w in pieces(described[name]) if w in coder.index[k]]
                 c[i] = _unit(vectors[k][known].sum(axis=0)) if known else 0.0
         seeds[k] = c
     centroids = seeds
@@ -291,6 +355,6 @@ def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects
             count = np.bincount(doc * len(cls) + of, minlength=len(g) * len(cls)).reshape(len(g), len(cls))
             total = count.sum(axis=1)
             d, c = np.nonzero((count[:, :-1] > 0) & (count[:, :-1] >= o.share * total[:, None] - 1e-9))
-            yield pd.DataFrame({row_id: g[row_id].to_numpy()[d], "subject": [cls[i] for i in c], "sentences": count[d, c], "share": count[d, c] / total[d]})
+            yield pd.DataFrame({row_id: g[row_id].to_numpy()[d], "subject": [cls[i] for i in c], "sentences": count[d, c], "share": count[d, c] / total[d], "model": k})
 
-    return coded.where("lang IS NOT NULL").select(row_id, "lang", "terms", "ends").mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, subject string, sentences bigint, share double")
+    return coded.where("lang IS NOT NULL").select(row_id, "lang", "terms", "ends").mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, subject string, sentences bigint, share double, model string")

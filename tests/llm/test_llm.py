@@ -56,6 +56,51 @@ def test_blocks_of_pages_change_nothing(spark, sf):
     assert one and one == sorted(tuple(r) for r in pages.page_noise(df, *args, block=4).collect())
 
 
+def test_words_sent_to_all_tasks_change_nothing(spark, sf):
+    """Rare words are joined to the blocks that ask for them: a vocabulary of 20 sent words, or none, gives the same."""
+    df = plans._pages(plans.Tables(spark, sf))
+    args = ("source_doc_id", "page_id", "page_number", "text")
+    one = sorted(tuple(r) for r in pages.page_noise(df, *args).collect())
+    for sent in (20, 0):
+        assert one == sorted(tuple(r) for r in pages.page_noise(df, *args, sent=sent).collect())
+
+
+def test_unrelated_text_changes_no_vocabulary(spark):
+    """A word that the corpus has a few times is still known when much other text is added."""
+    page = "the rare zymurgist spoke of zymur-\ngist work and the zymurg1st left"
+    extra = [(f"z{i}", f"z{i}", 1, "a zymurgist is here", 0) for i in range(9)] + [("q", "q", 1, page, 0)]
+    df = _corpus(spark, extra)
+    other = spark.createDataFrame([(f"o{i}", f"o{i}", 1, " ".join(f"w{i}x{j}" for j in range(40)) + " filler words" * 2000, 0) for i in range(60)], PAGES)
+    of = lambda d: sorted((r.line_no, r.noise) for r in pages.page_noise(d, "source_doc_id", "page_id", "page_number", "text", sent=50).where("page_id = 'q'").collect())
+    assert of(df) == of(df.unionByName(other)) == [(0, "hyphen_break"), (1, "misread")]
+
+
+def test_paragraphs_run_on_over_any_number_of_pages(spark):
+    """A paragraph far longer than a block with its halo is one, whatever the blocks; words broken at page ends join."""
+    line = "the morning report shows that blood pressure remained within normal limits"
+    long = [("p%02d" % i, "d", i, f"{line}\nand treatment of every vis-" if i == 1 else f"it {line}\nand treatment of every vis-" if i < 20 else "it remained.\n\nthe report shows treatment.", 0) for i in range(1, 21)]
+    df = _corpus(spark, long)
+    got = {}
+    for block in (2, 4, 8, 1000):
+        rows = pages.page_paragraphs(df, "source_doc_id", "page_id", "page_number", "text", block=block).where("source_doc_id = 'd'").orderBy("page_number", "paragraph_no").collect()
+        got[block] = [(r.page_number, r.paragraph_no, r.text) for r in rows]
+    assert got[2] == got[4] == got[8] == got[1000]
+    assert len(got[2]) == 2 and got[2][0][2].count("every visit") == 19 and got[2][0][2].endswith("visit remained.") and got[2][1][2] == "the report shows treatment."
+
+
+def test_crowds_of_pages_are_cut_up(spark):
+    """Pages without number, and one page delivered very often, are no task's whole burden, and none is lost."""
+    many = [(f"u{i:04d}", None, None, f"the report shows treatment {i}.", 0) for i in range(300)] + [(f"r{i:04d}", "rep", 7, "blood pres-\nsure remained.", 0) for i in range(300)]
+    df = _corpus(spark, many)
+    args = ("source_doc_id", "page_id", "page_number", "text")
+    groups = pages._blocks(df, *args, 8).groupBy("_doc", "_block", "_part").count().agg(F.max("count")).first()[0]
+    assert groups < 100
+    noise = [r.page_id for r in pages.page_noise(df, *args, block=8).where("noise = 'hyphen_break'").collect()]
+    assert sorted(noise) == [f"r{i:04d}" for i in range(300)]
+    text = " ".join(r.text for r in pages.page_paragraphs(df, *args, block=8).where("source_doc_id IS NULL").collect())
+    assert all(f"treatment {i}." in text for i in range(300))
+
+
 # ---- mapping
 
 TESTS = [("free_t3", "Free T3"), ("free_t4", "Free T4"), ("vitamin_b12", "Vitamin B12"), ("glucose", "Fasting Glucose"), ("chloride", "Chloride"), ("cholesterol", "Total Cholesterol"), ("alp", "Alk Phos"), ("k", "K")]

@@ -3,15 +3,16 @@
 Running heads are lines at the page's edges that come again, perhaps damaged, at the same edge of the document's other
 pages; page numbers are edge lines that count the pages; words broken at line ends are joined when the corpus
 vocabulary knows the whole; misread words are those that a known confusion of characters turns into a word many times
-as frequent. Documents are cut into blocks of pages that also get the pages beside them, so that a document of any
-length is spread over tasks.
+as frequent. Words count by how often the whole corpus has them: the most frequent are sent to all tasks, the counts of
+rarer ones that a block of pages asks for are joined to it. Documents are cut into blocks of pages that also get the
+pages beside them, so that a document of any length is spread over tasks; paragraphs that run on are put together.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.llm.flow import over_keys
-from vitalframe.session import cut
+from vitalframe.session import cut, small
 
 # What recognition software writes for what stands there.
 CONFUSIONS = (
@@ -40,34 +41,64 @@ _JOINERS = frozenset("and or to und oder bis y o e u et".split())
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _PAGE = re.compile(r"^[\W_]*(?:(?:pages?|pg|p|seite|s|página|pág|blatt|sheet)[\s.:]*)?(?P<n>[\dlI|OoSsB]{1,5}|[ivxlcIVXLC]{1,7})(?:\s*(?:of|/|von|de|aus|out of)\s*[\dlI|OoSsB]{1,5})?[\W_]*$", re.I)
 HALO = 3  # pages beside a block
+LEAST = 3  # times the corpus must have a word for it to count; rarer ones count as seen once
+SENT = 500_000  # words, the most frequent, that are sent to all tasks
+LAST = 1_000_000_000  # number of pages that have none
+AHEAD = 5  # lines behind a broken word that are looked at in any case, besides those of its page and the next
+CROWD = 4  # times as many pages as a block has numbers make a crowd
+
+
+def variants(word: str) -> tuple[list[tuple[str, bool]], list[str]]:
+    """(what one confusion makes of a word, with whether it is a weak one; what two make of it, the second not weak and
+    the word long enough)."""
+    one: list[tuple[str, bool]] = []
+    two: list[str] = []
+    for wrong, right in CONFUSIONS:
+        at = word.find(wrong)
+        while at >= 0:
+            one.append((word[:at] + right + word[at + len(wrong) :], (wrong, right) in WEAK))
+            at = word.find(wrong, at + 1)
+    if len(word) >= 5:
+        for v in {v for v, _ in one}:
+            for wrong, right in CONFUSIONS:
+                if (wrong, right) not in WEAK:
+                    at = v.find(wrong)
+                    while at >= 0:
+                        two.append(v[:at] + right + v[at + len(wrong) :])
+                        at = v.find(wrong, at + 1)
+    return one, two
 
 
 @dataclass
 class Vocabulary:
-    """Words with their counts in the corpus (those of at least the least share, so at most 1 / share words)."""
+    """Words with their counts in the corpus, of those that it has LEAST times or more."""
 
-    counts: dict[str, int]
+    counts: Mapping[str, int]
     ratio: float = 8.0
     weak_ratio: float = 40.0
-    known: dict[str, bool] = field(default_factory=dict)
+    known: dict[str, str | None] = field(default_factory=dict)
 
     def fix(self, word: str) -> str | None:
         """The word of the vocabulary that a lower-case word was misread from, or None if it is none's misreading."""
         n = max(self.counts.get(word, 0), 1)
-        best: tuple[float, str] | None = None
+        get = self.counts.get
+        best: tuple[int, str] | None = None
         first: set[str] = set()
         for wrong, right in CONFUSIONS:
             at = word.find(wrong)
-            need = n * (self.weak_ratio if (wrong, right) in WEAK else self.ratio)
+            if at < 0:
+                continue
+            need = max(n * (self.weak_ratio if (wrong, right) in WEAK else self.ratio), LEAST)
             while at >= 0:
                 v = word[:at] + right + word[at + len(wrong) :]
                 first.add(v)
-                c = self.counts.get(v, 0)
-                if c >= max(need, 3) and (best is None or c > best[0]):
+                c = get(v, 0)
+                if c >= need and (best is None or (c, v) > best):
                     best = (c, v)
                 at = word.find(wrong, at + 1)
         if best or len(word) < 5:
             return best and best[1]
+        need = max(n * self.weak_ratio, LEAST)
         for v in first:
             for wrong, right in CONFUSIONS:
                 if (wrong, right) in WEAK:
@@ -75,8 +106,8 @@ class Vocabulary:
                 at = v.find(wrong)
                 while at >= 0:
                     u = v[:at] + right + v[at + len(wrong) :]
-                    c = self.counts.get(u, 0)
-                    if u != word and c >= max(n * self.weak_ratio, 3) and (best is None or c > best[0]):
+                    c = get(u, 0)
+                    if c >= need and u != word and (best is None or (c, u) > best):
                         best = (c, u)
                     at = v.find(wrong, at + 1)
         return best and best[1]
@@ -123,17 +154,64 @@ def core(word: str) -> str:
     return word.strip(_EDGE)
 
 
-def vocabulary(pages: DataFrame, text: str, share: float = 2e-6, least: int = 3) -> Vocabulary:
-    """The corpus's words and counts. Words broken at line ends are left out with both their parts. At most 1 / share
-    words can have the least share of all words, which bounds what is brought to the driver; counts are over all
-    pages, words are counted before the shuffle."""
+def vocabulary(pages: DataFrame, text: str, sent: int = SENT) -> tuple[dict[str, int], DataFrame | None]:
+    """(the most frequent words with their counts, at most ``sent``; the other words with theirs (w, n), None if there
+    are none) of the corpus's words. Words broken at line ends are left out with both their parts. Words are counted
+    over all pages, before the shuffle; what comes to the driver is a histogram of counts and the words sent."""
     # A broken word is marked and its token left out; words are cleaned after they are counted as they stand.
     marked = F.regexp_replace(F.lower(text), rf"[{_ENDS}][ \t]*\n\s*", "\u0001")
     raw = pages.select(F.explode(F.split(marked, r"\s+")).alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").contains("\u0001"))
     clean = F.regexp_replace("w", rf"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", "")
-    counts = cut(raw.select(clean.alias("w"), "n").where("w != ''").groupBy("w").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary({r["w"]: r["n"] for r in counts.where(F.col("n") >= max(least, share * total)).toLocalIterator()})
+    counts = cut(raw.select(clean.alias("w"), "n").where("w != ''").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
+    level = F.when(F.col("n") < 100_000, F.col("n")).otherwise(100_000 + F.floor(F.log2("n") * 1000)).alias("level")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect(), key=lambda r: -r["level"]):
+        total += r["c"]
+        if total > sent:
+            break
+        least = r["least"]
+    else:
+        least = LEAST
+    kept = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+    rest = counts.where(F.col("n") < least) if least is not None else counts
+    return {r["w"]: r["n"] for r in kept.toLocalIterator()}, None if least == LEAST else rest
+
+
+def questions(pages: list[list[str]], counts: Mapping[str, int]) -> set[str]:
+    """Every word whose count examine may ask for on these pages and counts does not have: the words, their parts and
+    numbers, what breaks at line ends may join to, and what misreadings may stand for. A word that counts has can only
+    be the misreading of a more frequent one, which counts has too."""
+    asked: set[str] = set()
+    seen: set[str] = set()
+
+    def ask(word: str) -> None:
+        if not word or word in counts or word in seen:
+            return
+        seen.add(word)
+        one, two = variants(word)
+        asked.update((word, word.translate(DIGITS), *(v for v, _ in one), *two))
+
+    lines = [x for p in pages for x in p if x.strip()]
+    firsts = [core(x.split()[0]).rstrip(_ENDS).lower() for x in lines]
+    where = [k for k, p in enumerate(pages) for x in p if x.strip()]
+    for i, line in enumerate(lines):
+        words = line.split()
+        for w in words:
+            token = core(w)
+            ask(token.lower())
+            asked.add(token.translate(DIGITS))
+            for part in re.split(r"[-/–]", token.lower()):
+                ask(part)
+        if _BROKEN.search(line):
+            left = words[-1].rstrip(_ENDS).lstrip(_EDGE).lower()
+            ask(left)
+            for j in range(i + 1, len(lines)):
+                if where[j] > where[i] + 1 + HALO:
+                    break
+                ask(firsts[j])
+                ask(left + firsts[j])
+                ask(left + "-" + firsts[j])
+    return {w for w in asked if w not in counts}
 
 
 def _page_value(line: str) -> set[int]:
@@ -239,7 +317,9 @@ def examine(pages: list[list[str]], numbers: list[int], vocabulary: Vocabulary)
         if _BROKEN.search(line.text) and any(c.isalpha() for c in words[-1]) and len(words[-1].strip(_ENDS)) > 0:
             left = words[-1].rstrip(_ENDS).lstrip(_EDGE).lower()
             chosen = None
-            for step, nxt in enumerate(text[at + 1 : at + 6]):
+            for step, nxt in enumerate(text[at + 1 :] if at + 1 < len(text) else []):
+                if step >= AHEAD and nxt.page > line.page + 1:
+                    break
                 right = core(nxt.text.split()[0]).rstrip(_ENDS)
                 low = right.lower()
                 if not low or (step and not right[:1].islower() and right[:1].isalpha()):
@@ -310,47 +390,92 @@ def paragraphs(body: list[Line]) -> list[tuple[int, list[Line]]]:
     return out
 
 
-def repaired(lines: list[Line]) -> str:
-    """The text of a paragraph: broken words joined, misread words replaced, lines run on."""
-    out: list[str] = []
+def repaired(lines: list[Line], skip: int = 0, runs_on: bool = False) -> str:
+    """The text of a paragraph from its line number ``skip`` on: broken words joined, misread words replaced, lines run
+    on. runs_on: lines follow elsewhere; a word broken at the last line's end is left to them, and they, skipping
+    that line, begin with it."""
+    out: list[list[str]] = []
     carry: dict[int, str] = {}
+    inside = {id(x) for x in lines}
     for line in lines:
         words = line.text.split()
         for j, w in line.words.items():
             words[j] = _respell(words[j], w)
         if id(line) in carry and words:
             words[0] = carry.pop(id(line)) + words[0]
-        if line.onto is not None and words and any(line.onto is x for x in lines):
-            left = words.pop().rstrip(_ENDS) + (line.glue or "")
-            carry[id(line.onto)] = left
-        elif line.onto is not None and words:
-            words[-1] = words[-1].rstrip(_ENDS) + (line.glue or "")
-        out += words
-    return " ".join(out)
+        if line.onto is not None and words:
+            left = words[-1].rstrip(_ENDS) + (line.glue or "")
+            if id(line.onto) in inside:
+                words.pop()
+                carry[id(line.onto)] = left
+            else:
+                words[-1] = left
+        out.append(words)
+    if runs_on and out and out[-1] and lines[-1].onto is None and _BROKEN.search(lines[-1].text):
+        out[-1].pop()
+    if 0 < skip < len(lines) and lines[skip - 1].onto is None and out[skip - 1] and _BROKEN.search(lines[skip - 1].text):
+        out[skip].insert(0, out[skip - 1][-1])
+    return " ".join(w for words in out[skip:] for w in words)
 
 
-def _blocks(pages: DataFrame, doc: str, page_id: str, number: str, text: str, block: int) -> DataFrame:
-    n = F.coalesce(F.col(number).cast("int"), F.lit(1_000_000_000))
-    b = F.floor(n / block).cast("int")
-    beside = F.array_distinct(F.array(b, F.floor(F.greatest(n - HALO, F.lit(0)) / block).cast("int"), F.floor((n + HALO) / block).cast("int")))
-    return pages.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.explode(beside).alias("_block"), b.alias("_own"), n.alias("_n"), F.col(page_id).alias("_page"), F.col(text).alias("_text"))
+_KEYS = ["_doc", "_block", "_part"]
 
 
-def _over_blocks(pages: DataFrame, names: tuple[str, str, str, str], block: int, emit, schema: str, share: float) -> DataFrame:  # noqa: ANN001
+def _blocks(pages: DataFrame, doc: str, page_id: str, number: str, text: str, block: int) -> DataFrame:
+    """The pages of each block and those beside it. A crowd, which repeated deliveries or pages without number make, is
+    cut by hash into parts that stand alone, so that no task holds all of it."""
+    n = F.coalesce(F.col(number).cast("int"), F.lit(LAST))
+    b = F.floor(n / block).cast("int")
+    rows = pages.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), b.alias("_own"), n.alias("_n"), F.col(page_id).alias("_page"), F.col(text).alias("_text"))
+    crowds = rows.groupBy("_doc", "_own").agg(F.count("*").alias("_c")).where(F.col("_c") > CROWD * block)
+    if crowds.limit(1).count():
+        crowds = small(crowds.select(F.col("_doc").alias("_cdoc"), F.col("_own").alias("_cown"), F.ceil(F.col("_c") / (CROWD * block)).cast("int").alias("_parts")))
+        rows = rows.join(crowds, F.col("_doc").eqNullSafe(F.col("_cdoc")) & (F.col("_own") == F.col("_cown")), "left").drop("_cdoc", "_cown")
+        alone = F.col("_parts").isNotNull()
+        part = F.when(alone, 1 + F.pmod(F.xxhash64("_page", "_text"), F.col("_parts"))).otherwise(0).cast("int")
+    else:
+        alone, part = F.lit(False), F.lit(0)
+    own, n = F.col("_own"), F.col("_n")
+    beside = F.sequence(F.floor((n - HALO) / block).cast("int"), F.floor((n + HALO) / block).cast("int"))
+    return rows.select("_doc", F.explode(F.when(alone | (n == LAST), F.array(own)).otherwise(beside)).alias("_block"), part.alias("_part"), "_own", "_n", "_page", "_text")
+
+
+def _over_blocks(pages: DataFrame, names: tuple[str, str, str, str], block: int, emit, schema: str, sent: int) -> DataFrame:  # noqa: ANN001
     doc, page_id, number, text = names
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary(pages, text, share).counts)
+    most, rest = vocabulary(pages, text, sent)
+    shared = spark.sparkContext.broadcast(most)
+    rows = _blocks(pages, doc, page_id, number, text, block)
+    rows = rows.withColumns({"_word": F.lit(None).cast("string"), "_count": F.lit(None).cast("bigint")})
+    if rest is not None:
+        keys = {k: t for k, t in rows.dtypes if k in _KEYS}
+
+        def ask(groups: list[pd.DataFrame]) -> pd.DataFrame:
+            out = []
+            for g in groups:
+                words = sorted(questions([t.split("\n") for t in g["_text"]], shared.value))
+                out.append(pd.DataFrame({k: [g[k].iloc[0]] * len(words) for k in _KEYS} | {"_word": words}))
+            return pd.concat(out, ignore_index=True)
+
+        asked = over_keys(rows, _KEYS, ["_n", "_page"], ask, ", ".join([*[f"{k} {t}" for k, t in keys.items()], "_word string"]))
+        told = asked.join(rest.select(F.col("w").alias("_word"), F.col("n").alias("_count")), "_word").withColumn("_n", F.lit(-1))
+        rows = rows.unionByName(told, allowMissingColumns=True)
 
     def step(groups: list[pd.DataFrame]) -> pd.DataFrame:
-        v = _shared_vocabulary(shared)
-        rows: list[tuple] = []
+        everywhere = _shared_vocabulary(shared)
+        out: list[tuple] = []
         for g in groups:
+            told = g["_word"].notna()
+            v = everywhere
+            if told.any():  # counts for this block alone
+                v = Vocabulary(ChainMap(dict(zip(g["_word"][told], g["_count"][told].astype(int))), everywhere.counts))
+                g = g[~told].reset_index(drop=True)
             texts = [t.split("\n") for t in g["_text"]]
-            rows += emit(g, texts, *examine(texts, g["_n"].astype(int).tolist(), v))
+            out += emit(g, texts, *examine(texts, g["_n"].astype(int).tolist(), v))
         columns = [c.strip().split(" ")[0].strip("`") for c in schema.split(",")]
-        return pd.DataFrame(rows, columns=columns)
+        return pd.DataFrame(out, columns=columns)
 
-    return over_keys(_blocks(pages, doc, page_id, number, text, block), ["_doc", "_block"], ["_n", "_page"], step, schema)
+    return over_keys(rows, _KEYS, ["_n", "_page"], step, schema)
 
 
 _VOCABULARIES: dict[int, Vocabulary] = {}
@@ -364,12 +489,14 @@ def _shared_vocabulary(shared) -> Vocabulary:  # noqa: ANN001
     return _VOCABULARIES[key]
 
 
-def page_noise(pages: DataFrame, doc: str, page_id: str, number: str, text: str, block: int = 64, share: float = 2e-6) -> DataFrame:
+def page_noise(pages: DataFrame, doc: str, page_id: str, number: str, text: str, block: int = 64, sent: int = SENT) -> DataFrame:
     """(page_id, line_no, noise) for each noisy line: running_head, page_number, hyphen_break, misread.
 
     Pages without text (null) have no lines; pages without a number come last in their document; a null document is a
     document of its own; an empty table gives an empty result. Pages of the same document and number are read in the
-    order of page_id. Names of other columns do not matter.
+    order of page_id. Where more than CROWD times ``block`` pages of a document have numbers of one block, or none, they
+    are read in groups by hash. ``sent`` bounds what is sent to all tasks and does not change the result. Names of other
+    columns do not matter.
     """
 
     def emit(g: pd.DataFrame, texts: list[list[str]], heads: list[dict[int, str]], body: list[Line]) -> list[tuple]:
@@ -380,29 +507,49 @@ def page_noise(pages: DataFrame, doc: str, page_id: str, number: str, text: str,
         return rows
 
     kind = dict(pages.dtypes)[page_id]
-    return _over_blocks(pages, (doc, page_id, number, text), block, emit, f"`{page_id}` {kind}, line_no bigint, noise string", share)
+    return _over_blocks(pages, (doc, page_id, number, text), block, emit, f"`{page_id}` {kind}, line_no bigint, noise string", sent)
 
 
-def page_paragraphs(pages: DataFrame, doc: str, page_id: str, number: str, text: str, block: int = 64, share: float = 2e-6) -> DataFrame:
+def page_paragraphs(pages: DataFrame, doc: str, page_id: str, number: str, text: str, block: int = 64, sent: int = SENT) -> DataFrame:
     """(doc, page_number, paragraph_no, text): the repaired paragraphs in reading order (page_number, paragraph_no); a
-    paragraph belongs to the page it begins on and runs on over the pages after it. A paragraph that runs more than
-    HALO pages beyond its block goes on as a paragraph of its own. Otherwise as page_noise."""
+    paragraph belongs to the page it begins on and runs on over the pages after it, however many. Otherwise as
+    page_noise; a crowd's groups are read each for itself."""
 
     def emit(g: pd.DataFrame, texts: list[list[str]], heads: list[dict[int, str]], body: list[Line]) -> list[tuple]:
         own = (g["_own"] == g["_block"]).tolist()
-        numbers, d = g["_n"].tolist(), g["_doc"].iloc[0]
-        before = next((k for k, o in enumerate(own) if o), 0)
+        numbers, d, b, part = g["_n"].tolist(), g["_doc"].iloc[0], int(g["_block"].iloc[0]), int(g["_part"].iloc[0])
+        # The block before also saw the pages below ``taken``, and this one all pages below ``end``.
+        taken, end = b * block + HALO, (b + 1) * block + HALO
+        final = next((x for x in reversed(body) if x.text.strip()), None)
         rows, seen = [], Counter()
         for page, lines in paragraphs(body):
-            if page < before:  # begun in the block before, which takes it HALO pages into this one
-                lines = [x for x in lines if x.page >= before + HALO]
-                if not lines:
-                    continue
-                page = lines[0].page
+            # It reaches the last line seen, behind which more pages may follow.
+            open_ = not part and lines[-1] is final and numbers[final.page] >= end - HALO and numbers[page] < LAST
             if own[page]:
-                rows.append((d, None if numbers[page] >= 1_000_000_000 else int(numbers[page]), seen[page], repaired(lines)))
+                rows.append((d, None if numbers[page] == LAST else int(numbers[page]), seen[page], repaired(lines, 0, open_), b, False, open_))
                 seen[page] += 1
+            elif numbers[page] < b * block:  # begun in a block before
+                skip = next((i for i, x in enumerate(lines) if numbers[x.page] >= taken), None)
+                if skip is not None:
+                    rows.append((d, None, 0, repaired(lines, skip, open_), b, True, open_))
         return rows
 
     kind = dict(pages.dtypes)[doc]
-    return _over_blocks(pages, (doc, page_id, number, text), block, emit, f"`{doc}` {kind}, page_number int, paragraph_no int, text string", share)
+    names = [doc, "page_number", "paragraph_no", "text"]
+    schema = f"_d {kind}, _page int, _no int, _text string, _b int, _goes_on boolean, _open boolean"
+    found = cut(_over_blocks(pages, (doc, page_id, number, text), block, emit, schema, sent))
+    named = [F.col(c).alias(n) for c, n in zip(("_d", "_page", "_no", "_text"), names)]
+    tails = found.where("_goes_on").select(F.col("_d").alias("_td"), F.col("_b").alias("_tb"), F.col("_text").alias("_tail"), F.col("_open").alias("_more"))
+    whole = found.where("NOT _goes_on")
+    if not tails.limit(1).count():
+        return whole.select(*named)
+    # The open paragraph of a block, at most one, takes the tail of the next block, and so on while that is open.
+    done, growing = whole.where("NOT _open").select(*named), whole.where("_open")
+    while True:
+        grown = growing.join(tails, F.col("_d").eqNullSafe(F.col("_td")) & (F.col("_tb") == F.col("_b") + 1), "left")
+        grown = grown.select("_d", "_page", "_no", F.concat_ws(" ", "_text", F.when(F.col("_tail") != "", F.col("_tail"))).alias("_text"), (F.col("_b") + 1).alias("_b"), F.coalesce("_more", F.lit(False)).alias("_open"))
+        grown = cut(grown)
+        done = done.unionByName(grown.where("NOT _open").select(*named))
+        growing = grown.where("_open")
+        if not growing.limit(1).count():
+            return done

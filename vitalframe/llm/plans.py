@@ -97,5 +97,5 @@ def p10_makeup(spark: SparkSession, folder: str) -> DataFrame:
     return F.broadcast(Tables(spark, folder).dim_subjects.select("subject")).join(found, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_makeup": p10_makeup, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
+QUERIES = {"p10_found": p10_found, "p10_assigned": p10_assigned, "p10_makeup": p10_makeup, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
 SQL: dict[str, str] = {}

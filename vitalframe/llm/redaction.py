@@ -1,9 +1,9 @@
 """Personal information in free text, found by anchors and replaced by typed placeholders.
 
-One Aho-Corasick pass finds anchors: at-signs and their paraphrases, identifier cues, telephone cues, street words,
-titles and other words that stand before or behind a person's name. From each anchor a deterministic parser of that
-kind expands to the item's boundaries and checks it. Numbers whose own form tells what they are (3-2-4 digits,
-international and national telephone forms) are their own anchors. Overlapping finds are settled by kind and length.
+One Aho-Corasick pass finds anchors: at-signs and their paraphrases, identifier cues, telephone cues, digits that begin
+a number, street words, titles, roles, and what people do. From each anchor a deterministic parser of that kind expands
+to the item's boundaries, however far they are, and checks it: forms of numbers, parts of addresses, capitals of names.
+Overlapping finds are settled by kind and length.
 """
 
 from __future__ import annotations
@@ -30,9 +30,29 @@ NAME_CUES = (
     "my sister", "my brother", "my husband", "my wife", "my mother", "my father", "my son", "my daughter", "my partner", "my friend", "my neighbour", "my neighbor", "my aunt", "my uncle", "my cousin", "my carer", "my doctor", "my nurse",
 )
 #: Behind these only two or more capitalised words are a name.
-LOOSE_CUES = ("with", "call", "by", "from", "ask", "asked", "met", "saw", "told", "for", "and", "to", "contact")
+LOOSE_CUES = ("with", "call", "by", "from", "ask", "asked", "met", "saw", "told", "for", "and", "to", "contact", "about", "tell", "remind", "thank", "visit", "visited", "inform", "phoned", "texted", "emailed", "signed")
 #: What people do; a capitalised name stands before it.
 NAME_AFTER = ("'s notes", "’s notes", " asked for", " picked up", " signed the", " signed for", " will drive", " will call", " will pick", " will bring", " drove me", " called me", " came with", " brought me", " is my", " will be there", " has the keys", " looks after")
+#: Roles behind which two capitalised words are a name.
+ROLES = (
+    "therapist", "physiotherapist", "psychologist", "psychiatrist", "dentist", "pharmacist", "specialist", "cardiologist", "neurologist", "dermatologist", "surgeon", "physician", "midwife", "paramedic", "trainer", "coach", "teacher", "instructor", "counsellor", "counselor",
+    "colleague", "coworker", "boss", "manager", "landlord", "landlady", "roommate", "flatmate", "classmate", "girlfriend", "boyfriend", "fiancé", "fiancée", "spouse", "grandmother", "grandfather", "grandma", "grandpa", "niece", "nephew", "daughter-in-law", "son-in-law", "mother-in-law", "father-in-law", "stepmother", "stepfather",
+    "sister", "brother", "husband", "wife", "mother", "father", "son", "daughter", "partner", "friend", "neighbour", "neighbor", "aunt", "uncle", "cousin", "caregiver", "patient", "client", "lawyer", "secretary", "receptionist", "assistant", "driver", "courier",
+)
+#: What people do or are, in the third person; two capitalised words before it are a name unless they name a thing.
+VERBS = tuple(
+    """went goes took takes said says told tells came comes gave gives got gets had has is was will would can could did does felt feels found finds thinks thought wants wanted knows knew left leaves made makes saw sees met meets brought brings bought drove drives ate eats drank
+    slept sleeps woke wakes stood sat fell falls lost keeps kept sent sends wrote writes read spoke speaks heard ran runs walked walks called calls phoned rang texted emailed asked asks answered replied reported reports complained complains mentioned mentions noticed notices visited visits
+    helped helps checked checks measured measures showed shows suggested suggests recommended recommends prescribed prescribes advised advises examined treated treats fainted vomited coughed coughs forgot forgets remembered needed needs tried tries started stopped stayed stays lives lived moved worked works
+    agreed cancelled confirmed signed dropped collected delivered picked waited waits returned arrived hat ist war sagt sagte kam ging nahm""".split()
+)
+#: Words that make capitalised words the name of a thing, as the last of them or behind them.
+THINGS = frozenset(
+    """disease syndrome disorder lymphoma palsy fever virus infection manoeuvre maneuver method technique procedure protocol test sign score scale index criteria classification reflex triad solution lactate acetate saline dextrose diet plan program programme study trial
+    watch band ring phone app tablet pump meter monitor clinic hospital centre center wing ward unit building tower hall house school college university church museum library station airport park garden gardens lake river mountain valley ridge mill trail path bridge bay beach island forest
+    town city county village district street road marathon race cup league club team company pharmacy laboratory laboratories lab labs insurance bank market store shop hotel restaurant cafe day week month year season holiday eve festival
+    one two three four five six seven eight nine ten acid oil tea juice water milk bread forte plus max retard screening surgery therapy treatment rule law act code guideline guidelines report form list""".split()
+)
 AT_SIGNS = ("@", "(at)", "[at]", "{at}", " at ", "<at>")
 # Words that end a street's name, and endings of German street names.
 STREETS = (
@@ -47,15 +67,18 @@ NO_NAMES = frozenset(
     the a an and or if it in on at to for of with was is are be no not this that these those my your his her our their we you they i he she thanks please patient
     doctor nurse team family friends insurance insurer office lab laboratory results note notes summary page see spring summer autumn winter
     english german spanish monday's covid flu type stage grade score level test scan report form letter reading range order app version
-    good great fine better worse again now today tomorrow yesterday late early""".split()
+    good great fine better worse again now today tomorrow yesterday late early then later meanwhile after before when while since until because although though so but also still yet once soon often sometimes usually finally suddenly maybe perhaps however instead
+    morning evening night afternoon last next every each some any all both another other here there what who how why where which just only even as by from into during between about over under down out up off new old first second third one two three four five six seven eight nine ten""".split()
 )
 
 _WORD = r"[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*"
 _ANY = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*"
-_NAME = re.compile(rf"(?:{_WORD})(?:(?:,? )(?:[A-Z]\.|{_WORD})){{0,3}}")
+_PARTICLE = r"(?:(?:van|von|de|der|den|del|della|da|dos|di|du|la|le|ter|ten|bin|al|el|y|zu) )*"
+_NAME = re.compile(rf"(?:{_WORD})(?:(?:,? )(?:[A-Z]\.|{_PARTICLE}{_WORD})){{0,3}}")
 _NAME_ANY = re.compile(rf"{_ANY}(?:,? (?:[^\W\d_]\.|{_ANY})){{0,2}}")
-_BEFORE = re.compile(rf"(?:{_WORD} )?(?:[A-Z]\. )?{_WORD}$")
-_LOCAL = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]+$")
+_BEFORE = re.compile(rf"(?:{_WORD} )?(?:[A-Z]\. )?{_PARTICLE}{_WORD}$")
+_SHORT = re.compile(r"(?:(?:me|us|her|him|them|it|is|at|on|number|no\.?) )*:? ?(\d{3}[ .-]\d{4})(?![\w-]|[.,]\d)", re.I)
+_LOCAL = frozenset(".!#$%&'*+/=?^`{|}~-_")
 _HOST = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s?[\[({]dot[\])}]\s?| dot )[^\W_](?:[\w-]*[^\W_])?)+", re.I)
 _TOKEN = re.compile(r"[A-Z]{0,4}[ -]?\d[A-Z\d]*(?:[- ]?[A-Z\d]*\d[A-Z\d]*)*", re.I)
 _AFTER_CUE = re.compile(r"(?:\s*(?:is|was|number|no\.?|nr\.?|id|#))*\s*[:#=]?\s*", re.I)
@@ -80,11 +103,14 @@ _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0: 0x
 _RANK = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
 
 
+_TITLE_WORDS = frozenset(t.rstrip(".") for t in TITLES)
+
+
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
-    for kind, words in (("at", AT_SIGNS), ("id", ID_CUES), ("title", TITLES), ("cue", NAME_CUES), ("loose", LOOSE_CUES), ("after", NAME_AFTER), ("street", STREETS), ("ending", STREET_ENDINGS)):
+    for kind, words in (("at", AT_SIGNS), ("id", ID_CUES), ("title", TITLES), ("cue", NAME_CUES), ("loose", LOOSE_CUES), ("after", NAME_AFTER), ("street", STREETS), ("ending", STREET_ENDINGS), ("phone", PHONE_CUES), ("digit", "0123456789"), ("role", ROLES), ("does", [f" {v}" for v in VERBS])):
         for w in words:
             kinds.setdefault(w, set()).add(kind)
     for w, k in kinds.items():
@@ -93,13 +119,23 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _back(s: str, at: int, words: int) -> int:
+    """Where the last ``words`` words before at begin, however long they are."""
+    while at > 0 and words:
+        at = s.rfind(" ", 0, at)
+        at, words = max(at, 0), words - 1
+        while at > 0 and s[at - 1] == " ":
+            at -= 1
+    return at
+
+
 def _word_ends(s: str, a: int, b: int) -> bool:
     return (a == 0 or not (s[a - 1].isalnum() and s[a].isalnum())) and (b >= len(s) or not (s[b].isalnum() and s[b - 1].isalnum()))
 
 
 def _names(text: str, low: str, at: int, any_case: bool, least: int) -> tuple[int, int] | None:
     """The name that begins at ``at`` (blanks, a colon and titles are passed over)."""
-    while at < len(text) and text[at] in " :\t":
+    while at < len(text) and text[at] in " :,\t":
         at += 1
     while True:
         for t in sorted(TITLES, key=len, reverse=True):
@@ -108,7 +144,7 @@ def _names(text: str, low: str, at: int, any_case: bool, least: int) -> tuple[in
                 break
         else:
             break
-    m = (_NAME_ANY if any_case else _NAME).match(text, at, min(len(text), at + 120))
+    m = (_NAME_ANY if any_case else _NAME).match(text, at)
     if not m:
         return None
     parts = [p for p in re.finditer(r"[^\s,]+", m.group())]
@@ -128,12 +164,47 @@ def _names(text: str, low: str, at: int, any_case: bool, least: int) -> tuple[in
     full = [p for p in kept if len(p.group().rstrip(".")) > 1]
     if len(full) < least or not full:
         return None
+    if least > 1 and _thing(kept[-1].group(), low, m.start() + kept[-1].end()):
+        return None
     end = kept[-1].end()
     if m.group()[:end].endswith(("'s", "’s")):
         end -= 2
     return m.start(), m.start() + end
 
 
+def _thing(last: str, low: str, end: int) -> bool:
+    """Capitalised words ending in ``last`` at end name a thing."""
+    if last.lower().rstrip(".") in THINGS:
+        return True
+    behind = re.match(r" ?([^\W\d_]+)", low[end : end + 24])
+    return bool(behind) and behind.group(1) in THINGS
+
+
+def _doer(text: str, low: str, end: int, names_only: bool) -> int | None:
+    """Where the name of two words or more that ends at end begins; None if there is none."""
+    m = _BEFORE.search(text, _back(text, end, 7), end)
+    if not m:
+        return None
+    words, start = m.group().split(), m.start()
+    while words and words[0].rstrip(".").lower() in NO_NAMES | _TITLE_WORDS:
+        start += len(words.pop(0)) + 1
+    if len(words) < 2 or any(w.lower() in NO_NAMES for w in words) or (names_only and (_thing(words[-1], low, end) or any(w.lower() in THINGS for w in words) or not all(len(w) > 1 and w[1:2] != w[1:2].upper() or len(w) == 2 and w[1] == "." for w in words))):
+        return None
+    return start
+
+
+def _is_phone(low: str, m: re.Match) -> bool:
+    """A match of _PHONE has the digits of a telephone number; ten bare digits need a cue before them, or the form of a
+    national number."""
+    digits = sum(c.isdigit() for c in re.split(r"(?i)e?xt?", m.group())[0])
+    if not 9 <= digits <= 15:
+        return False
+    if not m.group().isdigit():
+        return True
+    before = low[max(0, m.start() - 24) : m.start()]
+    return any(before.rstrip(" :").endswith(c.rstrip(".:")) for c in PHONE_CUES) or re.search(r"\btel\.?:? ?$", before) is not None or re.match(r"[2-9]\d\d[2-9]\d{6}", m.group()) is not None
+
+
 def find_items(raw: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the items of a text, in order and without overlaps."""
     text = raw.translate(_WIDE)
@@ -142,29 +213,47 @@ def find_items(raw: str) -> list[tuple[int, int, str]]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spans: list[tuple[int, int, str]] = []
     blocked = [m.span() for m in _PLACEHOLDER.finditer(text)]
-    cued: list[int] = []
+    after_ssn = after_phone = 0
     for end, (word, kinds) in _automaton().iter(low):
         a, b = end - len(word) + 1, end + 1
         if "at" in kinds:
-            head = text[max(0, a - 80) : a]
-            stripped = head.rstrip() if word != "@" else head
-            m = _LOCAL.search(stripped)
-            h = _HOST.match(text, b + (len(text[b : b + 2]) - len(text[b : b + 2].lstrip(" ")) if word != "@" else 0), min(len(text), b + 120))
-            if m and h and (word.strip() != "at" or " dot " in h.group().lower() or re.search(r"\.(example|test|com|org|net|edu|de|uk|info|invalid|io)$", h.group(), re.I)):
-                start = max(0, a - 80) + m.start()
-                lead = len(m.group()) - len(m.group().lstrip(".'{/!#$%&*+=?^`|~-"))
-                spans.append((start + lead, h.end(), "email"))
+            to = a
+            while word != "@" and to > 0 and text[to - 1] == " ":
+                to -= 1
+            start = to
+            while start > 0 and (text[start - 1].isalnum() or text[start - 1] in _LOCAL):
+                start -= 1
+            after = b
+            while word != "@" and after < min(b + 2, len(text)) and text[after] == " ":
+                after += 1
+            h = _HOST.match(text, after)
+            while start < to and text[start] in ".'{/!#$%&*+=?^`|~-":
+                start += 1
+            if start < to and h and (word.strip() != "at" or " dot " in h.group().lower() or re.search(r"\.(example|test|com|org|net|edu|de|uk|info|invalid|io)$", h.group(), re.I)):
+                spans.append((start, h.end(), "email"))
+        if "digit" in kinds:
+            if a == 0 or not text[a - 1].isdigit():  # a number begins
+                s = a - 1 if a and text[a - 1] in "(+" else a
+                if s >= after_ssn and (m := _SSN.match(text, s)):
+                    spans.append((m.start(), m.end(), "id_number"))
+                    after_ssn = m.end()
+                for s in (s - 1, s) if s and text[s - 1] == "(" else (s,):
+                    if s >= after_phone and (m := _PHONE.match(text, s)):
+                        after_phone = m.end()
+                        if _is_phone(low, m):
+                            spans.append((m.start(), m.end(), "phone"))
+                        break
+            continue
         if not _word_ends(low, a, b):
             if "ending" in kinds and (b >= len(low) or not low[b].isalpha()):
                 pass
             else:
                 continue
         if "id" in kinds:
-            c = _AFTER_CUE.match(text, b, min(len(text), b + 30))
-            m = _TOKEN.match(text, c.end(), min(len(text), c.end() + 40))
+            c = _AFTER_CUE.match(text, b)
+            m = _TOKEN.match(text, c.end())
             if m and sum(x.isdigit() for x in m.group()) >= 5:
                 spans.append((m.start(), m.end(), "id_number"))
-                cued.append(m.start())
         if "title" in kinds and (got := _names(text, low, b, False, 1)) and text[b : b + 1] == " ":
             spans.append((*got, "name"))
         if "cue" in kinds:
@@ -173,21 +262,20 @@ def find_items(raw: str) -> list[tuple[int, int, str]]:
                 spans.append((*got, "name"))
         if "loose" in kinds and (got := _names(text, low, b, False, 2)):
             spans.append((*got, "name"))
-        if "after" in kinds:
-            m = _BEFORE.search(text, max(0, a - 80), a)
-            if m:
-                words = [w for w in m.group().split()]
-                start = m.start()
-                while words and words[0].rstrip(".").lower() in NO_NAMES | {t.rstrip(".") for t in TITLES}:
-                    start += len(words.pop(0)) + 1
-                if words and not any(w.lower() in NO_NAMES for w in words) and len(words) >= 2:
-                    spans.append((start, a, "name"))
+        if "role" in kinds and (got := _names(text, low, b, False, 2)) and text[b : b + 1] == " " and got[0] == b + 1:
+            spans.append((*got, "name"))
+        if "after" in kinds and (start := _doer(text, low, a, False)) is not None:
+            spans.append((start, a, "name"))
+        if "does" in kinds and (start := _doer(text, low, a, True)) is not None:
+            spans.append((start, a, "name"))
+        if "phone" in kinds and (m := _SHORT.match(text, b + (text[b : b + 1] == " "))):
+            spans.append((m.start(1), m.end(1), "phone"))
         if "street" in kinds:
-            m = _STREET_NO.search(text, max(0, a - 70), a)
+            m = _STREET_NO.search(text, _back(text, a, 7), a)
             if m:
-                r = _REST.match(text, b, min(len(text), b + 60))
+                r = _REST.match(text, b)
                 spans.append((m.start(), r.end(), "address"))
-        if "ending" in kinds and (m := _NUMBER_BEHIND.match(text, b, min(len(text), b + 60))):
+        if "ending" in kinds and (m := _NUMBER_BEHIND.match(text, b)):
             start = a
             while start > 0 and (text[start - 1].isalpha() or text[start - 1] == "-"):
                 start -= 1
@@ -195,17 +283,6 @@ def find_items(raw: str) -> list[tuple[int, int, str]]:
                 while (p := re.search(r"(?:^|\s)((?:Am|An|Auf|Alte|Alter|Große|Kleine|Obere|Untere|Neue|Unter|Im) )$", text[max(0, start - 10) : start])) is not None:
                     start -= len(p.group(1))
                 spans.append((start, m.end(), "address"))
-    for m in _SSN.finditer(text):
-        spans.append((m.start(), m.end(), "id_number"))
-    for m in _PHONE.finditer(text):
-        digits = sum(c.isdigit() for c in re.split(r"(?i)e?xt?", m.group())[0])
-        if not 9 <= digits <= 15:
-            continue
-        if m.group().isdigit():  # ten bare digits: a telephone cue before, or the form of a national number
-            before = low[max(0, m.start() - 24) : m.start()]
-            if not (any(before.rstrip(" :").endswith(c.rstrip(".:")) for c in PHONE_CUES) or re.search(r"\btel\.?:? ?$", before) or re.match(r"[2-9]\d\d[2-9]\d{6}", m.group())):
-                continue
-        spans.append((m.start(), m.end(), "phone"))
     spans = [s for s in spans if s[0] < s[1] and not any(a < s[1] and s[0] < b for a, b in blocked)]
     spans.sort(key=lambda s: (_RANK[s[2]], s[0] - s[1], s[0]))
     taken: list[tuple[int, int, str]] = []

@@ -71,7 +71,7 @@ NO_NAMES = frozenset(
     morning evening night afternoon last next every each some any all both another other here there what who how why where which just only even as by from into during between about over under down out up off new old first second third one two three four five six seven eight nine ten""".split()
 )
 
-_WORD = r"[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*"
+_WORD = r"[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[\w'’]+)*"
 _ANY = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*"
 _PARTICLE = r"(?:(?:van|von|de|der|den|del|della|da|dos|di|du|la|le|ter|ten|bin|al|el|y|zu) )*"
 _NAME = re.compile(rf"(?:{_WORD})(?:(?:,? )(?:[A-Z]\.|{_PARTICLE}{_WORD})){{0,3}}")

@@ -156,8 +156,9 @@ def _folder(spark, path, obs, **more):  # noqa: ANN001, ANN003, ANN202
 def test_critical_bounds_hold_in_the_common_unit(spark, tmp_path):
     obs = [_obs("a", "glucose", "5.0", "mmol/L", 3.9, 5.5), _obs("b", "glucose", "30", "mmol/l", 3.9, 5.5), _obs("c", "glucose", "30", "mg/dL"), _obs("d", "glucose", "0.9", "g/L"), _obs("e", "glucose", "100 mg/dL"), _obs("f", "sodium", "1.4e2", "mEq/L")]
     folder = _folder(spark, tmp_path, obs)
-    assert {r.obs_id for r in plans.QUERIES["critical_alerts_whole"](spark, folder).collect()} == {"b", "c"}
-    got = {r.obs_id: r for r in records.converted_results(spark.read.parquet(f"{folder}/clean_observations.parquet"), spark.read.parquet(f"{folder}/dim_tests.parquet"), spark.read.parquet(f"{folder}/dim_unit_factors.parquet")).collect()}
+    assert {r.obs_id for r in plans.QUERIES["critical_alerts_whole"](spark, folder).collect()} == {"b", "c"} and {r.obs_id for r in plans.QUERIES["critical_alerts"](spark, folder).collect()} == {"b", "c"}
+    table = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    got = {r.obs_id: r for r in records.results(table("clean_observations"), table("dim_tests"), table("dim_unit_factors"), table("dim_sites")).collect()}
     assert round(got["a"].value, 2) == 90.08 and round(got["a"].high, 2) == 99.09 and got["e"].value == 100 and got["f"].value == 140
 
 
@@ -177,17 +178,24 @@ def test_days_are_those_of_the_collection_and_of_the_start(spark, tmp_path):
     assert [(r.metric, r.n, r.r) for r in run("lab_wearable_correlations")] == [("hrv", 8, -1.0)]
     assert [(r.before, r.after, r.pct) for r in run("treatment_response")] == [(98.0, 118.0, 20.4082)]
     assert [(r.obs_id, r.day) for r in run("treatment_baseline")] == [("o3", days[3])]
-    assert [(r.drug, r.newest) for r in run("active_medications")] == [("glucanorm", days[3])]
+    assert [(r.drug, r.newest) for r in plans.QUERIES["active_medications"](spark, folder).collect()] == [("glucanorm", days[3])]
     assert {(r.canonical_name, r.obs_id, r.day) for r in run("latest_per_test")} == {("glucose", "o7", days[7]), ("alt", "v", None)}  # undated results come last, none is lost
     assert [(r.value, r.prev_value) for r in run("panel_delta")] == [(118.0, 114.0)]
-    assert [(r.n, r.first_value, r.last_value) for r in plans.QUERIES["lab_trends_collected"](spark, folder).collect()] == [(8, 90.0, 118.0)]
+    assert [(r.n, r.first_value, r.last_value) for r in run("lab_trends")] == [(8, 90.0, 118.0)]
 
 
-def test_results_of_mistyped_names_and_with_units_behind(spark, tmp_path):
-    obs = [_obs("a", "glcuose", "92 mg/dL"), _obs("b", None, "0,902", "g/L", 0.70, 0.99, test="Blood Sugar"), _obs("c", "misc", "4.8 10*3/uL", test="Leukocytes"), _obs("d", "alt", "170 U/L", test="SGPT"), _obs("e", None, "7", test="zzz qqq"), _obs("f", "misc", "TNP", test="Sodium"), _obs("g", None, "87", "mg/dL", test="N/A")]
-    folder = _folder(spark, tmp_path, [(i, *r[1:]) for i, r in enumerate(obs)])
+def test_results_by_any_spelling_of_a_name_with_units_behind_and_delivered_once(spark, tmp_path):
+    obs = [_obs("a", "Blood-sugar", "92 mg/dL"), _obs("b", None, "0,902", "g/L", 0.70, 0.99, test="BLOOD SUGAR"), _obs("c", "misc", "4.8 10*3/uL", test="Leukocytes"), _obs("d", "alt", "170 U/L", test="SGPT"), _obs("e", None, "7", test="zzz qqq"), _obs("f", "misc", "TNP", test="Sodium"), _obs("g", None, "87", "mg/dL", test="N/A")]
+    rows = [(i, *r[1:]) for i, r in enumerate(obs)]
+    again = [(*rows[0][:1], "a2", *rows[0][2:-1], dt.datetime(2024, 5, 1)), (*rows[0][:1], "a3", *rows[0][2:-1], dt.datetime(2024, 2, 1))]
+    folder = _folder(spark, tmp_path, rows + again)
     got = {r.obs_id: (r.canonical_name, round(r.value, 6)) for r in plans.QUERIES["latest_per_test_whole"](spark, folder).collect()}
-    assert got == {"a": ("glucose", 92.0), "b": ("glucose", 90.2), "c": ("wbc", 4.8), "d": ("alt", 170.0)}
+    assert got == {"a3": ("glucose", 92.0), "b": ("glucose", 90.2), "c": ("wbc", 4.8), "d": ("alt", 170.0)}
+    # A mapping of free values names what folding does not.
+    table = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    mapped = spark.createDataFrame([("zzz qqq", "alt")], "value string, entry_key string")
+    assert {r.obs_id: r.canonical_name for r in records.named(table("clean_observations"), table("dim_tests"), mapped).collect()}["e"] == "alt"
+    assert records.results(table("clean_observations").limit(0), table("dim_tests"), table("dim_unit_factors"), table("dim_sites")).count() == 0
 
 
 def test_filtration_is_of_creatinine_in_any_unit(spark, tmp_path):

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe import dims
-from vitalframe.operators.mapping import match
 from vitalframe.operators.rolling import latest_delivery
 from vitalframe.operators.timestamps import normalise_timestamps
 from vitalframe.operators.units import convert_units
-from vitalframe.session import cut, small
+from vitalframe.session import small
 
 
 def number(text: Column) -> Column:
@@ -22,41 +21,53 @@ def number(text: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)
 
 
-def results(observations: DataFrame, tests: DataFrame) -> DataFrame:
-    """Numeric results of listed tests in the recorded unit with their bounds: (user_id, obs_id, canonical_name, value,
-    low, high, flag, unit, created_at, site_id, date_effective). Bounds are those of the row, else none. A second
-    delivery is kept; rows without number are left out."""
-    known = small(tests.select("canonical_name"))
-    x = F.coalesce(F.nanvl(F.col("value"), F.lit(None).cast("double")), number(F.col("value_text")))
-    return observations.join(known, "canonical_name", "left_semi").select("user_id", "obs_id", "canonical_name", x.alias("value"), F.col("reference_low").alias("low"), F.col("reference_high").alias("high"), "flag", "unit", "created_at", "site_id", "date_effective", "source_doc_id").where("value IS NOT NULL")
+#: Columns in which a second delivery differs from the first.
+DELIVERY = ("obs_id", "triage_level", "created_at")
 
 
-def named(observations: DataFrame, tests: DataFrame) -> DataFrame:
-    """observations with the canonical_name of the listed test they are of: as it is where it is listed, else the test
-    that the mapping finds for canonical_name, else for test_name; null where it finds none. The mapping has one row
-    for each distinct value and is written to a checkpoint."""
+def once(observations: DataFrame) -> DataFrame:
+    """observations without second deliveries: of rows that agree in all but DELIVERY the first received counts (ties:
+    the least obs_id). Counted before the shuffle, so a row delivered without end is one row of each task."""
+    rest = [c for c in observations.columns if c not in DELIVERY]
+    first = F.min(F.struct("created_at", "obs_id")).alias("_first")
+    return observations.groupBy(*rest).agg(first).select(*rest, "_first.obs_id", "_first.created_at")
+
+
+def fold(name: Column) -> Column:
+    """A name by its Latin letters and digits alone."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+
+
+def named(observations: DataFrame, tests: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """observations with the canonical_name of the listed test they are of: as it is where it is listed, else the one
+    whose canonical name, display name or alias is folded like canonical_name, else like test_name; then, with names
+    (value, entry_key: a mapping of free values, each once), what it maps canonical_name or test_name to; else null."""
     words = F.concat(F.array("canonical_name", "display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    labels = tests.select(F.lit("tests").alias("list_name"), F.col("canonical_name").alias("key"), F.explode(words).alias("label"))
-    known = small(tests.where("canonical_name IS NOT NULL").select(F.col("canonical_name").alias("_listed")).distinct())
-    rows = observations.join(known, F.col("canonical_name") == F.col("_listed"), "left")
-    asked = rows.where("_listed IS NULL").select(F.lit("tests").alias("list_name"), F.explode(F.array("canonical_name", "test_name")).alias("value"))
-    asked = asked.where(~F.col("value").rlike(r"(?i)^\W*n\W+a\W*$"))  # not available: no sodium
-    mapping = cut(match(asked, labels).where("entry_key IS NOT NULL").select("value", "entry_key"))
-    of = lambda c: small(mapping.select(F.col("value").alias(f"_v_{c}"), F.col("entry_key").alias(f"_k_{c}")))
-    open_ = lambda c: F.when(F.col("_listed").isNull(), F.col(c))
-    for c in ("canonical_name", "test_name"):
-        rows = rows.join(of(c), open_(c) == F.col(f"_v_{c}"), "left")
-    return rows.select(*[c for c in observations.columns if c != "canonical_name"], F.coalesce("_listed", "_k_canonical_name", "_k_test_name").alias("canonical_name"))
-
-
-def converted_results(observations: DataFrame, tests: DataFrame, factors: DataFrame) -> DataFrame:
-    """results with value and bounds in the ``common_unit`` of the test; ``unit`` is the code of the recorded one, null
-    where none is written and the likeliest was taken. A number may have its unit behind it."""
-    plain = F.nanvl(F.col("value"), F.lit(None).cast("double"))
-    bare = F.when(~F.col("value_text").contains(","), number(F.col("value_text")))  # forms as 1e3 and .5 too
-    rows = observations.select("user_id", "obs_id", "canonical_name", F.coalesce(plain, bare).alias("value"), "value_text", "unit", "reference_low", "reference_high", "reference_text", "flag", "created_at", "site_id", "date_effective", "source_doc_id")
-    got = convert_units(rows, tests, factors)
-    return got.select("user_id", "obs_id", "canonical_name", F.coalesce("converted", "recorded").alias("value"), F.col("common_low").alias("low"), F.col("common_high").alias("high"), "flag", F.when(F.col("unit_known"), F.col("from_unit")).alias("unit"), "common_unit", "created_at", "site_id", "date_effective", "source_doc_id")
+    labels = tests.select("canonical_name", F.explode(words).alias("l")).select("canonical_name", fold(F.col("l")).alias("f")).where("f != ''")
+    one = labels.groupBy("f").agg(F.min("canonical_name").alias("e"), F.max("canonical_name").alias("_g")).where("e = _g").select("f", "e")
+    listed = tests.where("canonical_name IS NOT NULL").select(F.col("canonical_name").alias("f"), F.col("canonical_name").alias("e")).distinct()
+    rows = observations
+    steps = [(listed, "canonical_name", F.col), (one, "canonical_name", lambda c: fold(F.col(c))), (one, "test_name", lambda c: fold(F.col(c)))]
+    if names is not None:
+        told = names.select(F.col("value").alias("f"), F.col("entry_key").alias("e"))
+        steps += [(told, "canonical_name", F.col), (told, "test_name", F.col)]
+    for i, (table, column, of) in enumerate(steps):
+        rows = rows.join(small(table.select(F.col("f").alias(f"_f{i}"), F.col("e").alias(f"_e{i}"))), of(column) == F.col(f"_f{i}"), "left")
+    found = F.coalesce(*[f"_e{i}" for i in range(len(steps))]).alias("canonical_name")
+    return rows.select(*[c for c in observations.columns if c != "canonical_name"], found)
+
+
+def results(observations: DataFrame, tests: DataFrame, factors: DataFrame, sites: DataFrame, names: DataFrame | None = None, written: bool = False) -> DataFrame:
+    """The numeric results of tests that are named readably, second deliveries once, in the common unit of their test
+    and by the day of their collection: (user_id, obs_id, canonical_name, test_name, value, low, high, flag, unit,
+    common_unit, day, created_at, source_doc_id). low and high are the row's bounds; unit is the code of the recorded
+    unit, null where none is written and the likeliest was taken: with ``written`` such rows are left out. day is null
+    where the text tells none. names: as in named. Rows without a number are left out."""
+    rows = convert_units(named(once(observations), tests, names), tests, factors)
+    if written:
+        rows = rows.where("unit_known")
+    rows = rows.select("user_id", "obs_id", "canonical_name", "test_name", F.coalesce("converted", "recorded").alias("value"), F.col("common_low").alias("low"), F.col("common_high").alias("high"), "flag", F.when(F.col("unit_known"), F.col("from_unit")).alias("unit"), "common_unit", "created_at", "source_doc_id", "site_id", "date_effective")
+    return collected(rows, sites).drop("site_id", "date_effective")
 
 
 def collected(df: DataFrame, sites: DataFrame) -> DataFrame:
@@ -66,12 +77,6 @@ def collected(df: DataFrame, sites: DataFrame) -> DataFrame:
     return got.select(*[c for c in df.columns if c != "day"], F.col("utc_date").alias("day"))
 
 
-def dated_results(observations: DataFrame, tests: DataFrame, sites: DataFrame) -> DataFrame:
-    """results with ``day``, the date of the collection as written or of its instant; undated rows are left out."""
-    got = collected(results(observations, tests), sites)
-    return got.select("user_id", "obs_id", "canonical_name", "value", "low", "high", "flag", "unit", "created_at", "day").where("day IS NOT NULL")
-
-
 def state_of(value: Column, low: Column, high: Column) -> Column:
     """'high', 'low' or 'normal' against the bounds; a bound that is null holds."""
     return F.when(value > high, "high").when(value < low, "low").otherwise("normal")

@@ -153,7 +153,7 @@ def domain_scores(last: DataFrame, domains: DataFrame) -> DataFrame:
 
 def composite(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean of a user's domain scores, weights scaled to the domains that are there, and its grade."""
-    g = scores.join(weights, "domain").groupBy("user_id").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"), F.count("*").alias("domains"))
+    g = scores.join(weights, "domain").groupBy("user_id").agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 6).alias("score"), F.count("*").alias("domains"))
     s = F.col("score")
     return g.withColumn("grade", F.when(s >= 90, "A").when(s >= 80, "B").when(s >= 70, "C").when(s >= 60, "D").otherwise("F"))
 

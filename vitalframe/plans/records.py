@@ -1,8 +1,8 @@
 """Queries over the record tables, each with the SQL that gives the same rows.
 
-The day of a result is here the UTC day it was received (created_at), and its value the number as recorded, so that SQL
-can state them too. The queries named *_whole, and lab_trends_collected, are the same analyses of whole results (see
-Whole), which SQL cannot state. The as-of day is the newest day in the data, never the clock.
+Results are read once delivered, named by the listed tests, converted to the common unit and dated by their collection.
+The queries with SQL take the results whose unit is written; the same analyses named *_whole also take those whose unit
+is missing, in the likeliest one, which SQL cannot state. The as-of day is the newest day in the data, never the clock.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vitalframe import dims
 from vitalframe.operators import records, series
+from vitalframe.plans import sql
 from vitalframe.tables import Tables
 
 
@@ -20,15 +21,18 @@ def utc_day(column: str):  # noqa: ANN201
 
 
 class Whole(Tables):
-    """Tables whose results are those of every test that is named readably, whatever way its number is written,
-    converted to the common unit of the test, with the day of their collection, null where none can be read;
-    medications have the day they were started."""
+    """Tables whose results are also those without a written unit, in the likeliest one, and those whose day can't be
+    read, which come last."""
+
+    def names(self) -> DataFrame | None:
+        """A mapping of free values to tests, for tables that have one."""
+        return None
 
 
 def _results(t: Tables) -> DataFrame:
-    if isinstance(t, Whole):
-        return records.collected(records.converted_results(records.named(t.clean_observations, t.dim_tests), t.dim_tests, t.dim_unit_factors), t.dim_sites)
-    return records.results(t.clean_observations, t.dim_tests).withColumn("day", utc_day("created_at")).where("day IS NOT NULL")
+    whole = isinstance(t, Whole)
+    got = records.results(t.clean_observations, t.dim_tests, t.dim_unit_factors, t.dim_sites, t.names() if whole else None, not whole)
+    return got if whole else got.where("day IS NOT NULL")
 
 
 def _dated(t: Tables) -> DataFrame:
@@ -40,40 +44,32 @@ def _long(t: Tables) -> DataFrame:
 
 
 def _meds(t: Tables) -> DataFrame:
-    m = t.clean_medications
-    if isinstance(t, Whole):
-        return records.medications(m, t.dim_sites).withColumn("drug", F.regexp_replace("drug", " xr$", ""))
-    return m.select("user_id", "med_id", F.regexp_replace(F.lower(F.trim("name")), " xr$", "").alias("drug"), F.lower(F.trim("status")).alias("status"), utc_day("created_at").alias("start_day"))
+    return records.medications(t.clean_medications, t.dim_sites).withColumn("drug", F.regexp_replace("drug", " xr$", ""))
 
 
 def r4(c: str):  # noqa: ANN201
     return F.round(c, 4).alias(c)
 
 
-_NUMBER = r"""(CASE WHEN regexp_matches(b, '^[+-]?\d+,\d{1,2}$') THEN replace(b, ',', '.') ELSE replace(b, ',', '') END)"""
-_RES = rf"""
-bare AS (SELECT *, regexp_replace(trim(value_text), '^(<=|>=|[<>=≤≥])\s*', '') AS b FROM clean_observations WHERE canonical_name IN (SELECT canonical_name FROM dim_tests)),
-res AS (SELECT * FROM (SELECT user_id, obs_id, canonical_name, coalesce(value, CASE WHEN regexp_matches({_NUMBER}, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST({_NUMBER} AS DOUBLE) END) AS value,
-  reference_low AS low, reference_high AS high, flag, unit, (created_at AT TIME ZONE 'UTC')::DATE AS day FROM bare) WHERE value IS NOT NULL AND day IS NOT NULL),
-last AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY user_id, canonical_name ORDER BY day DESC, obs_id DESC) = 1)"""
+_RES = sql.RESULTS
 _DAYS = """
 days AS (SELECT * FROM clean_wearable_daily WHERE date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, provider, date ORDER BY synced_at DESC NULLS LAST, id DESC NULLS LAST) = 1),
 long AS (""" + " UNION ALL ".join(f"SELECT user_id, provider, date, '{m}' AS metric, {m}::DOUBLE AS value FROM days WHERE {m} IS NOT NULL" for m in dims.WEARABLE_METRICS) + ")"
-_MEDS = "meds AS (SELECT user_id, med_id, regexp_replace(lower(trim(name)), ' xr$', '') AS drug, lower(trim(status)) AS status, (created_at AT TIME ZONE 'UTC')::DATE AS start_day FROM clean_medications)"
+_MEDS = sql.MEDICATIONS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):  # noqa: ANN201
+def query(text: str | None = None):  # noqa: ANN201
     def add(f):  # noqa: ANN001, ANN202
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return f(Tables(spark, folder))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
+        if text:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -89,9 +85,9 @@ _PREV = """lagged AS (SELECT *, lead(value) OVER w AS prev_value, lead(day) OVER
 pair AS (SELECT *, CASE WHEN prev_value <> 0 THEN (value - prev_value) / abs(prev_value) * 100 END AS pct_change FROM lagged WHERE r = 1)"""
 
 
-@query(f"WITH {_RES}, {_PREV} SELECT user_id, canonical_name, day, value, prev_day, prev_value, round(pct_change, 4) AS pct_change FROM pair")
+@query(f"WITH {_RES}, {_PREV} SELECT user_id, canonical_name, day, value, prev_day, prev_value, round(pct_change, 6) AS pct_change FROM pair")
 def latest_and_previous(t: Tables) -> DataFrame:
-    return series.latest_and_previous(_dated(t)).select("user_id", "canonical_name", "day", "value", "prev_day", "prev_value", r4("pct_change"))
+    return series.latest_and_previous(_dated(t)).select("user_id", "canonical_name", "day", "value", "prev_day", "prev_value", F.round("pct_change", 6).alias("pct_change"))
 
 
 @query(f"WITH {_RES}, {_PREV} SELECT user_id, p.canonical_name, value, prev_value, round(pct_change, 4) AS pct_change FROM pair p JOIN {dims.values(dims.RAPID, 'd', 'canonical_name, bound')} USING (canonical_name) WHERE abs(pct_change) >= bound")
@@ -147,12 +143,6 @@ def lab_trends(t: Tables) -> DataFrame:
     return _told(series.trend(_results(t), ("user_id", "canonical_name"), "day", "value", 3), "user_id", "canonical_name")
 
 
-@query()
-def lab_trends_collected(t: Tables) -> DataFrame:
-    """lab_trends of whole results by the day of collection, read from the raw text."""
-    return _told(series.trend(_dated(Whole(t.spark, t.folder)), ("user_id", "canonical_name"), "day", "value", 3), "user_id", "canonical_name")
-
-
 @query(f"WITH {_DAYS}, {_trend_sql('long', 'user_id, provider, metric', 'date', '0', 5)} SELECT user_id, provider, metric, {_TOLD}")
 def wearable_trends(t: Tables) -> DataFrame:
     return _told(series.trend(_long(t), ("user_id", "provider", "metric"), "date", "value", 5), "user_id", "provider", "metric")
@@ -256,7 +246,7 @@ def domain_scores(t: Tables) -> DataFrame:
     return _scores(t).select("user_id", "domain", r4("score"), "tests_found")
 
 
-@query(f"""WITH {_RES}, {_SCORES}, g AS (SELECT user_id, sum(score * weight) / sum(weight) AS score, count(*) AS domains FROM scores JOIN {dims.values(_WEIGHTS, 'w', 'domain, weight')} USING (domain) GROUP BY user_id)
+@query(f"""WITH {_RES}, {_SCORES}, g AS (SELECT user_id, round(sum(score * weight) / sum(weight), 6) AS score, count(*) AS domains FROM scores JOIN {dims.values(_WEIGHTS, 'w', 'domain, weight')} USING (domain) GROUP BY user_id)
 SELECT user_id, round(score, 4) AS score, domains, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM g""")
 def composite_score(t: Tables) -> DataFrame:
     return series.composite(_scores(t), dims.frame(t.spark, _WEIGHTS, "domain string, weight double")).select("user_id", r4("score"), "domains", "grade")
@@ -348,19 +338,17 @@ def provider_conflicts(t: Tables) -> DataFrame:
     return g.where((F.col("providers") > 1) & (both > 0)).withColumn("pct", 200 * (F.col("most") - F.col("least")) / both).where("pct > 15").select("user_id", "date", "metric", "least", "most", r4("pct"))
 
 
-_SOURCES = "SELECT user_id, (created_at AT TIME ZONE 'UTC')::DATE AS day, 'lab' AS kind, obs_id AS id, coalesce(canonical_name, test_name) AS title FROM clean_observations UNION ALL SELECT user_id, date_effective, 'symptom', event_id, symptom_category FROM parsed_events UNION ALL SELECT user_id, (created_at AT TIME ZONE 'UTC')::DATE, 'medication', med_id, name FROM clean_medications UNION ALL SELECT user_id, date, 'wearable', id, provider FROM clean_wearable_daily"
+_SOURCES = "SELECT user_id, utc_date AS day, 'lab' AS kind, obs_id AS id, coalesce(canonical_name, test_name) AS title FROM seen UNION ALL SELECT user_id, date_effective, 'symptom', event_id, symptom_category FROM parsed_events UNION ALL SELECT user_id, start_day, 'medication', med_id, name FROM meds UNION ALL SELECT user_id, date, 'wearable', id, provider FROM clean_wearable_daily"
 
 
-@query(f"SELECT user_id, day, kind, id, title FROM ({_SOURCES}) WHERE day IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC, kind, id DESC) <= 20")
+@query(f"WITH observed AS (SELECT *, date_effective AS text FROM clean_observations), {sql.stamps('observed', 'seen')}, {_MEDS} SELECT user_id, day, kind, id, title FROM ({_SOURCES}) WHERE day IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC, kind, id DESC) <= 20")
 def timeline(t: Tables) -> DataFrame:
-    """The 20 newest entries of each user over all sources: a top-k report."""
+    """The 20 newest entries of each user over all sources: a top-k report. Labs by their collection, medications by
+    their start."""
     from pyspark.sql import Window
 
-    whole = isinstance(t, Whole)
-    labs = records.collected(t.clean_observations, t.dim_sites) if whole else t.clean_observations.withColumn("day", utc_day("created_at"))
-    meds = t.clean_medications.withColumn("day", utc_day("created_at"))
-    if whole:
-        meds = records.collected(t.clean_medications.withColumnRenamed("start_date", "date_effective"), t.dim_sites)
+    labs = records.collected(t.clean_observations.select("user_id", "obs_id", "canonical_name", "test_name", "site_id", "date_effective"), t.dim_sites)
+    meds = records.collected(t.clean_medications.select("user_id", "med_id", "name", "site_id", F.col("start_date").alias("date_effective")), t.dim_sites)
     parts = [
         labs.select("user_id", "day", F.lit("lab").alias("kind"), F.col("obs_id").alias("id"), F.coalesce("canonical_name", "test_name").alias("title")),
         t.parsed_events.select("user_id", F.col("date_effective").alias("day"), F.lit("symptom").alias("kind"), F.col("event_id").alias("id"), F.col("symptom_category").alias("title")),
@@ -415,11 +403,10 @@ def derived_markers(t: Tables) -> DataFrame:
     return w.select("user_id", F.round(over("triglycerides", "hdl"), 4).alias("tg_hdl"), F.round(over("bun", "creatinine"), 4).alias("bun_creatinine"), F.round(F.col("cholesterol_total") - F.col("hdl"), 4).alias("non_hdl"), F.round(F.col("sodium") - F.col("chloride") - F.col("carbon_dioxide"), 4).alias("anion_gap"), F.round(F.col("glucose") * F.col("insulin") / 405, 4).alias("homa_ir"))
 
 
-@query(f"""WITH {_RES}, c AS (SELECT l.user_id, value AS creatinine, age, lower(sex) IN ('f', 'female', 'w', 'weiblich', 'woman') AS female FROM last l JOIN clean_demographics d USING (user_id) WHERE canonical_name = 'creatinine' AND (unit = 'mg/dL') AND age IS NOT NULL AND trim(coalesce(sex, '')) <> '' AND value > 0)
+@query(f"""WITH {_RES}, c AS (SELECT l.user_id, value AS creatinine, age, lower(sex) IN ('f', 'female', 'w', 'weiblich', 'woman') AS female FROM last l JOIN clean_demographics d USING (user_id) WHERE canonical_name = 'creatinine' AND common_unit = 'mg/dL' AND age IS NOT NULL AND trim(coalesce(sex, '')) <> '' AND value > 0)
 SELECT user_id, round(142 * pow(least(creatinine / CASE WHEN female THEN 0.7 ELSE 0.9 END, 1.0), CASE WHEN female THEN -0.241 ELSE -0.302 END) * pow(greatest(creatinine / CASE WHEN female THEN 0.7 ELSE 0.9 END, 1.0), -1.2) * pow(0.9938, age) * CASE WHEN female THEN 1.012 ELSE 1.0 END, 4) AS egfr FROM c""")
 def kidney_filtration(t: Tables) -> DataFrame:
-    unit = "common_unit" if isinstance(t, Whole) else "unit"
-    last = series.latest(_results(t)).where(f"canonical_name = 'creatinine' AND {unit} = 'mg/dL' AND value > 0")
+    last = series.latest(_results(t)).where("canonical_name = 'creatinine' AND common_unit = 'mg/dL' AND value > 0")
     d = t.clean_demographics.where("age IS NOT NULL AND trim(coalesce(sex, '')) != ''").select("user_id", "age", F.lower("sex").isin("f", "female", "w", "weiblich", "woman").alias("female"))
     return last.join(d, "user_id").select("user_id", F.round(series.egfr(F.col("value"), F.col("age"), F.col("female")), 4).alias("egfr"))
 
@@ -514,5 +501,5 @@ def _whole(f):  # noqa: ANN001, ANN202
     return run
 
 
-WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, treatment_baseline, overdue_tests, duplicate_results, timeline, active_medications, threshold_crossings, pattern_scores, panel_gaps, conditional_gaps, domain_scores, composite_score, usual_units, kidney_filtration)
+WHOLE = (critical_alerts, triage_counts, rapid_changes, latest_and_previous, panel_delta, treatment_response, lab_wearable_correlations, derived_markers, latest_per_test, lab_trends, treatment_baseline, overdue_tests, duplicate_results, threshold_crossings, pattern_scores, panel_gaps, conditional_gaps, domain_scores, composite_score, usual_units, kidney_filtration)
 QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in WHOLE}

@@ -125,7 +125,7 @@ def test_missing_zone_is_estimated_from_the_order_of_records(spark):
 
 
 def test_numbers_and_units_as_written(spark):
-    rows = [("1,020", 800.0, 1020.0, None), ("0,902", None, 0.902, None), ("6,574", 6.5, 6.574, None), ("1,234,567", None, 1234567.0, None), ("<0.5", None, 0.5, None), ("37,1 deg C", None, 37.1, "deg C"), ("7.9 10*3/uL", None, 7.9, "10*3/uL"), ("10 412", None, 10412.0, None), ("TNP", None, None, None), ("", None, None, None), (None, None, None, None), ("1.234,5", None, 1234.5, None)]
+    rows = [("1,020", 800.0, 1020.0, None), ("0,902", None, 0.902, None), ("6,574", 6.5, 6.574, None), ("1,234,567", None, 1234567.0, None), ("<0.5", None, 0.5, None), ("37,1 deg C", None, 37.1, "deg C"), ("7.9 10*3/uL", None, 7.9, "10*3/uL"), ("10 412", None, 10412.0, None), ("TNP", None, None, None), ("", None, None, None), (None, None, None, None), ("1.234,5", None, 1234.5, None), ("1.4e2", None, 140.0, None), ("< .5", None, 0.5, None), ("7.", None, 7.0, None)]
     number, behind = read_number(F.col("t"), F.col("near"))
     for r in spark.createDataFrame(rows, "t string, near double, n double, b string").select("*", number.alias("got"), behind.alias("unit")).collect():
         assert (r.got, r.unit) == (r.n, r.b), r.t

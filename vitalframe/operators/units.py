@@ -38,6 +38,8 @@ PARTS = (
 )
 
 _NUMBER = r"^(?:[<>≤≥=~≈]+\s*)?([+-]?\d[\d.,'’]*(?:[  ]\d{3}(?![\d*^]))*)(.*)$"
+#: Numbers with an exponent, or without digits before or behind the point.
+SCIENTIFIC = r"^[+-]?(\d+(\.\d*)?[eE][+-]?\d+|\.\d+([eE][+-]?\d+)?|\d+\.)$"
 BIN = 0.01  # width of the log-scale histogram's bins; the fit is exact up to it
 SPREAD_LIMITS = (0.03, 0.5)  # of ln(reference bound / typical bound), which is measured on rows with a unit
 
@@ -78,7 +80,9 @@ def read_number(text: Column, near: Column) -> tuple[Column, Column]:
         .when(raw.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"), thousands)
         .when(raw.rlike(r"^[+-]?\d{1,3}(\.\d{3})+(,\d+)?$"), decimal_comma)
     )
-    return number, F.when(behind != "", behind)
+    bare = F.regexp_replace(F.trim(text), r"^[<>≤≥=~≈]+\s*", "")
+    scientific = bare.rlike(SCIENTIFIC)
+    return F.when(scientific, cast(bare)).otherwise(number), F.when(~scientific & (behind != ""), behind)
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vitalframe import dims
 from vitalframe.operators.timestamps import ABBREVIATIONS, MONTHS
-from vitalframe.operators.units import PARTS, PLAIN, SPELLINGS
+from vitalframe.operators.units import PARTS, PLAIN, SCIENTIFIC, SPELLINGS
 
 
 def _quoted(x: str) -> str:
@@ -100,9 +100,9 @@ def converted(source: str, name: str = "converted") -> str:
 {n}_keys AS (SELECT canonical_name, base AS key, 0 AS r, code, factor, shift FROM {n}_codes UNION ALL SELECT canonical_name, s.key, 1, code, factor, shift FROM {n}_codes JOIN {dims.values(pairs, 's', 'base, key')} USING (base)),
 {n}_spelled AS (SELECT canonical_name, key, min((r, code, factor, shift)) AS b, arg_min(code, (r, code, factor, shift)) AS code, arg_min(factor, (r, code, factor, shift)) AS factor, arg_min(shift, (r, code, factor, shift)) AS shift FROM {n}_keys GROUP BY ALL),
 {n}_1 AS (SELECT s.*, t.unit AS common_unit, coalesce(reference_low, CASE WHEN {span} THEN {bound(1)} END) AS lo, coalesce(reference_high, CASE WHEN {span} THEN {bound(2)} WHEN regexp_matches({ref}, '^\s*[<≤]') THEN {most} END) AS hi FROM {source} s JOIN dim_tests t USING (canonical_name)),
-{n}_2 AS (SELECT *, CASE WHEN lo > 0 AND hi > 0 THEN sqrt(lo * hi) WHEN hi > 0 THEN hi END AS near, regexp_replace(regexp_extract(trim(value_text), '{_TEXT_NUMBER}', 1), '[''’  ]', '', 'g') AS raw, nullif(trim(regexp_extract(trim(value_text), '{_TEXT_NUMBER}', 2)), '') AS behind,
+{n}_2 AS (SELECT *, regexp_replace(trim(value_text), '^[<>≤≥=~≈]+\s*', '') AS bare, CASE WHEN lo > 0 AND hi > 0 THEN sqrt(lo * hi) WHEN hi > 0 THEN hi END AS near, regexp_replace(regexp_extract(trim(value_text), '{_TEXT_NUMBER}', 1), '[''’  ]', '', 'g') AS raw, nullif(trim(regexp_extract(trim(value_text), '{_TEXT_NUMBER}', 2)), '') AS behind,
   regexp_extract({ref}, '(?:-|–|—|to|<|≤)\s*[\d.,]+\)?\s*((?:x?10[*^eE]|/|[A-Za-z%°µμ]).*)$', 1) AS beside FROM {n}_1),
-{n}_3 AS (SELECT *, coalesce(value, {_number('raw', 'near')}) AS recorded, CASE WHEN trim(coalesce(unit, '')) <> '' THEN unit WHEN value IS NULL AND behind IS NOT NULL THEN behind WHEN trim(beside) <> '' THEN beside END AS told FROM {n}_2),
+{n}_3 AS (SELECT *, coalesce(value, CASE WHEN regexp_matches(bare, '{SCIENTIFIC}') THEN TRY_CAST(bare AS DOUBLE) ELSE {_number('raw', 'near')} END) AS recorded, CASE WHEN trim(coalesce(unit, '')) <> '' THEN unit WHEN value IS NULL AND behind IS NOT NULL AND NOT regexp_matches(bare, '{SCIENTIFIC}') THEN behind WHEN trim(beside) <> '' THEN beside END AS told FROM {n}_2),
 {n} AS (SELECT x.*, s.code AS from_unit, recorded * factor + shift AS converted, lo * factor + shift AS common_low, hi * factor + shift AS common_high, factor AS unit_factor, shift AS unit_shift FROM (SELECT *, {fold_unit('told')} AS key FROM {n}_3 WHERE recorded IS NOT NULL) x JOIN {n}_spelled s USING (canonical_name, key))"""
 
 

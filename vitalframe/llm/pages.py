@@ -317,7 +317,8 @@ def examine(pages: list[list[str]], numbers: list[int], vocabulary: Vocabulary)
         if _BROKEN.search(line.text) and any(c.isalpha() for c in words[-1]) and len(words[-1].strip(_ENDS)) > 0:
             left = words[-1].rstrip(_ENDS).lstrip(_EDGE).lower()
             chosen = None
-            for step, nxt in enumerate(text[at + 1 :] if at + 1 < len(text) else []):
+            for step in range(len(text) - at - 1):
+                nxt = text[at + 1 + step]
                 if step >= AHEAD and nxt.page > line.page + 1:
                     break
                 right = core(nxt.text.split()[0]).rstrip(_ENDS)

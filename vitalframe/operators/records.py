@@ -34,8 +34,8 @@ def once(observations: DataFrame) -> DataFrame:
 
 
 def fold(name: Column) -> Column:
-    """A name by its Latin letters and digits alone."""
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+    """A name by its Latin letters and digits alone; marks as N/A are empty."""
+    return F.when(name.rlike(r"(?i)^\W*n\W+a\W*$"), "").otherwise(F.regexp_replace(F.lower(name), "[^a-z0-9]+", ""))
 
 
 def named(observations: DataFrame, tests: DataFrame, names: DataFrame | None = None) -> DataFrame:

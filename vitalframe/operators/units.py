@@ -246,14 +246,14 @@ def convert_units(rows: DataFrame, kinds: DataFrame, factors: DataFrame, sure: f
         bound = lambda c, t: F.when(F.col(c).isNotNull() & (F.col(t) > 0), -F.pow(log(F.col(c)) - F.ln(t), 2) / (2 * spread**2))
         return F.coalesce(by_value, u["lw"]) + F.coalesce(bound("_low", "_tl"), F.lit(0.0)) + F.coalesce(bound("_high", "_th"), F.lit(0.0))
 
-    scored = F.when(F.col("_written").isNull(), F.transform("_units", lambda u: F.struct(fit_of(u).alias("fit"), u["code"].alias("code"), u["factor"].alias("factor"), u["shift"].alias("shift"))))
+    scored = F.when(F.col("_written").isNull(), F.transform("_units", lambda u: F.struct(fit_of(u).alias("_fit"), u["code"].alias("_bcode"), u["factor"].alias("_bfactor"), u["shift"].alias("_bshift"))))
     read = read.select("*", F.inline(F.array(F.struct(scored.alias("_scored")))))
-    read = read.select("*", F.inline(F.array(F.struct(F.array_max("_scored").alias("_best")))))
-    share = 1 / F.aggregate("_scored", F.lit(0.0), lambda a, s: a + F.exp(s["fit"] - F.col("_best.fit")))
-    factor, shift = F.coalesce("_written.factor", "_best.factor"), F.coalesce("_written.shift", "_best.shift")
+    read = read.select("*", F.inline(F.array(F.array_max("_scored"))))
+    share = 1 / F.aggregate("_scored", F.lit(0.0), lambda a, s: a + F.exp(s["_fit"] - F.col("_fit")))
+    factor, shift = F.coalesce("_written.factor", "_bfactor"), F.coalesce("_written.shift", "_bshift")
     moved = lambda c: F.coalesce(F.col(c) * factor + shift, F.col(c))
     out = read.select(
-        *kept, F.col("_number").alias("recorded"), F.coalesce("_written.code", "_best.code").alias("from_unit"), (F.col("_number") * factor + shift).alias("converted"), F.col("_unit").alias("common_unit"), moved("_from").alias("common_low"), moved("_to").alias("common_high"),
+        *kept, F.col("_number").alias("recorded"), F.coalesce("_written.code", "_bcode").alias("from_unit"), (F.col("_number") * factor + shift).alias("converted"), F.col("_unit").alias("common_unit"), moved("_from").alias("common_low"), moved("_to").alias("common_high"),
         factor.alias("unit_factor"), shift.alias("unit_shift"), F.col("_written").isNotNull().alias("unit_known"), F.when(F.col("_written").isNotNull(), 1.0).otherwise(share).alias("posterior"),
     )
     return out.withColumn("uncertain", F.col("posterior") < sure)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vitalframe import dims
 from vitalframe.operators import records, series
 from vitalframe.plans import sql
+from vitalframe.session import cut
 from vitalframe.tables import Tables
 
 
@@ -312,7 +313,7 @@ def completeness(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RES}, o AS (SELECT max(day) AS as_of FROM res) SELECT user_id, l.canonical_name, day AS last_day, day + months * 30 AS due, as_of - (day + months * 30) AS days_overdue FROM last l JOIN {dims.values(dims.INTERVALS, 'd', 'canonical_name, months')} USING (canonical_name), o WHERE day + months * 30 < as_of""")
 def overdue_tests(t: Tables) -> DataFrame:
-    r = _dated(t)
+    r = cut(_dated(t))
     as_of = F.lit(r.agg(F.max("day")).first()[0]).cast("date")
     last = series.latest(r).join(dims.frame(t.spark, dims.INTERVALS, "canonical_name string, months int"), "canonical_name").withColumn("due", F.expr("date_add(day, months * 30)"))
     return last.where(F.col("due") < as_of).select("user_id", "canonical_name", F.col("day").alias("last_day"), "due", F.datediff(as_of, "due").alias("days_overdue"))

@@ -106,7 +106,7 @@ def converted(source: str, name: str = "converted") -> str:
 {n} AS (SELECT x.*, s.code AS from_unit, recorded * factor + shift AS converted, lo * factor + shift AS common_low, hi * factor + shift AS common_high, factor AS unit_factor, shift AS unit_shift FROM (SELECT *, {fold_unit('told')} AS key FROM {n}_3 WHERE recorded IS NOT NULL) x JOIN {n}_spelled s USING (canonical_name, key))"""
 
 
-FOLD = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
+FOLD = r"CASE WHEN regexp_matches({0}, '(?i)^\W*n\W+a\W*$') THEN '' ELSE regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g') END"
 
 
 def named(source: str, name: str = "named") -> str:

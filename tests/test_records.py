@@ -127,8 +127,12 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == {(r.event_type, r.day, r.n) for r in incremental.daily_totals(events, "ts", "event_type", "value").collect()}
     once = incremental.upsert_batches(stream, str(tmp_path / "out"), ["user_id"], "event_id", str(tmp_path / "c2"))
     once.awaitTermination()
-    newest = max((p for p in (tmp_path / "out").iterdir()), key=lambda p: int(p.name.split("=")[1]))
-    assert {r.event_id for r in spark.read.parquet(str(newest)).collect()} == {r.m for r in events.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+    want = {r.m for r in events.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+    assert {r.event_id for r in incremental.read_upserted(spark, str(tmp_path / "out")).collect()} == want
+    assert all(len(list(b.iterdir())) <= 3 for b in (tmp_path / "out").iterdir() if b.is_dir())
+    top = events.agg(F.max("ts")).first()[0]
+    late = incremental.late_rows(events, "ts", F.lit(top), "60 days").count()
+    assert late == events.where(F.col("ts") < F.lit(top - dt.timedelta(60))).count()
 
 
 def test_every_query_has_a_stable_schema(spark, sf):

@@ -5,14 +5,17 @@ Bad input never fails a job: what can't be read comes out in a column of its own
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Resource types that carry results, medications, conditions, allergies, immunizations, documents.
 RESOURCES = ("Observation", "MedicationRequest", "MedicationStatement", "Condition", "AllergyIntolerance", "Immunization", "DiagnosticReport")
-# Fields of a resource that identify a person and are dropped.
-IDENTIFYING = ("name", "telecom", "address", "birthDate", "identifier", "photo", "contact", "subject", "patient", "performer")
-
 _CODING = "struct<text: string, coding: array<struct<system: string, code: string, display: string>>>"
 FHIR = (
     f"resourceType string, id string, status string, code {_CODING}, category array<{_CODING}>, medicationCodeableConcept {_CODING}, vaccineCode {_CODING}, effectiveDateTime string, issued string, authoredOn string, onsetDateTime string, occurrenceDateTime string, "
@@ -109,3 +112,117 @@ def to_fhir(results: DataFrame) -> DataFrame:
     bounds = F.array(F.struct(F.struct(F.col("low").alias("value")).alias("low"), F.struct(F.col("high").alias("value")).alias("high")))
     resource = F.struct(F.lit("Observation").alias("resourceType"), F.col("obs_id").alias("id"), F.lit("final").alias("status"), code.alias("code"), F.date_format("day", "yyyy-MM-dd").alias("effectiveDateTime"), quantity.alias("valueQuantity"), bounds.alias("referenceRange"))
     return results.select("user_id", F.to_json(resource).alias("resource"))
+
+
+# Code of a section -> kind of its entries.
+SECTIONS = {"30954-2": "lab", "10160-0": "medication", "11450-4": "condition", "48765-2": "allergy", "11369-6": "immunization"}
+
+
+def _section_entries(content: bytes) -> list[tuple]:
+    """(kind, name, code, value, unit, low, high, time) of the entries of one clinical document; none if it is no XML."""
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        return []
+    tag = lambda e: e.tag.rsplit("}", 1)[-1]
+    inside = lambda e, *names: [x for x in e.iter() if tag(x) in names]
+    out = []
+    for section in inside(root, "section"):
+        code = next((x.get("code") for x in section if tag(x) == "code"), None)
+        kind = SECTIONS.get(code or "")
+        if not kind:
+            continue
+        wanted = {"lab": ("observation",), "medication": ("manufacturedMaterial",), "immunization": ("manufacturedMaterial",), "condition": ("observation",), "allergy": ("playingEntity",)}[kind]
+        for entry in (x for x in section if tag(x) == "entry"):
+            times = [x.get("value") or next((y.get("value") for y in x if tag(y) in ("low", "center")), None) for x in inside(entry, "effectiveTime")]
+            time = next((t for t in times if t), None)
+            for item in inside(entry, *wanted):
+                own = next((x.get("value") or next((y.get("value") for y in x if tag(y) in ("low", "center")), None) for x in item if tag(x) == "effectiveTime"), None)
+                value = next((x for x in item if tag(x) == "value"), None)
+                named = value if kind == "condition" and value is not None else next((x for x in item if tag(x) == "code"), None)
+                name = None if named is None else named.get("displayName") or next((x.text for x in inside(named, "originalText") if x.text), None)
+                if not name:
+                    continue
+                number = value.get("value") if value is not None and kind == "lab" else None
+                bounds = [x for r in inside(item, "referenceRange") for x in inside(r, "low", "high")]
+                bound = lambda n, bounds=bounds: next((x.get("value") for x in bounds if tag(x) == n), None)
+                out.append((kind, name, named.get("code"), number if number is not None else (value.text if value is not None and kind == "lab" else None), value.get("unit") if value is not None and kind == "lab" else None, bound("low"), bound("high"), own or time))
+    return out
+
+
+def read_clinical_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, name, code, value_text, value, unit, low, high, day) of the labs, medications, conditions, allergies
+    and immunizations of clinical XML documents, one file a document; files that are no XML give nothing."""
+    schema = "path string, kind string, name string, code string, value_text string, unit string, low string, high string, at string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, *r) for p, c in zip(f["path"], f["content"]) for r in _section_entries(bytes(c))]
+            yield pd.DataFrame(rows, columns=["path", "kind", "name", "code", "value_text", "unit", "low", "high", "at"], dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    s = F.substring("at", 1, 8)
+    day = F.when(F.length(s) == 8, F.try_to_date(s, "yyyyMMdd")).when(F.length(s) == 6, F.try_to_date(F.concat(s, F.lit("01")), "yyyyMMdd")).when(F.length(s) == 4, F.try_to_date(F.concat(s, F.lit("0101")), "yyyyMMdd"))
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    return files.mapInPandas(run, schema).select("path", "kind", "name", "code", "value_text", F.col("value_text").try_cast("double").alias("value"), "unit", number("low"), number("high"), day.alias("day"))
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, kind, content) of the files in ZIP archives: 'health_xml', 'clinical_xml', 'fhir', 'pdf', 'table' or
+    'other', by name and first bytes. Broken archives give nothing."""
+
+    def kind_of(name: str, head: bytes) -> str:
+        low = name.lower()
+        if low.endswith(".pdf") or head.startswith(b"%PDF"):
+            return "pdf"
+        if low.endswith(".xml"):
+            return "clinical_xml" if b"ClinicalDocument" in head else "health_xml" if b"HealthData" in head else "other"
+        if low.endswith((".json", ".ndjson")):
+            return "fhir" if b"resourceType" in head else "other"
+        return "table" if low.endswith((".csv", ".tsv", ".txt")) else "other"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for p, c in zip(f["path"], f["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
+                        for n in z.namelist():
+                            if not n.endswith("/"):
+                                content = z.read(n)
+                                rows.append((p, n, kind_of(n, content[:4096]), content))
+                except zipfile.BadZipFile:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "member", "kind", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, kind string, content binary")
+
+
+def to_knowledge(stores: dict[str, DataFrame]) -> DataFrame:
+    """(store, row) of tables as JSON lines, to be written as text."""
+    parts = [df.select(F.lit(name).alias("store"), F.to_json(F.struct("*")).alias("row")) for name, df in sorted(stores.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def from_knowledge(lines: DataFrame, store: str, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a store whose keys (null equals null) existing has not, each key once."""
+    from vitalframe.operators.records import anti_new
+
+    rows = lines.where(F.col("store") == store).select(F.from_json("row", existing.schema.simpleString()).alias("r")).select("r.*")
+    return anti_new(rows, existing, keys)
+
+
+def to_markdown(sections: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """(user_id, markdown): for each user the sections (title, table with user_id, columns), each a list of its rows in
+    the order of the columns; users without rows in a section have none of it."""
+    out = None
+    for i, (title, df, columns) in enumerate(sections):
+        line = F.concat(F.lit("- "), F.concat_ws(", ", *[F.col(c).cast("string") for c in columns]))
+        text = df.groupBy("user_id").agg(F.array_sort(F.collect_list(line)).alias("_l"))
+        part = text.select("user_id", F.lit(i).alias("_i"), F.concat(F.lit(f"## {title}\n"), F.array_join("_l", "\n")).alias("_t"))
+        out = part if out is None else out.unionByName(part)
+    parts = out.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_p"))
+    return parts.select("user_id", F.array_join(F.transform("_p", lambda p: p["_t"]), "\n\n").alias("markdown"))

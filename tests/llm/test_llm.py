@@ -171,6 +171,13 @@ def test_names_beside_known_keys_map_to_them(spark, sf):
     assert n > 50 and right >= 0.99 * n
 
 
+def test_results_of_mistyped_names_are_of_the_test_they_mean(spark, sf):
+    t = plans.Mapped(spark, sf)
+    got = plans.QUERIES["latest_per_test_mapped"](spark, sf).count()
+    assert got > plans.core.QUERIES["latest_per_test_whole"](spark, sf).count()
+    assert {r.value: r.entry_key for r in t.names().collect()}.get("glucose") == "glucose"
+
+
 # ---- redaction
 
 

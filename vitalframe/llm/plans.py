@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm.mapping import map_fields
+from vitalframe.llm.mapping import map_fields, match
 from vitalframe.llm.mixing import mix, share_report
 from vitalframe.llm.packing import fill_report, pack
 from vitalframe.llm.pages import page_noise, page_paragraphs
 from vitalframe.llm.redaction import redact_texts
 from vitalframe.llm.subjects import assign_subjects
 from vitalframe.llm.tokens import token_counts
+from vitalframe.plans import records as core
 from vitalframe.session import cut
 from vitalframe.tables import Tables
 
@@ -97,5 +98,24 @@ def p10_makeup(spark: SparkSession, folder: str) -> DataFrame:
     return F.broadcast(Tables(spark, folder).dim_subjects.select("subject")).join(found, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+class Mapped(core.Whole):
+    """Whole tables whose results also have the tests that problem 2 maps their free names to."""
+
+    def names(self) -> DataFrame:
+        """(value, entry_key) of each distinct name of a test, written to a checkpoint; marks as N/A name none."""
+        o = self.clean_observations
+        asked = o.select(F.explode(F.array_distinct(F.array("canonical_name", "test_name"))).alias("value")).where("value IS NOT NULL").distinct()
+        asked = asked.where(~F.col("value").rlike(r"(?i)^\W*n\W+a\W*$")).select(F.lit("tests").alias("list_name"), "value")
+        return cut(match(asked, _labels(self.dim_tests, "tests", "canonical_name", "display_name")).where("entry_key IS NOT NULL").select("value", "entry_key"))
+
+
+def _mapped(query):  # noqa: ANN001, ANN202
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(Mapped(spark, folder))
+
+    return run
+
+
 QUERIES = {"p10_found": p10_found, "p10_assigned": p10_assigned, "p10_makeup": p10_makeup, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
+QUERIES |= {f"{q.__name__}_mapped": _mapped(q) for q in (core.latest_per_test, core.lab_trends, core.critical_alerts)}
 SQL: dict[str, str] = {}

@@ -94,6 +94,18 @@ def test_words_for_days_periods_doses_and_sizes(spark):
     assert (r.a, r.b, r.c, r.d) == (14, None, 23, 24)
 
 
+def test_conditions_in_texts_and_reminders(spark):
+    docs = spark.createDataFrame([(1, "My mother has hypertension. I have high blood pressure and anemia!\nAnemia again."), (2, None), (3, ""), (4, "no condition"), (5, "x " * 50_000 + "gout and diabetes")], "doc_id long, t string")
+    got = {(r.doc_id, r.condition, r.sentences, r.of_family) for r in text.condition_mentions(docs, "doc_id", "t", knowledge.CONDITION_WORDS, knowledge.RELATIVES).collect()}
+    assert got == {(1, "hypertension", 2, 1), (1, "anemia", 2, 0), (5, "diabetes", 1, 0)}
+    active = spark.createDataFrame([(1, "d"), (2, "d"), (3, "e")], "user_id long, drug string")
+    acts = spark.createDataFrame([("d", "tsh"), ("d", "alt"), ("e", "zzz")], "drug string, canonical_name string")
+    last = spark.createDataFrame([(1, "a", "tsh", 2.0, 0.4, 4.0, D(2024, 1, 2)), (1, "b", "alt", 90.0, 7.0, 45.0, D(2024, 1, 1)), (2, "c", "tsh", 9.0, 0.4, 4.0, D(2024, 1, 1))], RES)
+    weeks = spark.createDataFrame(knowledge.PAUSE_WEEKS, "canonical_name string, weeks int")
+    states = rules.reminder_states(active, acts, last, weeks, 26, F.lit("2024-02-01").cast("date")).collect()
+    assert {(r.user_id, r.state, r.resume_after) for r in states} == {(1, "paused", D(2024, 8, 1)), (2, "active", None)}
+
+
 def test_lab_lines_and_merged_extractions(spark):
     page = "WBC 8.2 x10E3/uL 3.4 - 10.8 01\nCreatinine 0.67 Low mg/dL 0.76 - 1.27 01\nTroponin I   <0.01 ng/mL\nNeutrophils 55 % 01\nCRP 3.1 mg/L <5\nDate 12 pages\nPatient 4 mg\nThe patient took 4 mg of it and slept\n1,200 only\nPlatelets 1,050 H k/uL (150-400)"
     got = {r.name: (r.sign, r.value, r.flag, r.unit, r.low, r.high, r.line_no) for r in text.lab_lines(spark.createDataFrame([("p", page), ("n", None), ("e", "")], "page_id string, text string"), "page_id", "text").collect()}

@@ -99,7 +99,8 @@ LIGHT_MOST = 65.0
 # Wearable metrics that trends and correlations are taken of.
 WEARABLE_METRICS = ("hrv", "rhr", "resp_rate", "sleep_score", "recovery_score", "strain", "sleep_duration_min", "spo2")
 
-# Symptom categories in order with their patterns; the first that matches counts.
+# Self-authored: symptom categories in order with their patterns, after the words of the test texts; the first that matches
+# counts. So are the words for severity and emergencies.
 CATEGORIES = [
     ("headache", r"headache|migraine|temples"), ("chest", r"chest|palpitation"), ("breathing", r"short of breath|wheez|breath"), ("stomach", r"nausea|stomach|bloat|cramp"), ("pain", r"pain|sore|stiff|ache"),
     ("skin", r"rash|hives|itch|dry patch"), ("fatigue", r"tired|wiped out|low energy|fatigue"), ("sleep", r"woke|asleep|restless|insomnia"), ("mood", r"anxious|mood|irritable|flat"),

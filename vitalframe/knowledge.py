@@ -89,3 +89,14 @@ GENOTYPES = [
 ]
 # Self-authored: aims that are followed for every user who has the test.
 GOALS = [("ldl", 100.0, "below"), ("hba1c", 5.7, "below"), ("vitamin_d", 40.0, "above"), ("hdl", 50.0, "above")]
+
+# Words of a text -> the condition they name.
+CONDITION_WORDS = [
+    ("iron deficiency", "iron deficiency"), ("b12 deficiency", "vitamin B12 deficiency"), ("vitamin b12", "vitamin B12 deficiency"), ("hypothyroidism", "hypothyroidism"), ("hyperthyroidism", "hyperthyroidism"), ("prediabetes", "prediabetes"), ("diabetes", "diabetes"), ("metabolic syndrome", "metabolic syndrome"), ("kidney disease", "chronic kidney disease"), ("liver inflammation", "hepatitis"),
+    ("vitamin d deficiency", "vitamin D deficiency"), ("hemochromatosis", "hemochromatosis"), ("polycythemia", "polycythemia"), ("chronic inflammation", "chronic inflammation"), ("folate deficiency", "folate deficiency"), ("hyperuricemia", "gout"), ("dyslipidemia", "dyslipidemia"), ("anemia", "anemia"), ("hypertension", "hypertension"), ("high blood pressure", "hypertension"), ("heart disease", "cardiovascular disease"), ("hashimoto", "hashimoto thyroiditis"), ("graves", "graves disease"),
+]
+# Weeks after which a test that pauses a reminder is done again; others 26.
+PAUSE_WEEKS = [("tsh", 26), ("hba1c", 12), ("inr", 4), ("lithium", 12), ("vitamin_d", 12), ("iron", 12), ("ferritin", 12), ("vitamin_b12", 26), ("potassium", 4), ("creatinine", 12), ("alt", 12), ("ast", 12), ("estradiol", 12), ("prolactin", 12)]
+PAUSE_WEEKS_ELSE = 26
+# Self-authored: relatives whose mention makes a condition one of the family.
+RELATIVES = r"\b(mother|father|brother|sister|parents?|grandmother|grandfather|aunt|uncle|family history|runs in (my|the) family)\b"

@@ -159,3 +159,13 @@ def retained(files: DataFrame, newest: int, weeks: int) -> DataFrame:
     rest = r.where(F.col("_r") > newest)
     first = rest.withColumn("_o", F.row_number().over(Window.partitionBy("_w").orderBy("day", "name"))).where("_o = 1").withColumn("_k", F.row_number().over(Window.orderBy(F.desc("_w")))).where(F.col("_k") <= weeks)
     return r.where(F.col("_r") <= newest).select("name", "day").unionByName(first.select("name", "day"))
+
+
+def reminder_states(active: DataFrame, acts: DataFrame, last: DataFrame, weeks: DataFrame, otherwise: int, as_of: Column) -> DataFrame:
+    """(user_id, drug, state, resume_after) of the reminders of active drugs: paused while the newest result of a test that
+    the drug acts on is normal, until that test is due again (the last of them); else active."""
+    j = active.join(acts.select("drug", "canonical_name").distinct(), "drug").join(stated(last).select("user_id", "canonical_name", "day", "state"), ["user_id", "canonical_name"])
+    newest = j.groupBy("user_id", "drug").agg(F.max(F.struct("day", "canonical_name", "state")).alias("n"))
+    j = newest.select("user_id", "drug", "n.canonical_name", F.col("n.state").alias("_s")).join(weeks, "canonical_name", "left")
+    paused = F.col("_s") == "normal"
+    return j.select("user_id", "drug", F.when(paused, "paused").otherwise("active").alias("state"), F.when(paused, F.date_add(as_of, F.coalesce("weeks", F.lit(otherwise)) * 7)).alias("resume_after"))

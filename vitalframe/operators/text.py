@@ -142,3 +142,14 @@ def merge_extractions(sources: list[tuple[DataFrame, float]], key: list[str], va
     c = F.col("_b.confidence")
     confidence = F.when(agrees, F.least(c + 0.05, F.lit(0.99))).when(differs, F.greatest(c - 0.15, F.lit(0.5))).otherwise(c)
     return g.select(*key, F.col(f"_b.{value}").alias(value), F.round(confidence, 6).alias("confidence"), F.coalesce(differs & ~agrees, F.lit(False)).alias("conflict"))
+
+
+def condition_mentions(docs: DataFrame, row_id: str, text: str, words: list[tuple[str, str]], relatives: str) -> DataFrame:
+    """(row_id, condition, sentences, of_family) of whole texts: the sentences that name a condition, and those of them
+    that also name a relative. Sentences end at full stops, question and exclamation marks and line ends; a text names a
+    condition once a sentence, whatever words it has for it. Null texts name none."""
+    s = F.explode(F.split(F.lower(text), r"[.!?\n]+")).alias("s")
+    sentences = docs.where(F.col(text).isNotNull()).select(row_id, s)
+    named = F.array_distinct(F.filter(F.array(*[F.when(F.col("s").contains(w), c) for w, c in words]), lambda x: x.isNotNull()))
+    rows = sentences.select(row_id, F.explode(named).alias("condition"), F.col("s").rlike(relatives).alias("_f"))
+    return rows.groupBy(row_id, "condition").agg(F.count("*").alias("sentences"), F.count_if("_f").alias("of_family"))

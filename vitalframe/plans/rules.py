@@ -356,3 +356,14 @@ def ranked_interactions(t: Tables) -> DataFrame:
         rank = F.when(F.col("severity") == name, place).otherwise(rank)
     w = Window.partitionBy("user_id").orderBy(rank, "substance_a", "substance_b")
     return got.select("user_id", "substance_a", "substance_b", "severity", F.row_number().over(w).alias("place"))
+
+
+@query(f"""WITH {_RES}, {_MEDS}, {_AS_OF}, {_ACTIVE}, j AS (SELECT DISTINCT l.user_id, act.drug, l.canonical_name, l.day, {_STATE} AS state FROM act JOIN {V(dims.DRUG_TESTS, 'd', 'drug, canonical_name, wanted')} ON d.drug = act.drug JOIN last l ON l.user_id = act.user_id AND l.canonical_name = d.canonical_name),
+n AS (SELECT user_id, drug, arg_max(canonical_name, (day, canonical_name)) AS canonical_name, arg_max(state, (day, canonical_name)) AS s FROM j GROUP BY ALL)
+SELECT user_id, drug, CASE WHEN s = 'normal' THEN 'paused' ELSE 'active' END AS state, CASE WHEN s = 'normal' THEN as_of + coalesce(weeks, {knowledge.PAUSE_WEEKS_ELSE}) * 7 END AS resume_after FROM n LEFT JOIN {V(knowledge.PAUSE_WEEKS, 'w', 'canonical_name, weeks')} USING (canonical_name), upto""")
+def reminder_states(t: Tables) -> DataFrame:
+    """Reminders of active drugs, paused while the test they act on is normal."""
+    dated = cut(_dated(t))
+    active = _meds(t).where("status = 'active' AND drug IS NOT NULL").select("user_id", "drug").distinct()
+    acts = _frame(t, dims.DRUG_TESTS, "drug string, canonical_name string, wanted string")
+    return rules.reminder_states(active, acts, series.latest(dated), _frame(t, knowledge.PAUSE_WEEKS, _r("weeks int")), knowledge.PAUSE_WEEKS_ELSE, _as_of(dated))

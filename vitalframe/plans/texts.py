@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalframe import dims, knowledge
 from vitalframe.operators import maintenance, records, search, text
 from vitalframe.plans import sql
 from vitalframe.plans.records import _RES, _TERMS, _dated, query
@@ -150,3 +151,10 @@ def newly_changed(t: Tables) -> DataFrame:
 def second_page(t: Tables) -> DataFrame:
     """The second page of ten of each user's messages, newest first."""
     return maintenance.page_of(t.parsed_events.select("event_id", "user_id", "created_at"), "user_id", [F.desc_nulls_last("created_at"), F.desc("event_id")], 10, 1).select("event_id", "user_id")
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[.!?\\n]+')) AS s FROM documents WHERE text IS NOT NULL), i AS (SELECT *, row_number() OVER () AS k FROM s), m AS (SELECT DISTINCT doc_id, k, condition, regexp_matches(s, {_sq(knowledge.RELATIVES)}) AS f FROM i JOIN {dims.values(knowledge.CONDITION_WORDS, 'w', 'word, condition')} ON contains(s, word))
+SELECT doc_id, condition, count(*) AS sentences, count(*) FILTER (f) AS of_family FROM m GROUP BY ALL""")
+def condition_mentions(t: Tables) -> DataFrame:
+    """Conditions that documents name, and how often beside a relative."""
+    return text.condition_mentions(t.documents, "doc_id", "text", knowledge.CONDITION_WORDS, knowledge.RELATIVES)

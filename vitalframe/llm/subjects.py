@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ _PIECES = re.compile(r"[^\W\d_]{2,}|(?<=[.!?])\s|\n")
 NONE = "none"
 OTHER = ""  # name of the model that the languages without one of their own share
 BLOCK = 128  # terms whose partial sums are one row
+SLICE = 1000  # documents worked on at once
 SALTS = 64  # sums of one block are added up in so many tasks first
 
 
@@ -140,25 +143,33 @@ def encode(docs: DataFrame, row_id: str, text: str, lang: str, coder: Coder) ->
     sentence ends, and the document's distinct terms with their counts."""
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for f in frames:
-            models, terms, ends, own, counts = [], [], [], [], []
-            for t, named in zip(f["_text"], f["_lang"]):
-                found = pieces(t) if t else []
-                # What ends a sentence is one character, a word is two at least.
-                k = c.model(named, found)
-                ids, at = c.numbers(k, found) if k is not None else ([], [])
-                flat = np.array(ids, np.int32)
-                models.append(k)
-                terms.append(flat)
-                ends.append(np.array(at, np.int32))
-                distinct, n = np.unique(flat, return_counts=True)
-                own.append(distinct)
-                counts.append(n.astype(np.int32))
-            yield pd.DataFrame({row_id: f["_id"], "labels": f["_labels"], "lang": models, "terms": terms, "ends": ends, "own": own, "counts": counts})
-
-    return docs.select(F.col(row_id).alias("_id"), F.col("_labels"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, labels array<string>, lang string, terms array<int>, ends array<int>, own array<int>, counts array<int>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                models, terms, ends, own, counts = [], [], [], [], []
+                for t, named in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()):
+                    found = pieces(t) if t else []
+                    # What ends a sentence is one character, a word is two at least.
+                    k = c.model(named, found)
+                    ids, stops = c.numbers(k, found) if k is not None else ([], [])
+                    flat = np.array(ids, np.int32)
+                    distinct, n = np.unique(flat, return_counts=True)
+                    models.append(k)
+                    terms.append(flat)
+                    ends.append(np.array(stops, np.int32))
+                    own.append(distinct)
+                    counts.append(n.astype(np.int32))
+                lists = [_lists(x) for x in (terms, ends, own, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_labels"), pa.array(models, pa.string()), *lists], names=[row_id, "labels", "lang", "terms", "ends", "own", "counts"])
+
+    return docs.select(F.col(row_id).alias("_id"), F.col("_labels"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInArrow(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, labels array<string>, lang string, terms array<int>, ends array<int>, own array<int>, counts array<int>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)))
 
 
 _SUMS = "lang string, block int, y array<double>"
@@ -180,17 +191,23 @@ def added_up(parts: DataFrame) -> list:
     return first.repartition("lang", "block").mapInPandas(add, _SUMS).collect()
 
 
-def _groups(frames: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[tuple[str, pd.DataFrame]]:
-    """(language, its rows) of slices of the batches, so that what is worked on at once stays small."""
-    for f in frames:
-        for a in range(0, len(f), rows):
-            yield from f.iloc[a : a + rows].groupby("lang")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """(model, its rows) of slices of the batches, so that what is worked on at once stays small."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            for k in sorted(x for x in pc.unique(batch.column("lang")).to_pylist() if x is not None):
+                yield k, batch.filter(pc.equal(batch.column("lang"), k))
 
 
-def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _flat(arrays: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(values of all arrays, length of each)."""
-    lens = np.array([len(a) for a in arrays], np.int64)
-    return (np.concatenate([np.asarray(a) for a in arrays]) if lens.sum() else np.zeros(0, np.int32)).astype(np.int64), lens
+    return arrays.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(arrays).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _parts(rows: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+    y = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)), pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), y], names=["lang", "block", "salt", "y"])
 
 
 def _segment_sums(x: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -206,27 +223,26 @@ def _products(coded: DataFrame, coder: Coder, basis: dict[str, np.ndarray]) -> d
     """X'X q for each language's basis q, X being its weighted and normalised documents."""
     shared = coded.sparkSession.sparkContext.broadcast((coder.idf, basis))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, q = shared.value
         sums: dict[str, np.ndarray] = {}
-        for k, g in _groups(frames):
-            term, per_doc = _flat(g["own"])
+        for k, g in _groups(batches):
+            term, per_doc = _flat(g.column("own"))
             if not len(term):
                 continue
-            count, _ = _flat(g["counts"])
-            doc = np.repeat(np.arange(len(g)), per_doc)
+            count, _ = _flat(g.column("counts"))
+            doc = np.repeat(np.arange(g.num_rows), per_doc)
             w = np.log1p(count) * idf[k][term]
-            w /= np.maximum(np.sqrt(np.bincount(doc, weights=w * w, minlength=len(g)))[doc], 1e-12)
+            w /= np.maximum(np.sqrt(np.bincount(doc, weights=w * w, minlength=g.num_rows))[doc], 1e-12)
             part = w[:, None] * _segment_sums(w[:, None] * q[k][term], per_doc)[doc]
             order = np.argsort(term, kind="stable")
             here, first = np.unique(term[order], return_index=True)
             sums.setdefault(k, np.zeros_like(q[k]))[here] += np.add.reduceat(part[order], first, axis=0)
         salt = TaskContext.get().partitionId() % SALTS
         for k, y in sums.items():
-            blocks = [(k, b, salt, y[b * BLOCK : (b + 1) * BLOCK].ravel()) for b in range(-(-len(y) // BLOCK))]
-            yield pd.DataFrame(blocks, columns=["lang", "block", "salt", "y"])
+            yield _parts([(k, b, salt, y[b * BLOCK : (b + 1) * BLOCK].ravel()) for b in range(-(-len(y) // BLOCK))])
 
-    parts = added_up(coded.where("lang IS NOT NULL").select("lang", "own", "counts").mapInPandas(run, _SUMS.replace("y ", "salt int, y ")))
+    parts = added_up(coded.where("lang IS NOT NULL").select("lang", "own", "counts").mapInArrow(run, _SUMS.replace("y ", "salt int, y ")))
     out = {k: np.zeros_like(q) for k, q in basis.items()}
     for r in parts:  # (own_terms + shared_terms) / BLOCK rows a model at most
         y = np.array(r["y"]).reshape(-1, basis[r["lang"]].shape[1])
@@ -255,11 +271,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def _embedded(g: pd.DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _embedded(g: pa.RecordBatch, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors of the sentences of some documents of a language, row of g of each)."""
-    terms, _ = _flat(g["terms"])
-    ends, n = _flat(g["ends"])
-    doc = np.repeat(np.arange(len(g)), n)
+    terms, _ = _flat(g.column("terms"))
+    ends, n = _flat(g.column("ends"))
+    doc = np.repeat(np.arange(g.num_rows), n)
     first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     lens = ends - np.where(first, 0, np.concatenate([[0], ends[:-1]])) if len(ends) else ends
     return _unit(_segment_sums(vectors[terms], lens)) if len(ends) else np.zeros((0, vectors.shape[1])), doc
@@ -270,16 +286,16 @@ def _centroid_sums(coded: DataFrame, vectors: dict[str, np.ndarray], names: list
     documents labelled with that class and no other; with them, of the sentences nearest to it."""
     shared = coded.sparkSession.sparkContext.broadcast((vectors, names, centroids))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec, cls, cen = shared.value
         number = {c: i for i, c in enumerate(cls)}
         sums: dict[str, np.ndarray] = {}
         counts: dict[str, np.ndarray] = {}
-        for k, g in _groups(frames):
+        for k, g in _groups(batches):
             if k not in vec:
                 continue
             e, doc = _embedded(g, vec[k])
-            labels = [set() if x is None else {y for y in x if y in number} for x in g["labels"]]
+            labels = [set() if x is None else {y for y in x if y in number} for x in g.column("labels").to_pylist()]
             if cen is None:
                 alone = np.array([number[next(iter(x))] if len(x) == 1 else -1 for x in labels], int)
                 of = alone[doc] if len(doc) else np.zeros(0, int)
@@ -295,10 +311,10 @@ def _centroid_sums(coded: DataFrame, vectors: dict[str, np.ndarray], names: list
             np.add.at(s, of[ok], e[ok])
             n += np.bincount(of[ok], minlength=len(cls))
         salt = TaskContext.get().partitionId() % SALTS
-        yield pd.DataFrame([(k, i, salt, np.append(s[i], counts[k][i])) for k, s in sums.items() for i in range(len(cls)) if counts[k][i]], columns=["lang", "block", "salt", "y"])
+        yield _parts([(k, i, salt, np.append(s[i], counts[k][i])) for k, s in sums.items() for i in range(len(cls)) if counts[k][i]])
 
     usable = "lang IS NOT NULL" if centroids is not None else "lang IS NOT NULL AND labels IS NOT NULL"
-    rows = added_up(coded.select("lang", "labels", "terms", "ends").where(usable).mapInPandas(run, _SUMS.replace("y ", "salt int, y ")))
+    rows = added_up(coded.select("lang", "labels", "terms", "ends").where(usable).mapInArrow(run, _SUMS.replace("y ", "salt int, y ")))
     out = {k: (np.zeros((len(names), v.shape[1])), np.zeros(len(names))) for k, v in vectors.items()}
     for r in rows:  # one row for each language and class
         out[r["lang"]][0][r["block"]] = r["y"][:-1]
@@ -342,9 +358,9 @@ def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects
         centroids = {k: np.where(moved[k][1][:, None] > 0, _unit(o.keep * seeds[k] + (1 - o.keep) * _unit(moved[k][0])), seeds[k]) for k in seeds}
     shared = docs.sparkSession.sparkContext.broadcast((vectors, names, centroids))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec, cls, cen = shared.value
-        for k, g in _groups(frames):
+        for k, g in _groups(batches):
             if k not in vec:
                 continue
             e, doc = _embedded(g, vec[k])
@@ -352,9 +368,10 @@ def assign_subjects(docs: DataFrame, row_id: str, text: str, lang: str, subjects
                 continue
             sim = e @ cen[k].T
             of = np.where(sim.max(1) >= o.least_cosine, sim.argmax(1), len(cls) - 1)
-            count = np.bincount(doc * len(cls) + of, minlength=len(g) * len(cls)).reshape(len(g), len(cls))
+            count = np.bincount(doc * len(cls) + of, minlength=g.num_rows * len(cls)).reshape(g.num_rows, len(cls))
             total = count.sum(axis=1)
             d, c = np.nonzero((count[:, :-1] > 0) & (count[:, :-1] >= o.share * total[:, None] - 1e-9))
-            yield pd.DataFrame({row_id: g[row_id].to_numpy()[d], "subject": [cls[i] for i in c], "sentences": count[d, c], "share": count[d, c] / total[d], "model": k})
+            names_of = pa.array([cls[i] for i in c], pa.string())
+            yield pa.RecordBatch.from_arrays([g.column(row_id).take(pa.array(d)), names_of, pa.array(count[d, c].astype(np.int64)), pa.array(count[d, c] / total[d]), pa.array([k] * len(d), pa.string())], names=[row_id, "subject", "sentences", "share", "model"])
 
-    return coded.where("lang IS NOT NULL").select(row_id, "lang", "terms", "ends").mapInPandas(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, subject string, sentences bigint, share double, model string")
+    return coded.where("lang IS NOT NULL").select(row_id, "lang", "terms", "ends").mapInArrow(run, f"`{row_id}` {dict(docs.dtypes)[row_id]}, subject string, sentences bigint, share double, model string")

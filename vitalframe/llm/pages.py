@@ -77,6 +77,7 @@ class Vocabulary:
     ratio: float = 8.0
     weak_ratio: float = 40.0
     known: dict[str, str | None] = field(default_factory=dict)
+    seen: dict[str, str | None] = field(default_factory=dict)
 
     def fix(self, word: str) -> str | None:
         """The word of the vocabulary that a lower-case word was misread from, or None if it is none's misreading."""
@@ -112,6 +113,15 @@ class Vocabulary:
                     at = v.find(wrong, at + 1)
         return best and best[1]
 
+    def of_word(self, word: str) -> str | None:
+        """What a word with its punctuation should be, if it is misread; words as they stand are judged once."""
+        if word not in self.seen:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            token = core(word)
+            self.seen[word] = self.correction(token) if token else None
+        return self.seen[word]
+
     def correction(self, token: str) -> str | None:
         """What a token without its punctuation should be, if it is misread."""
         low = token.lower()
@@ -329,7 +339,8 @@ def examine(pages: list[list[str]], numbers: list[int], vocabulary: Vocabulary)
                     if (left + glue + low) in vocabulary.counts and vocabulary.counts[left + glue + low] >= 3:
                         chosen = (nxt, glue, left + glue + low, None)
                         break
-                if chosen is None:
+                # Far lines begin with words; a misread half is none.
+                if chosen is None and (step < AHEAD or low not in vocabulary.counts):
                     for glue in ("", "-"):
                         if fixed := vocabulary.cache(left + glue + low):
                             chosen = (nxt, glue, left + glue + low, fixed)
@@ -356,8 +367,7 @@ def examine(pages: list[list[str]], numbers: list[int], vocabulary: Vocabulary)
                         if fixed.endswith(core(nxt.text.split()[0]).lower()):
                             line.words[len(words) - 1] = fixed[: len(fixed) - len(core(nxt.text.split()[0]))]
         for j in range(1 if id(line) in first_done else 0, last):
-            token = core(words[j])
-            if token and (fixed := vocabulary.correction(token)):
+            if fixed := vocabulary.of_word(words[j]):
                 line.noise.add("misread")
                 line.words[j] = fixed
     return heads, body
@@ -428,7 +438,8 @@ def _blocks(pages: DataFrame, doc: str, page_id: str, number: str, text: str, bl
     n = F.coalesce(F.col(number).cast("int"), F.lit(LAST))
     b = F.floor(n / block).cast("int")
     rows = pages.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), b.alias("_own"), n.alias("_n"), F.col(page_id).alias("_page"), F.col(text).alias("_text"))
-    crowds = rows.groupBy("_doc", "_own").agg(F.count("*").alias("_c")).where(F.col("_c") > CROWD * block)
+    # Pages without text count too, so that texts need not be read for it.
+    crowds = pages.select(F.col(doc).alias("_doc"), b.alias("_own")).groupBy("_doc", "_own").agg(F.count("*").alias("_c")).where(F.col("_c") > CROWD * block)
     if crowds.limit(1).count():
         crowds = small(crowds.select(F.col("_doc").alias("_cdoc"), F.col("_own").alias("_cown"), F.ceil(F.col("_c") / (CROWD * block)).cast("int").alias("_parts")))
         rows = rows.join(crowds, F.col("_doc").eqNullSafe(F.col("_cdoc")) & (F.col("_own") == F.col("_cown")), "left").drop("_cdoc", "_cown")
@@ -437,7 +448,8 @@ def _blocks(pages: DataFrame, doc: str, page_id: str, number: str, text: str, bl
     else:
         alone, part = F.lit(False), F.lit(0)
     own, n = F.col("_own"), F.col("_n")
-    beside = F.sequence(F.floor((n - HALO) / block).cast("int"), F.floor((n + HALO) / block).cast("int"))
+    first = F.when(n >= 0, F.greatest(n - HALO, F.lit(0))).otherwise(n - HALO)  # nothing comes before the first pages
+    beside = F.sequence(F.floor(first / block).cast("int"), F.floor((n + HALO) / block).cast("int"))
     return rows.select("_doc", F.explode(F.when(alone | (n == LAST), F.array(own)).otherwise(beside)).alias("_block"), part.alias("_part"), "_own", "_n", "_page", "_text")
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -69,16 +70,35 @@ def best_pattern(price: np.ndarray, classes: int) -> tuple[float, tuple[int, ...
     return float(best[classes]), tuple(sorted(chosen, reverse=True))
 
 
-def non_negative_least_squares(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 200) -> np.ndarray:
+@dataclass
+class Patterns:
+    """The matrix of patterns (columns) by classes (rows, weighted), kept by its few entries."""
+
+    items: list[tuple[int, ...]]  # row numbers of each pattern
+    weight: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.lens = np.array([len(p) for p in self.items], np.int64)
+        self.rows = np.array([k for p in self.items for k in p], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=np.repeat(x, self.lens), minlength=len(self.weight)) * self.weight
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        return np.add.reduceat((r * self.weight)[self.rows], self.starts) if len(self.rows) else np.zeros(0)
+
+
+def non_negative_least_squares(a: Patterns, b: np.ndarray, x: np.ndarray, rounds: int = 200) -> np.ndarray:
     """argmin |a x - b| over x >= 0 from the start x, by accelerated projected gradients."""
-    v = np.ones(a.shape[1])
+    v = np.ones(len(x))
     for _ in range(30):  # the greatest singular value, by power iteration
-        v = a.T @ (a @ v)
+        v = a.transposed_times(a.times(v))
         v /= max(float(np.linalg.norm(v)), 1e-300)
-    step = 1 / max(1.05 * float(np.linalg.norm(a @ v)) ** 2, 1e-12)
+    step = 1 / max(1.05 * float(np.linalg.norm(a.times(v))) ** 2, 1e-12)
     y, t = x.copy(), 1.0
     for _ in range(rounds):
-        new = np.maximum(y - step * (a.T @ (a @ y - b)), 0)
+        new = np.maximum(y - step * a.transposed_times(a.times(y) - b), 0)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
@@ -97,12 +117,8 @@ def plan(histogram: dict[int, int], classes: int = CLASSES, rounds: int = 60) ->
         weight = 1 / np.sqrt(np.maximum(left[present], 1.0))
         where = {int(k): i for i, k in enumerate(present)}
 
-        def columns(patterns: list[tuple[int, ...]]) -> np.ndarray:
-            a = np.zeros((len(present), len(patterns)))
-            for j, p in enumerate(patterns):
-                for k in p:
-                    a[where[k], j] += 1
-            return a * weight[:, None]
+        def columns(patterns: list[tuple[int, ...]]) -> Patterns:
+            return Patterns([tuple(where[k] for k in p) for p in patterns], weight)
 
         target = left[present] * weight
         chosen = few_item_patterns(classes, present)
@@ -110,18 +126,17 @@ def plan(histogram: dict[int, int], classes: int = CLASSES, rounds: int = 60) ->
         if chosen:  # all of them are fitted; those of no use are left, and come back below if they are of use
             x = non_negative_least_squares(columns(chosen), target, x)
             chosen, x = [p for p, n in zip(chosen, x) if n > 0.5], x[x > 0.5]
-        a = columns(chosen)
         for _ in range(rounds):
+            a = columns(chosen)
             if len(chosen):
                 x = non_negative_least_squares(a, target, x)
-            misfit = target - a @ x
+            misfit = target - a.times(x)
             price = np.zeros(classes + 1)
             price[present] = misfit * weight
             gain, p = best_pattern(price, classes)
             if gain <= 1e-9 or p in chosen:
                 break
             chosen.append(p)
-            a = np.concatenate([a, columns([p])], axis=1)
             x = np.append(x, 0.0)
         for p, n in sorted(zip(chosen, np.floor(x + 1e-9).astype(np.int64)), key=lambda t: -t[1]):
             need = np.bincount(p, minlength=classes + 1)
@@ -181,13 +196,14 @@ def pack(sizes: DataFrame, row_id: str, size: str, capacity: int) -> DataFrame:
     rest = F.col("_size") - F.col("_full") * capacity
     least = capacity // SMALL
     pieces = whole.where(rest > 0).select("_id", F.col("_full").alias("_piece"), (F.col("_full") * capacity).alias("_start"), rest.alias("_n"))
-    tiny = bundles(pieces.where(F.col("_n") <= least), capacity, pieces.where(F.col("_n") <= least).count() if least else 0)
+    # Bundles and items are written once, as they are read several times.
+    tiny = cut(bundles(pieces.where(F.col("_n") <= least), capacity, pieces.where(F.col("_n") <= least).count())) if least else bundles(pieces.limit(0), capacity, 0)
     bundled = tiny.groupBy("_group", "_bundle").agg(F.sum("_n").alias("_n")).select("_group", "_bundle", F.lit(None).cast(dict(pieces.dtypes)["_id"]).alias("_id"), F.lit(0).cast("bigint").alias("_piece"), F.lit(0).cast("bigint").alias("_start"), "_n")
     none = [F.lit(None).cast("int").alias("_group"), F.lit(None).cast("bigint").alias("_bundle")]
     k = F.ceil(F.col("_n") / width).cast("int")
     pieces = pieces.where(F.col("_n") > least).select(*none, "_id", "_piece", "_start", "_n").unionByName(bundled).withColumn("_class", F.when(k <= classes, k).otherwise(0))
     top = whole.where("_full > 0").select("_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full") - 1)).alias("_piece")).select(*none, "_id", "_piece", (F.col("_piece") * capacity).alias("_start"), F.lit(capacity).cast("bigint").alias("_n"), F.lit(0).alias("_class"))
-    items = pieces.unionByName(top)
+    items = cut(pieces.unionByName(top))
     histogram = {r[0]: r[1] for r in items.groupBy("_class").count().collect()}  # at most CLASSES + 1 rows
     singles = histogram.pop(0, 0)
     # class -> first rank, last rank + 1, first container, items of the class in each

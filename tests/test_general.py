@@ -155,6 +155,8 @@ def test_missing_units_take_the_posterior(spark):
         assert got[k].from_unit == unit and abs(got[k].converted - mg) < 1e-6 * mg
     assert abs(got["t1"].converted - 37.0) < 0.01 and got["t2"].converted == 36.9 and got["r"].from_unit == "mmol/L" and got["r"].unit_known
     assert got["g0"].factor == 1
+    told = {r.obs_id: (r.from_unit, r.converted) for r in convert_units(df, kinds, factors, written=True).collect()}
+    assert told == {k: (r.from_unit, r.converted) for k, r in got.items() if r.unit_known}
     assert convert_units(df.limit(0), kinds, factors).count() == 0
 
 

@@ -63,9 +63,7 @@ def results(observations: DataFrame, tests: DataFrame, factors: DataFrame, sites
     common_unit, day, created_at, source_doc_id). low and high are the row's bounds; unit is the code of the recorded
     unit, null where none is written and the likeliest was taken: with ``written`` such rows are left out. day is null
     where the text tells none. names: as in named. Rows without a number are left out."""
-    rows = convert_units(named(once(observations), tests, names), tests, factors)
-    if written:
-        rows = rows.where("unit_known")
+    rows = convert_units(named(once(observations), tests, names), tests, factors, written=written)
     rows = rows.select("user_id", "obs_id", "canonical_name", "test_name", F.coalesce("converted", "recorded").alias("value"), F.col("common_low").alias("low"), F.col("common_high").alias("high"), "flag", F.when(F.col("unit_known"), F.col("from_unit")).alias("unit"), "common_unit", "created_at", "source_doc_id", "site_id", "date_effective")
     return collected(rows, sites).drop("site_id", "date_effective")
 

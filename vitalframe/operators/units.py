@@ -205,7 +205,7 @@ def _weighted_median(pairs: list[tuple[float, int]], none: float = 0.17) -> floa
     return none
 
 
-def convert_units(rows: DataFrame, kinds: DataFrame, factors: DataFrame, sure: float = 0.95) -> DataFrame:
+def convert_units(rows: DataFrame, kinds: DataFrame, factors: DataFrame, sure: float = 0.95, written: bool = False) -> DataFrame:
     """rows of a known canonical_name with a numeric result, with ``recorded`` (the number), ``from_unit`` (code),
     ``converted`` (in the common unit), ``common_unit``, ``common_low`` and ``common_high`` (the row's bounds, of its
     text where the columns have none, in the common unit), ``unit_factor``, ``unit_shift``, ``unit_known`` (it was written),
@@ -216,13 +216,18 @@ def convert_units(rows: DataFrame, kinds: DataFrame, factors: DataFrame, sure: f
     unit that is written but none of its kind's is taken as missing. A number not above 0 has no logarithm: it is no
     part of the fit, and takes its unit by the bounds and the weights of the units. kinds, factors: as in kinds_of,
     made one literal table that is sent to all executors. The histogram brought to the driver has at most one row for
-    each kind, unit and bin of the logarithm of a double, whatever the number of rows. An empty table gives an empty
-    result.
+    each kind, unit and bin of the logarithm of a double, whatever the number of rows. With ``written``, rows without a
+    written unit are left out and nothing is fitted, so the rows are read once. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     known = kinds_of(kinds, factors)
     added = ["recorded", "from_unit", "converted", "common_unit", "common_low", "common_high", "unit_factor", "unit_shift", "unit_known", "posterior", "uncertain"]
     kept = [c for c in rows.columns if c not in added]
+    if written:
+        told = _readings(rows, spark.createDataFrame([(k, x.unit, x.spelled()) for k, x in known.items()], "_kind string, _unit string, _spelled map<string, " + _UNIT + ">")).where("_written IS NOT NULL")
+        factor, shift = F.col("_written.factor"), F.col("_written.shift")
+        moved = lambda c: F.col(c) * factor + shift
+        return told.select(*kept, F.col("_number").alias("recorded"), F.col("_written.code").alias("from_unit"), moved("_number").alias("converted"), F.col("_unit").alias("common_unit"), moved("_from").alias("common_low"), moved("_to").alias("common_high"), factor.alias("unit_factor"), shift.alias("unit_shift"), F.lit(True).alias("unit_known"), F.lit(1.0).alias("posterior"), F.lit(False).alias("uncertain"))
     kind = "_kind string, _th double, _spelled map<string, " + _UNIT + ">"
     read = _readings(rows, spark.createDataFrame([(k, x.high, x.spelled()) for k, x in known.items()], kind))
     bins = F.round(F.ln("_number") / BIN).cast("int")

@@ -78,9 +78,9 @@ def p4_zones(spark: SparkSession, folder: str) -> DataFrame:
     return guess.join(sites.select("site_id", "tz"), "site_id").select("site_id", F.col("tz").alias("declared_tz"), F.col("_zone").alias("estimated_tz"), F.col("_violations").alias("violations"), F.col("_evidence").alias("evidence"))
 
 
-def _converted(t: Tables) -> DataFrame:
+def _converted(t: Tables, written: bool = False) -> DataFrame:
     rows = t.clean_observations.select("obs_id", "canonical_name", "value", "value_text", "unit", "reference_low", "reference_high", "reference_text")
-    return convert_units(rows, t.dim_tests, t.dim_unit_factors)
+    return convert_units(rows, t.dim_tests, t.dim_unit_factors, written=written)
 
 
 def p6_converted(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +103,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_written(spark: SparkSession, folder: str) -> DataFrame:
     """The results whose unit is written, as p6_converted: what SQL can state of it."""
-    return _converted(Tables(spark, folder)).where("unit_known").select("obs_id", "canonical_name", "recorded", "from_unit", F.round("converted", 6).alias("converted"), "common_unit", F.round("common_low", 6).alias("common_low"), F.round("common_high", 6).alias("common_high"))
+    return _converted(Tables(spark, folder), True).select("obs_id", "canonical_name", "recorded", "from_unit", F.round("converted", 6).alias("converted"), "common_unit", F.round("common_low", 6).alias("common_low"), F.round("common_high", 6).alias("common_high"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_times": p4_times, "p4_zones": p4_zones, "p6_found": p6_found, "p6_converted": p6_converted, "p6_written": p6_written, "p7_found": p7_found, "p7_flagged": p7_flagged}

@@ -172,7 +172,7 @@ j AS (SELECT coalesce(n.user_id, p.user_id) AS user_id, coalesce(n.canonical_nam
 c AS (SELECT *, CASE WHEN prev_value <> 0 THEN (value - prev_value) / abs(prev_value) * 100 END AS pct FROM j)
 SELECT user_id, canonical_name, value, prev_value, round(pct, 4) AS pct, CASE WHEN prev_value IS NULL THEN 'new' WHEN value IS NULL THEN 'resolved' WHEN coalesce(abs(pct), 0) < 3 THEN 'stable' WHEN value > prev_value THEN 'up' ELSE 'down' END AS change FROM c""")
 def panel_delta(t: Tables) -> DataFrame:
-    return series.panel_delta(_dated(t)).select("user_id", "canonical_name", "value", "prev_value", r4("pct"), "change")
+    return series.panel_delta(cut(_dated(t))).select("user_id", "canonical_name", "value", "prev_value", r4("pct"), "change")
 
 
 _DRUGS = dims.values(dims.DRUG_TESTS, "d", "drug, canonical_name, wanted")
@@ -211,7 +211,7 @@ c AS (SELECT DISTINCT s.user_id, p.pattern FROM s JOIN p ON s.canonical_name = p
 w AS (SELECT c.user_id, p.*, s.state, coalesce(s.state = p.direction, false) AS held FROM c JOIN p USING (pattern) LEFT JOIN s ON s.user_id = c.user_id AND s.canonical_name = p.canonical_name)
 SELECT user_id, pattern, round(least(sum(CASE WHEN held THEN adds ELSE 0.0 END), {dims.PATTERN_CAP}), 4) AS confidence, count(*) FILTER (held) AS supporting, count(*) FILTER (state IS NULL) AS missing FROM w GROUP BY user_id, pattern HAVING bool_and(held OR NOT needed)""")
 def pattern_scores(t: Tables) -> DataFrame:
-    return series.pattern_scores(series.latest(_results(t)), dims.frame(t.spark, dims.PATTERNS, "pattern string, canonical_name string, direction string, needed boolean, adds double"))
+    return series.pattern_scores(cut(series.latest(_results(t))), dims.frame(t.spark, dims.PATTERNS, "pattern string, canonical_name string, direction string, needed boolean, adds double"))
 
 
 _PANEL_ROWS = [(p, x) for p, tests in dims.PANELS.items() for x in tests]
@@ -229,7 +229,7 @@ _CONDITIONAL = [(x, c) for x, many in dims.CONDITIONAL.items() for c in many]
 @query(f"""WITH {_RES} SELECT s.user_id, trigger, companion FROM last s JOIN {dims.values(_CONDITIONAL, 'd', 'trigger, companion')} ON s.canonical_name = trigger WHERE (value > high OR value < low)
 AND NOT EXISTS (SELECT 1 FROM last l WHERE l.user_id = s.user_id AND l.canonical_name = companion)""")
 def conditional_gaps(t: Tables) -> DataFrame:
-    return series.conditional_gaps(series.latest(_results(t)), dims.frame(t.spark, _CONDITIONAL, "trigger string, companion string"))
+    return series.conditional_gaps(cut(series.latest(_results(t))), dims.frame(t.spark, _CONDITIONAL, "trigger string, companion string"))
 
 
 _DOMAIN_ROWS = [(d, x) for d, (_, tests) in dims.DOMAINS.items() for x in tests]

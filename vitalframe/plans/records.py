@@ -360,13 +360,15 @@ def timeline(t: Tables) -> DataFrame:
     return series.union_all(parts).where("day IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r <= 20").drop("_r")
 
 
-_LIKE = "'%glucose%'"
+KEYWORD = "glucose"
+_LIKE = f"'%{KEYWORD}%'"
 
 
 @query(f"""SELECT 'observations' AS source, obs_id AS id FROM clean_observations WHERE lower(canonical_name) LIKE {_LIKE} OR lower(test_name) LIKE {_LIKE}
 UNION ALL SELECT 'events', event_id FROM parsed_events WHERE lower(raw_text) LIKE {_LIKE} UNION ALL SELECT 'medications', med_id FROM clean_medications WHERE lower(name) LIKE {_LIKE} UNION ALL SELECT 'documents', doc_id::VARCHAR FROM documents WHERE lower(text) LIKE {_LIKE} OR lower(title) LIKE {_LIKE}""")
-def keyword_search(t: Tables) -> DataFrame:
-    has = lambda *cols: series.reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).contains("glucose"), F.lit(False)) for c in cols])
+def keyword_search(t: Tables, word: str = KEYWORD) -> DataFrame:
+    """Where a word stands, in any case, in names, texts and titles of all tables."""
+    has = lambda *cols: series.reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).contains(word.lower()), F.lit(False)) for c in cols])
     return series.union_all([
         t.clean_observations.where(has("canonical_name", "test_name")).select(F.lit("observations").alias("source"), F.col("obs_id").alias("id")),
         t.parsed_events.where(has("raw_text")).select(F.lit("events").alias("source"), F.col("event_id").alias("id")),
@@ -479,11 +481,11 @@ _TERMS = ("glucose", "thyroid", "fasting", "insulin")
 @query(f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM w WHERE length(term) > 1 GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term), size AS (SELECT count(*) AS docs FROM documents),
 wt AS (SELECT doc_id, term, n * (ln((1 + docs) / (1 + d)) + 1) AS x FROM tf JOIN df USING (term), size), nm AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM wt GROUP BY doc_id)
 SELECT doc_id, round(sum(x) / any_value(norm), 4) AS score FROM wt JOIN nm USING (doc_id) WHERE term IN ({', '.join(f"'{x}'" for x in _TERMS)}) GROUP BY doc_id""")
-def tfidf_search(t: Tables) -> DataFrame:
+def tfidf_search(t: Tables, terms: tuple[str, ...] = _TERMS) -> DataFrame:
     """Scores of all documents that hold a query term (each term counting once), by normalised TF-IDF."""
     from vitalframe.operators.search import tfidf_scores
 
-    return tfidf_scores(t.documents, "doc_id", "text", _TERMS).select("doc_id", F.round("score", 4).alias("score"))
+    return tfidf_scores(t.documents, "doc_id", "text", terms).select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query()
